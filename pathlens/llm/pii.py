@@ -16,6 +16,7 @@ pass by.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,30 +132,39 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
     bloom[words.w.to_numpy(int)] = words.bits
     shipped = spark.sparkContext.broadcast(bloom)  # BLOOM_BITS / 8 bytes, whatever the corpus
 
+    seen: dict[str, int | None] = {}
+
+    def keys_of(words: set[str]) -> list[int]:
+        new = [w for w in words if w not in seen]
+        if new:
+            if len(seen) > 400_000:
+                seen.clear()
+                new = list(words)
+            h = np.array([_hash(w) for w in new], np.int64)
+            ok = np.ones(len(h), bool)
+            for p in places_of(h):
+                ok &= (shipped.value[p >> 6] >> (p & 63)) & 1 == 1
+            seen.update((w, int(x) if k else None) for w, x, k in zip(new, h, ok))
+        return [h for w in words if (h := seen[w]) is not None]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runtime.slices(batches, rows=1024):
-            yield pa.RecordBatch.from_arrays([pa.array(count_terms(b.column(0).to_pylist()), pa.int64())], names=["term"])
+        """Counts of a whole task, so that a frequent term costs a row per task and not one per document."""
+        counts: Counter = Counter()
 
-    seen: dict[str, int | None] = {}
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+            counts.clear()
+            return made
 
-    def count_terms(texts: list) -> list[int]:
-        out: list[int] = []
-        for t in texts:
-            own = set(map(str.lower, TERM.findall(t))) if t else ()
-            new = [w for w in own if w not in seen]
-            if new:
-                if len(seen) > 400_000:
-                    seen.clear()
-                    new = list(own)
-                h = np.array([_hash(w) for w in new], np.int64)
-                ok = np.ones(len(h), bool)
-                for p in places_of(h):
-                    ok &= (shipped.value[p >> 6] >> (p & 63)) & 1 == 1
-                seen.update((w, int(x) if k else None) for w, x, k in zip(new, h, ok))
-            out += [h for w in own if (h := seen[w]) is not None]
-        return out
-
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long").groupBy("term").agg(F.count("*").alias("df"))
+        for b in runtime.slices(batches, rows=1024):
+            for t in b.column(0).to_pylist():
+                if t:
+                    counts.update(keys_of(set(map(str.lower, TERM.findall(t)))))
+            if len(counts) > 500_000:
+                yield out()
+        yield out()
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     return counted.join(terms, "term", "left_semi")
 
 
@@ -186,16 +196,20 @@ def _spark_hash(h: np.ndarray, i: int) -> np.ndarray:
 
 def rules(docs: DataFrame, near: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(entity, term) pairs over the disclosure threshold."""
-    pairs = near.groupBy("entity", "term", "context").agg(F.count_distinct("doc_id").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together")).filter(F.col("contexts") >= support)
-    pairs = runtime.stage(pairs, "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    with_entity = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    df = document_frequency(docs, pairs.select("term").distinct(), text_col)
     total = float(docs.count())
+    by_context = near.groupBy("entity", "term", "context").agg(F.count_distinct("doc_id").alias("n"))
+    pairs = by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together")).filter(F.col("contexts") >= support)
+    with_entity = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
+    near_term = near.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     pmi = F.log(F.col("together") * total / (F.col("df") * F.col("df_entity")))
     content = F.log(F.lit(total) / F.col("df_entity"))
-    return pairs.join(df, "term").join(with_entity, "entity").filter((content > 0) & (pmi >= share * content)).select("entity", "term")
+    tells = (content > 0) & (pmi >= share * content)
+    # A term is in at least as many documents as it is near an entity in: who fails with that number fails.
+    pairs = runtime.stage(pairs.join(with_entity, "entity").join(near_term, "term").filter(tells).drop("df"), "pii-pairs")
+    if pairs.isEmpty():
+        return pairs.select("entity", "term")
+    df = document_frequency(docs, pairs.select("term").distinct(), text_col)
+    return pairs.join(df, "term").filter(tells).select("entity", "term")
 
 
 def analyse(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
