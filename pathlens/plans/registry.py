@@ -1,9 +1,256 @@
 """The registered queries and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pathlens.functions import text
+from pathlens.operators import access, catalog, changes, exec_plan, graft, ngram, search, tree
+from pathlens.operators.model import SearchOptions
+from pathlens.plans.fixtures import SQL, entries, raw
+from pathlens.sources import framing
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *fixtures: str):
+    """Registers a query with the SQL that says the same over the named fixtures."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            head = ", ".join(f"{n} AS ({SQL[n]})" for n in fixtures)
+            _SQL[f.__name__] = (f"WITH {head} " if head else "") + sql if not sql.startswith(",") else f"WITH {head}{sql}"
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _search(name: str, fixture: str, needle: str, options: SearchOptions, limit: int, where: str) -> None:
+    def run(spark, sf_dir):
+        return search.search(entries(spark, sf_dir, fixture), needle, options, limit).select("id", "path")
+
+    run.__name__, run.__doc__ = name, f"{needle!r} over {fixture}"
+    query(f"SELECT id, path FROM {fixture} WHERE {where} ORDER BY id LIMIT {limit}", fixture)(run)
+
+
+O = SearchOptions
+_NAME3 = "regexp_extract(path, '[^/]*$')"
+_search("name_search", "fx1", "customer#00000001", O(), 5000, "contains(lower(name), 'customer#00000001')")
+_search("name_search_case", "fx1", "Order-1", O(match_case=True), 100, "contains(name, 'Order-1')")
+_search("short_needle", "fx1", "-7", O(), 5000, "contains(lower(name), '-7')")
+_search("path_search", "fx1", "asia/NATION_1", O(), 3000, "contains(lower(path), 'asia/nation_1')")
+_search("inside_folder", "fx1", "/europe/nation_13/", O(), 5000, "contains(lower(path), '/europe/nation_13/')")
+_search("path_mode_no_slash", "fx1", "nation_24", O(in_path=True), 5000, "contains(lower(path), 'nation_24')")
+_search("multi_term", "fx1", "europe ORDER- 77", O(), 5000, "contains(lower(path), 'europe') AND contains(lower(path), 'order-') AND contains(lower(path), '77')")
+_search("multi_term_phrase", "fx1", '"customer#00000012" order .o', O(), 5000, "contains(lower(path), 'customer#00000012') AND contains(lower(path), 'order') AND contains(lower(path), '.o')")
+_search("files_only", "fx1", "r-1", O(kind="files"), 5000, "contains(lower(name), 'r-1') AND NOT is_dir")
+_search("folders_only", "fx1", "n_1", O(kind="folders"), 5000, "contains(lower(name), 'n_1') AND is_dir")
+_search("no_hidden", "fx3", "-1", O(hide_hidden=True), 5000, "contains(lower(name), '-1') AND NOT hidden")
+_search("no_hidden_path", "fx3", "src1 .txt", O(hide_hidden=True), 5000, "contains(lower(path), 'src1') AND contains(lower(path), '.txt') AND NOT hidden")
+_search("regex_name", "fx1", r"^order-[0-9]*7\.[of]$", O(regex=True), 5000, r"regexp_matches(name, '(?i)^order-[0-9]*7\.[of]$')")
+_search("regex_path", "fx2", r"/[a-z]+\.example\.(com|org)/.*5$", O(regex=True), 5000, r"regexp_matches(path, '(?i)/[a-z]+\.example\.(com|org)/.*5$')")
+_search("unicode_fold", "fx3", "ÉTÉ-1", O(), 5000, "contains(lower(name), 'été-1')")
+
+
+@query("SELECT id, path, depth, path LIKE '%/.%' AS hidden FROM fx1", "fx1")
+def path_rebuild(spark, sf_dir):
+    links = raw(spark, sf_dir, "fx1").select("id", "parent_id", "name", "is_dir")
+    return tree.with_paths(links).select("id", "path", "depth", "hidden")
+
+
+@query("SELECT part_ord, id, path FROM (SELECT 0 AS part_ord, id, path FROM fx1 WHERE contains(lower(name), '-2') UNION ALL SELECT 1, id, path FROM fx3 WHERE contains(lower(name), '-2')) ORDER BY part_ord, id LIMIT 400", "fx1", "fx3")
+def limited_page(spark, sf_dir):
+    parts = [entries(spark, sf_dir, "fx1", 0), entries(spark, sf_dir, "fx3", 1)]
+    return catalog.search(parts, "-2", limit=400).select("part_ord", "id", "path")
+
+
+@query(", u AS (SELECT 0 AS part_ord, id, path FROM fx2 WHERE id % 2 = 0 UNION ALL SELECT 1, id, path FROM fx2), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY part_ord, id) AS n FROM u WHERE contains(lower(path), 'example')) SELECT part_ord, id, path FROM r WHERE n = 1", "fx2")
+def merged_parts(spark, sf_dir):
+    parts = [entries(spark, sf_dir, "fx2", 0).filter("id % 2 = 0"), entries(spark, sf_dir, "fx2", 1)]
+    return catalog.search(parts, "example", O(in_path=True), 100_000).select("part_ord", "id", "path")
+
+
+_RANK = "CASE WHEN lower(name) = q THEN 1.0 WHEN starts_with(lower(name), q) THEN 0.9 WHEN contains(lower(name), q) THEN 0.7 ELSE 0.4 END"
+
+
+@query(f"SELECT id, path, CAST({_RANK} AS DOUBLE) AS relevance, CASE WHEN {_RANK} >= 0.9 THEN 100 ELSE 30 END AS type FROM (SELECT *, 'nation_1' AS q FROM fx1 WHERE contains(lower(name), 'nation_1') ORDER BY id LIMIT 30)", "fx1")
+def ranked_launcher(spark, sf_dir):
+    return search.ranked(entries(spark, sf_dir, "fx1"), "Nation_1").select("id", "path", "relevance", "type")
+
+
+@query("SELECT id, path, coalesce(size_bytes, -1) AS sort_size FROM fx1 WHERE contains(lower(path), 'asia') ORDER BY sort_size DESC, path LIMIT 300", "fx1")
+def sorted_by_size(spark, sf_dir):
+    e = entries(spark, sf_dir, "fx1")
+    found = search.with_stat(search.hits(e, "asia", O(in_path=True)), e)
+    return search.sorted_by(found, "size", True, 300).select("id", "path", "sort_size")
+
+
+@query("SELECT id, path, coalesce(CAST(epoch(mtime) AS BIGINT), -1) AS sort_mtime FROM fx1 WHERE contains(lower(path), 'asia') ORDER BY sort_mtime, path LIMIT 300", "fx1")
+def sorted_by_mtime(spark, sf_dir):
+    e = entries(spark, sf_dir, "fx1")
+    found = search.with_stat(search.hits(e, "asia", O(in_path=True)), e)
+    return search.sorted_by(found, "mtime", limit=300).select("id", "path", "sort_mtime")
+
+
+_SIZE = "CASE WHEN is_dir THEN '' WHEN size_bytes IS NULL THEN '?' WHEN size_bytes < 1024 THEN concat(size_bytes, ' B') WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0) WHEN size_bytes < 1073741824 THEN printf('%.1f MB', size_bytes / 1048576.0) ELSE printf('%.1f GB', size_bytes / 1073741824.0) END"
+
+
+@query(
+    f"SELECT id, regexp_extract(path, '[^/]*$') AS shown_name, CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent, {_SIZE} AS size, coalesce(strftime(mtime, '%Y-%m-%d %H:%M'), '?') AS modified, 'text-x-generic' AS icon, concat('file://', replace(url_encode(path), '%2F', '/')) AS uri FROM fx1 WHERE contains(lower(path), 'nation_17')",
+    "fx1",
+)
+def presented_rows(spark, sf_dir):
+    return search.presented(search.hits(entries(spark, sf_dir, "fx1"), "nation_17", O(in_path=True)))
+
+
+_PARENT = "CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END"
+
+
+@query(f"SELECT id, path FROM (SELECT *, {_PARENT} AS up FROM fx1) e WHERE contains(lower(name), 'r') AND NOT EXISTS (SELECT 1 FROM fx5 a WHERE NOT listable AND (e.up = a.dir OR starts_with(e.up, a.dir || '/'))) ORDER BY id LIMIT 4000", "fx1", "fx5")
+def visible_page(spark, sf_dir):
+    acl = raw(spark, sf_dir, "fx5").select("dir", F.col("listable").alias("can_list"), F.col("listable").alias("can_pass"))
+    return search.page(access.visible(search.hits(entries(spark, sf_dir, "fx1"), "r"), acl), 4000).select("id", "path")
+
+
+@query("SELECT id, path FROM fx1 WHERE NOT (path = '/ASIA' OR starts_with(path, '/ASIA/') OR path = '/EUROPE/NATION_3' OR starts_with(path, '/EUROPE/NATION_3/'))", "fx1")
+def excluded_tree(spark, sf_dir):
+    out = spark.createDataFrame([("/ASIA",), ("/EUROPE/NATION_3",), ("/EURO",)], "path string")
+    return tree.without_excluded(entries(spark, sf_dir, "fx1"), out).select("id", "path")
+
+
+_ALL = "(SELECT 'orders' AS part, is_dir, is_dir OR id % 7 <> 0 AS alive FROM fx1 UNION ALL SELECT 'pages', is_dir, TRUE FROM fx2 UNION ALL SELECT 'docs', is_dir, TRUE FROM fx3)"
+
+
+def _parts(spark, sf_dir):
+    one = raw(spark, sf_dir, "fx1").select(F.lit("orders").alias("part"), "is_dir", F.expr("is_dir OR id % 7 <> 0").alias("alive"))
+    rest = [raw(spark, sf_dir, f).select(F.lit(n).alias("part"), "is_dir", F.lit(True).alias("alive")) for f, n in (("fx2", "pages"), ("fx3", "docs"))]
+    return one.union(rest[0]).union(rest[1])
+
+
+@query(f"SELECT part, count(*) FILTER (alive) AS live, count(*) AS slots, count(*) FILTER (alive AND NOT is_dir) AS files, count(*) FILTER (alive AND is_dir) AS folders FROM {_ALL} GROUP BY part", "fx1", "fx2", "fx3")
+def stats_by_part(spark, sf_dir):
+    return catalog.stats(_parts(spark, sf_dir), "part")
+
+
+@query(f"SELECT count(*) FILTER (alive) AS live, count(*) AS slots, count(*) FILTER (alive AND NOT is_dir) AS files, count(*) FILTER (alive AND is_dir) AS folders FROM {_ALL}", "fx1", "fx2", "fx3")
+def scan_stats(spark, sf_dir):
+    return catalog.stats(_parts(spark, sf_dir))
+
+
+_GRAMS = ", g AS (SELECT DISTINCT id, substr(lower(name), i, 3) AS key FROM (SELECT id, name, unnest(generate_series(1, CAST(length(name) AS BIGINT) - 2)) AS i FROM fx1 WHERE length(name) >= 3)) "
+
+
+@query(_GRAMS + "SELECT count(DISTINCT key) AS distinct_keys, count(*) AS postings FROM g", "fx1")
+def ngram_stats(spark, sf_dir):
+    return ngram.stats(ngram.build(entries(spark, sf_dir, "fx1")))
+
+
+@query(_GRAMS + "SELECT key, count(*) AS df FROM g GROUP BY key", "fx1")
+def ngram_df(spark, sf_dir):
+    return ngram.frequency(ngram.build(entries(spark, sf_dir, "fx1"))).select(F.decode("key", "utf-8").alias("key"), "df")
+
+
+@query("SELECT id, path FROM fx1 WHERE contains(lower(name), 'order-12')", "fx1")
+def ngram_search(spark, sf_dir):
+    e = entries(spark, sf_dir, "fx1")
+    return ngram.search(e, ngram.build(e), "Order-12").select("id", "path")
+
+
+_FEED = """, w AS (SELECT *, max(CASE WHEN is_dir AND op = 'create' THEN seq END) OVER p AS fc, max(CASE WHEN is_dir AND op = 'delete' THEN seq END) OVER p AS fd
+  FROM fx4 WINDOW p AS (PARTITION BY dir ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, fc IS NOT NULL AND fc > coalesce(fd, -1) AS ok FROM w WHERE NOT is_dir AND op = 'create'),
+d AS (SELECT dir, max(CASE WHEN op = 'create' THEN seq END) AS fc, max(CASE WHEN op = 'delete' THEN seq END) AS fd FROM fx4 WHERE is_dir GROUP BY dir),
+f AS (SELECT dir, k, max(seq) AS made FROM c WHERE ok GROUP BY dir, k),
+x AS (SELECT dir, k, max(seq) AS gone FROM fx4 WHERE NOT is_dir AND op = 'delete' GROUP BY dir, k) """
+
+
+def feed(spark, sf_dir):
+    path = F.when(F.col("is_dir"), F.col("dir")).otherwise(F.concat("dir", F.lit("/k"), F.col("k").cast("string")))
+    return raw(spark, sf_dir, "fx4").select("seq", "op", path.alias("path"), "is_dir")
+
+
+@query(
+    _FEED + "SELECT dir AS path, TRUE AS is_dir FROM d WHERE fc > coalesce(fd, -1) UNION ALL SELECT concat(f.dir, '/k', CAST(f.k AS STRING)), FALSE FROM f LEFT JOIN x ON f.dir = x.dir AND f.k = x.k LEFT JOIN d ON f.dir = d.dir WHERE made > coalesce(gone, -1) AND made > coalesce(d.fd, -1)",
+    "fx4",
+)
+def change_feed_alive(spark, sf_dir):
+    return changes.apply(feed(spark, sf_dir)).alive.select("path", "is_dir")
+
+
+@query(_FEED + "SELECT seq, concat(dir, '/k', CAST(k AS STRING)) AS path FROM c WHERE NOT ok", "fx4")
+def change_feed_dropped(spark, sf_dir):
+    return changes.apply(feed(spark, sf_dir)).dropped
+
+
+_GRAFT = """, o AS (SELECT path, is_dir FROM fx1 WHERE starts_with(path, '/ASIA/') AND is_dir),
+m AS (SELECT o.path, o.is_dir, coalesce(arg_max(a.incomplete, length(a.path)), FALSE) AS keep FROM o LEFT JOIN fx6 a ON a.is_dir AND starts_with(o.path, a.path || '/')
+      WHERE o.path NOT IN (SELECT path FROM fx6) GROUP BY ALL),
+r AS (SELECT path, is_dir, CASE WHEN path IN (SELECT path FROM o) THEN 'unchanged' ELSE 'added' END AS status FROM fx6
+      UNION ALL SELECT path, is_dir, CASE WHEN keep THEN 'kept' ELSE 'removed' END FROM m) """
+
+
+def _graft(spark, sf_dir):
+    before = raw(spark, sf_dir, "fx1").filter("startswith(path, '/ASIA/') AND is_dir")
+    return graft.merge(before, raw(spark, sf_dir, "fx6"), "/ASIA")
+
+
+@query(_GRAFT + "SELECT path, is_dir, status FROM r", "fx1", "fx6")
+def graft_merge(spark, sf_dir):
+    return _graft(spark, sf_dir)
+
+
+@query(_GRAFT + "SELECT count(*) FILTER (status <> 'removed') AS total, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'kept') AS kept FROM r", "fx1", "fx6")
+def graft_stats(spark, sf_dir):
+    return graft.stats(_graft(spark, sf_dir))
+
+
+@query(", r AS (SELECT id, parent_id, path, row_number() OVER (ORDER BY id) - 1 AS n FROM fx1 WHERE is_dir OR id % 7 <> 0) SELECT r.n AS id, p.n AS parent_id, r.path FROM r LEFT JOIN r p ON r.parent_id = p.id", "fx1")
+def compacted(spark, sf_dir):
+    return changes.compacted(entries(spark, sf_dir, "fx1").withColumn("alive", F.expr("is_dir OR id % 7 <> 0"))).select("id", "parent_id", "path")
+
+
+@query("SELECT id, concat('cp|', path, '|/backup', path, '.bak') AS command FROM fx1 WHERE contains(lower(name), 'order-10')", "fx1")
+def exec_commands(spark, sf_dir):
+    _, command = exec_plan.split_clause(["query", "order-10", "-exec", "cp", "{}", "/backup{}.bak", ";"])
+    found = search.hits(entries(spark, sf_dir, "fx1"), "order-10")
+    return exec_plan.each(found, command).select("id", F.array_join("argv", "|").alias("command"))
+
+
+@query("SELECT id, path FROM (SELECT id, CASE WHEN id % 5 = 0 THEN concat(path, chr(10), 'x') ELSE path END AS path FROM fx2) WHERE NOT contains(path, chr(10)) AND NOT contains(path, chr(13))", "fx2")
+def line_framed(spark, sf_dir):
+    rows = raw(spark, sf_dir, "fx2").select("id", F.expr("CASE WHEN id % 5 = 0 THEN concat(path, '\n', 'x') ELSE path END").alias("path"))
+    return framing.line_safe(rows)
+
+
+@query("SELECT id, concat('file://', replace(url_encode(concat('/', url, ' ~ü')), '%2F', '/')) AS uri FROM fx2", "fx2")
+def file_uris(spark, sf_dir):
+    rows = raw(spark, sf_dir, "fx2").withColumn("p", F.concat(F.lit("/"), "url", F.lit(" ~ü")))
+    return rows.select("id", text.file_uri("p").alias("uri"))
+
+
+@query("SELECT CAST(ord AS INTEGER) AS ord, root, kept, note FROM (VALUES (0, '/data', TRUE, ''), (1, '/data/sub', FALSE, 'nested'), (2, '/data', FALSE, 'repeated'), (3, '/data/disk', TRUE, ''), (4, '/srv', TRUE, '')) t(ord, root, kept, note)")
+def config_roots(spark, sf_dir):
+    return catalog.checked_roots(spark, [("/data/", 1), ("/data/sub", 1), ("//data", 1), ("/data/./disk", 2), ("/srv", 1)])
+
+
+@query("SELECT id, path, regexp_extract(path, '^/[^/]*') AS root FROM fx1 WHERE NOT is_dir", "fx1")
+def innermost_part(spark, sf_dir):
+    e = raw(spark, sf_dir, "fx1")
+    roots = e.filter("depth = 1").select(F.col("path").alias("root")).union(spark.createDataFrame([("/",)], "root string"))
+    return catalog.part_of(e.filter("not is_dir").select("id", "path"), roots).select("id", "path", "root")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT id, path FROM fx1 WHERE starts_with(path, '/AMERICA/') OR starts_with(path, '/EUROPE/NATION_3/')", "fx1")
+def subtree_join(spark, sf_dir):
+    folders = spark.createDataFrame([("/AMERICA",), ("/AMERICA/NATION_1",), ("/EUROPE/NATION_3",)], "path string")
+    return tree.below(entries(spark, sf_dir, "fx1"), folders).select("id", "path")
