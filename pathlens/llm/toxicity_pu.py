@@ -42,6 +42,27 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
+def sketches(text: str | None) -> tuple[int, int]:
+    """Two min-hashes of the shingles of five words: copies and near copies nearly always share one."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").lower().split()
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return tuple(int(np.uint64(min(xxh64_intdigest(s, seed) for s in shingles)).astype(np.int64)) for seed in (1, 2))
+
+
+def without_copies(rows) -> list[int]:
+    """Positions of rows (a, b sketches) that share no sketch with an earlier one: a passage copied thousands of
+    times is one piece of evidence."""
+    seen_a, seen_b, kept = set(), set(), []
+    for i, (a, b) in enumerate(rows):
+        if a not in seen_a and b not in seen_b:
+            kept.append(i)
+        seen_a.add(a)
+        seen_b.add(b)
+    return kept
+
+
 class Lookup:
     """Words to the positions of their known keys; a worker remembers what it has looked up, within a bound."""
 
@@ -148,12 +169,18 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_p: int
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(shipped.value)
         for b in runtime.slices(batches):
-            x = [np.array(look.features(t), np.uint16).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["p", "x"])
+            known = b.column(1).to_pylist()
+            x = [np.array(look.features(t), np.uint16).tobytes() for t in known]
+            one, two = zip(*map(sketches, known))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["p", "x", "a", "b"])
+
+    rows = texts.mapInArrow(vectorise, "p boolean, x binary, a long, b long").toPandas()
+    rows = rows.sort_values(["p", "a", "b", "x"], kind="stable")  # the same model whatever order the rows come in
+
+    def lone(own) -> list[np.ndarray]:
+        return [np.frombuffer(own.x.iloc[i], np.uint16) for i in without_copies(zip(own.a, own.b))]
 
-    rows = texts.mapInArrow(vectorise, "p boolean, x binary").toPandas()
-    rows = rows.sort_values(["p", "x"], kind="stable")  # the same model whatever order the rows come in
-    p, u = ([np.frombuffer(x, np.uint16) for x in rows.x[rows.p == is_p].unique()] for is_p in (True, False))
+    p, u = lone(rows[rows.p]), lone(rows[~rows.p])
     if not p or not u:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     kept = choose(p, u, len(candidates), prior)
