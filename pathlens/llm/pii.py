@@ -87,11 +87,12 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int
         before = list(TERM.finditer(text, max(0, s - WINDOW_CHARS, text.rfind("\n", 0, s) + 1), s))[-WINDOW_TERMS:]
         line_end = text.find("\n", e)
         after = list(TERM.finditer(text, e, min(len(text), e + WINDOW_CHARS, line_end if line_end >= 0 else len(text))))[:WINDOW_TERMS]
-        near = [m for m in before + after if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
-        context = _hash(" ".join(m[0].lower() for m in near))
+        free = [[m for m in side if not any(a < m.end() and m.start() < b for a, b, _ in spans)] for side in (before[::-1], after)]
         entity = _hash(f"{KINDS[kind]}:{value}")
-        for m in near:
-            yield entity, _hash(m[0].lower()), context, m.start(), m.end()
+        for m in sorted(free[0] + free[1], key=re.Match.start):
+            # The nearest other word on either side: edits elsewhere in a copied passage make no new context.
+            edges = (next((x[0].lower() for x in side if x is not m), "") for side in free)
+            yield entity, _hash(m[0].lower()), _hash("\n".join(edges)), m.start(), m.end()
 
 
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
