@@ -59,6 +59,7 @@ class Element:
     is_comment: bool
     length: int = 0
     holds_main: bool = False
+    holds_head: bool = False
 
 
 @dataclass
@@ -156,6 +157,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if tag in ("article", "main", "h1"):
             for e in stack[:-1]:
                 elements[e].holds_main = True
+                elements[e].holds_head |= tag != "article"
     text(page[at:])
     flush()
     return elements, blocks
@@ -176,7 +178,10 @@ def content(page: str) -> list[str]:
     for k, e in enumerate(elements[1:], 1):
         in_article[k] = in_article[e.parent] or e.tag in ("article", "main")
         page_header = e.tag == "header" and not in_article[k]
-        cued = e.cue and e.tag not in ("html", "body") and (e.is_comment and not (e.holds_main and e.length > 0.5 * total) or not (e.holds_main and e.tag != "article" or e.tag in ("main", "article") and not e.is_comment)) and (has_main or e.is_comment or e.length < 0.6 * total)
+        if e.is_comment:  # readers may write more than the article has
+            cued = e.tag not in ("html", "body") and not e.holds_head
+        else:
+            cued = e.cue and e.tag not in KEEP and not e.holds_main and (has_main or e.length < 0.6 * total)
         out_of_page[k] = out_of_page[e.parent] or e.never or page_header or cued
     blocks = [b for b in blocks if not out_of_page[b.element]]
     if not blocks:
@@ -223,7 +228,8 @@ def content(page: str) -> list[str]:
         return [b.text for b in blocks if within(b.element) and (b.path in chosen or b.link < 0.8 * len(b.text))]
     first = next(i for i, b in enumerate(blocks) if b.path in chosen)
     last = max(i for i, b in enumerate(blocks) if b.path in chosen)
-    while first and blocks[first - 1].path and blocks[first - 1].path[-1].split(".")[0] in HEADINGS:
+    home = elements[blocks[first].element].parent
+    while first and elements[blocks[first - 1].element].tag in HEADINGS and home in (up := elements[blocks[first - 1].element].parent, elements[up].parent):
         first -= 1
     return [b.text for b in blocks[first : last + 1] if b.link < (0.9 if b.path in chosen else 0.5) * len(b.text)]
 

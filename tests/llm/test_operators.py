@@ -513,3 +513,17 @@ def test_hilbert_keys_step_by_one_cell():
         keys = hilbert_ann.hilbert_keys(cells, order)
         assert sorted(keys) == list(range(len(cells)))
         assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div id="header"><h1>My Site</h1></div><div id="content"><h2>Title</h2><p>{PARA}</p><p>Short.</p><p>{PARA}</p></div><div id="sidebar"><p>{PARA}</p></div><div id="comments"><p>{PARA}</p></div>', ["Title", PARA, "Short.", PARA]),
+        (f"<table><tr><td class=menu><a href=1>x</a></td><td><h1>Head</h1><p>{PARA}</p></td><td class='right-rail'><p>{PARA}</p></td></tr></table>", ["Head", PARA]),
+        (f'<article><h1>H</h1><p>{PARA}</p><aside><p>{PARA}</p></aside><h2>Sub</h2><p>Bye</p></article><section class="reader-comments"><article><p>{PARA * 9}</p></article></section>', ["H", PARA, "Sub", "Bye"]),
+        (f'<nav><a href=1>Home of things</a></nav><article><h1>Hi</h1><p>Tiny.</p></article><div class="ad">{PARA}</div>', ["Hi", "Tiny."]),
+        (f"<BODY><DIV CLASS='Ad'>{PARA}</DIV><ARTICLE><P>{PARA}<P><a href=x>{PARA}</a></ARTICLE></BODY>", [PARA, PARA]),
+    ],
+)
+def test_page_layouts(page, want):
+    assert html_extract.main_text(page).split("\n\n") == want
