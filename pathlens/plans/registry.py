@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pathlens.functions import text
 from pathlens.operators import access, catalog, changes, exec_plan, graft, ngram, search, tree
-from pathlens.operators.model import SearchOptions
+from pathlens.operators.model import SearchOptions, clamp_limit
 from pathlens.plans.fixtures import SQL, entries, raw
 from pathlens.sources import framing
 
@@ -254,3 +254,98 @@ def innermost_part(spark, sf_dir):
 def subtree_join(spark, sf_dir):
     folders = spark.createDataFrame([("/AMERICA",), ("/AMERICA/NATION_1",), ("/EUROPE/NATION_3",)], "path string")
     return tree.below(entries(spark, sf_dir, "fx1"), folders).select("id", "path")
+
+
+@query("SELECT id, path FROM fx1 WHERE FALSE", "fx1")
+def empty_pattern(spark, sf_dir):
+    return search.search(entries(spark, sf_dir, "fx1"), '""').select("id", "path")
+
+
+for _column in ("name", "path"):
+
+    def _sorted(spark, sf_dir, column=_column):
+        e = entries(spark, sf_dir, "fx1")
+        found = search.with_stat(search.hits(e, "nation_1", O(in_path=True)), e)
+        return search.sorted_by(found, column, limit=300).select("id", "path")
+
+    _sorted.__name__ = f"sorted_by_{_column}"
+    query(f"SELECT id, path FROM fx1 WHERE contains(lower(path), 'nation_1') ORDER BY lower({_column}), path LIMIT 300", "fx1")(_sorted)
+
+
+@query(
+    "SELECT id, name AS shown, octet_length(encode(name)) = length(name) AS plain, format('{:,}', size_bytes) AS digits, concat(path, '⏎') AS one_line, path AS clean, starts_with(path, concat('/', split_part(path, '/', 2), '/DE/')) AS inside FROM fx3",
+    "fx3",
+)
+def text_columns(spark, sf_dir):
+    rows = entries(spark, sf_dir, "fx3")
+    source = F.concat(F.lit("/"), F.element_at(F.split("path", "/"), 2), F.lit("/DE"))
+    return rows.select(
+        "id",
+        text.display(F.col("name").cast("binary")).alias("shown"),
+        text.is_ascii("name").alias("plain"),
+        text.group_digits("size_bytes").alias("digits"),
+        text.one_line(F.concat("path", F.lit("\n"))).alias("one_line"),
+        text.normalised(F.concat(F.lit("/./"), "path", F.lit("//."))).alias("clean"),
+        text.is_within("path", source).alias("inside"),
+    )
+
+
+@query("SELECT id, concat('/', url, ' ~ü') AS path FROM fx2", "fx2")
+def uri_paths(spark, sf_dir):
+    rows = raw(spark, sf_dir, "fx2").withColumn("uri", text.file_uri(F.concat(F.lit("/"), "url", F.lit(" ~ü"))))
+    return rows.select("id", text.uri_path(F.col("uri")).cast("string").alias("path"))
+
+
+_MASKED = "SELECT seq, CASE op WHEN 'create' THEN CASE WHEN seq % 2 = 0 THEN 256 ELSE 128 END ELSE CASE WHEN seq % 2 = 0 THEN 512 ELSE 64 END END + CASE WHEN is_dir THEN 1073741824 ELSE 0 END AS mask, seq % 5 AS parent_ino, dir AS parent_path, concat('k', CAST(k AS STRING)) AS name FROM fx4"
+
+
+@query(f", v AS ({_MASKED}) SELECT e.seq, e.op, e.is_dir, concat(CASE WHEN e.seq % 5 IN (1, 2) THEN concat('/ino', CAST(e.seq % 5 AS STRING)) ELSE e.dir END, '/k', CAST(e.k AS STRING)) AS path FROM fx4 e JOIN v ON e.seq = v.seq", "fx4")
+def classified_events(spark, sf_dir):
+    raw(spark, sf_dir, "fx4").createOrReplaceTempView("fx4")
+    folders = spark.createDataFrame([(0, "/never"), (1, "/ino1"), (2, "/ino2")], "ino long, path string")
+    events = spark.sql(_MASKED).withColumn("mask", F.col("mask").cast("long"))
+    return changes.with_paths(changes.classified(events), folders).select("seq", "op", "is_dir", "path")
+
+
+@query(
+    _FEED + "SELECT dir AS path, TRUE AS is_dir FROM d WHERE fc > coalesce(fd, -1) UNION ALL SELECT concat(f.dir, '/k', CAST(f.k AS STRING)), FALSE FROM f LEFT JOIN x ON f.dir = x.dir AND f.k = x.k LEFT JOIN d ON f.dir = d.dir WHERE made > coalesce(gone, -1) AND made > coalesce(d.fd, -1)",
+    "fx4",
+)
+def reconciled_feed(spark, sf_dir):
+    """A tree rebuilt up to some event, with the events captured since replayed, is the tree of the whole feed."""
+    events = feed(spark, sf_dir)
+    started = events.agg(F.floor(F.avg("seq"))).first()[0]
+    rebuilt = changes.apply(events.filter(F.col("seq") <= started)).alive.select("path", "is_dir")
+    return changes.reconciled(rebuilt, events, started).alive.select("path", "is_dir")
+
+
+_NEW_PATHS = "SELECT DISTINCT CASE WHEN id % 2 = 0 THEN path ELSE concat(path, '/none') END AS path FROM fx1"
+
+
+@query(f", w AS ({_NEW_PATHS}) SELECT w.path, fx1.id FROM w LEFT JOIN fx1 ON w.path = fx1.path", "fx1")
+def resolved_paths(spark, sf_dir):
+    e = entries(spark, sf_dir, "fx1")
+    wanted = e.select(F.expr("CASE WHEN id % 2 = 0 THEN path ELSE concat(path, '/none') END").alias("path")).distinct()
+    return tree.resolve(e, wanted)
+
+
+@query("SELECT w.parent_id, w.name, w.id AS event, c.id FROM (SELECT id, parent_id, CASE WHEN id % 3 = 0 THEN concat(name, '~') ELSE name END AS name FROM fx1 WHERE parent_id IS NOT NULL) w LEFT JOIN fx1 c ON c.parent_id = w.parent_id AND c.name = w.name AND (c.is_dir OR c.id % 7 <> 0)", "fx1")
+def child_lookup(spark, sf_dir):
+    e = entries(spark, sf_dir, "fx1").withColumn("alive", F.expr("is_dir OR id % 7 <> 0"))
+    wanted = e.filter("parent_id IS NOT NULL").select("parent_id", F.expr("CASE WHEN id % 3 = 0 THEN concat(name, '~') ELSE name END").alias("name"), F.col("id").alias("event"))
+    return tree.children(e, wanted)
+
+
+@query("SELECT substr(path, 7) AS relative, is_dir FROM fx1 WHERE starts_with(path, '/ASIA/') AND (is_dir OR id % 7 <> 0)", "fx1")
+def subtree_listing(spark, sf_dir):
+    e = entries(spark, sf_dir, "fx1").withColumn("alive", F.expr("is_dir OR id % 7 <> 0"))
+    return graft.listing(e, "/ASIA")
+
+
+@query("SELECT CAST((n - 1) // 4 AS BIGINT) AS batch, CAST(count(*) AS INTEGER) AS paths, min(path) AS first_path FROM (SELECT path, row_number() OVER (ORDER BY path) AS n FROM (SELECT DISTINCT concat('/m/', lpad(CAST(id AS STRING), 12, '0')) AS path FROM fx2 ORDER BY path LIMIT 100000)) GROUP BY 1", "fx2")
+def exec_batches(spark, sf_dir):
+    """Batches of one page, which the hard cap bounds. Every path is 15 bytes and costs 16, the command 3: four fit in 70."""
+    _, command = exec_plan.split_clause(["query", "x", "-exec", "rm", "{}", "+"])
+    paths = raw(spark, sf_dir, "fx2").select(F.concat(F.lit("/m/"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("path")).distinct()
+    planned = exec_plan.batches(paths.orderBy("path").limit(clamp_limit(100_000)).coalesce(1), command, 70)
+    return planned.select("batch", (F.size("argv") - 1).alias("paths"), F.get("argv", F.lit(1)).alias("first_path"))
