@@ -16,8 +16,10 @@ pass by.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +84,21 @@ def _hash(value: str) -> int:
 
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
     """(entity, term, context, start, end) of the words next to each base span, on its line, outside spans."""
+    starts = [s for s, _, _ in spans]
+    reach = list(accumulate((e for _, e, _ in spans), max))  # spans may overlap: the furthest end so far
+
+    def outside(m: re.Match) -> bool:
+        k = bisect_left(starts, m.end())
+        return not k or reach[k - 1] <= m.start()
+
     for s, e, kind in spans:
         value = text[s:e].lower() if kind == 0 else re.sub(r"[^0-9.]", "", text[s:e])
-        before = list(TERM.finditer(text, max(0, s - WINDOW_CHARS, text.rfind("\n", 0, s) + 1), s))[-WINDOW_TERMS:]
-        line_end = text.find("\n", e)
-        after = list(TERM.finditer(text, e, min(len(text), e + WINDOW_CHARS, line_end if line_end >= 0 else len(text))))[:WINDOW_TERMS]
-        free = [[m for m in side if not any(a < m.end() and m.start() < b for a, b, _ in spans)] for side in (before[::-1], after)]
+        left = max(0, s - WINDOW_CHARS)
+        before = list(TERM.finditer(text, max(left, text.rfind("\n", left, s) + 1), s))[-WINDOW_TERMS:]
+        right = min(len(text), e + WINDOW_CHARS)
+        line_end = text.find("\n", e, right)
+        after = list(TERM.finditer(text, e, line_end if line_end >= 0 else right))[:WINDOW_TERMS]
+        free = [[m for m in side if outside(m)] for side in (before[::-1], after)]
         entity = _hash(f"{KINDS[kind]}:{value}")
         for m in sorted(free[0] + free[1], key=re.Match.start):
             # The nearest other word on either side: edits elsewhere in a copied passage make no new context.

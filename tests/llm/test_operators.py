@@ -312,6 +312,19 @@ def test_disclosing_terms(spark):
         pii.RULES_ON_DRIVER = old
 
 
+def test_pii_contexts_of_overlapping_spans_and_long_texts():
+    overlapping = "Foo wrote 4111 1111 1111 1111.2.3.4 and +1 (234) 567 8901@x.org then Bar\nBaz x@y.org"
+    long = " ".join(f"word user{i}@example.com called" for i in range(20_000))  # every span against every other would take minutes
+    for t in (overlapping, long):
+        spans = pii.base_spans(t)
+        got = [(s, e) for *_, s, e in pii.contexts(t, spans)]
+        covered = np.zeros(len(t), bool)
+        for s, e, _ in spans:
+            covered[s:e] = True
+        assert got and not any(covered[s:e].any() for s, e in got)
+    assert len(got) > 100_000
+
+
 def test_pii_on_odd_rows(spark):
     odd = frame(spark, ODD)
     got = pii.digest(pii.analyse(odd)).collect()
