@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 
 from pathlens.llm import runtime
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+|[^>]*)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+|[^>]*)>""", re.S)
+#: What may still open after the last ">".
+OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -57,6 +60,7 @@ class Element:
     cue: bool
     never: bool
     is_comment: bool
+    path: int = 0
     length: int = 0
     holds_main: bool = False
     holds_head: bool = False
@@ -65,7 +69,7 @@ class Element:
 @dataclass
 class Block:
     element: int
-    path: tuple
+    path: int
     parts: list = field(default_factory=list)
     link: int = 0
     text: str = ""
@@ -80,6 +84,17 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
     elements, blocks = [Element("", -1, "", False, False, False)], []
     stack, links, at = [0], 0, 0
     block: Block | None = None
+    paths: dict[tuple[int, str], int] = {}  # (path above, label) -> path: numbers, as deep pages have long ones
+    opened: Counter = Counter()  # open elements by tag
+    unclosed: set[str] = set()
+    last = page.rfind(">") + 1  # no tag ends beyond
+
+    def token() -> re.Match | None:
+        return (at < last and TOKEN.search(page, at, last)) or OPEN.search(page, max(at, last))
+
+    def close(k: int) -> None:
+        opened.subtract(elements[e].tag for e in stack[k:])
+        del stack[k:]
 
     def text(raw: str) -> None:
         nonlocal block
@@ -88,7 +103,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if block is None:
             if raw.isspace():
                 return
-            block = Block(stack[-1], tuple(elements[e].label for e in stack[1:]))
+            block = Block(stack[-1], elements[stack[-1]].path)
         block.parts.append(raw)
         if links:
             block.link += len(raw.strip())
@@ -101,16 +116,20 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
                 blocks.append(block)
             block = None
 
-    while m := TOKEN.search(page, at):
+    while m := token():
         text(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")) or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>"):
+            at = len(page)  # never closed
+        if m.re is OPEN or m[2] is None:
             if m[0].startswith("<![CDATA["):
-                text(_html.escape(m[0][9:-3], quote=False))
+                text(_html.escape(page[m.start() + 9 : at].removesuffix("]]>"), quote=False))
             continue
         tag, closing = m[2].lower(), m[1] == "/"
         if tag in RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, last)
+            if end is None:
+                unclosed.add(tag)
             if end is None and tag in ("noscript", "template", "title", "textarea"):
                 continue  # never closed: what follows is still the page
             at = end.end() if end else len(page)
@@ -131,20 +150,21 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if tag == "hr":
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if elements[stack[k]].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         closes = CLOSES.get(tag) or ({"p"} if tag not in ("html", "body", "head") else set())
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[c] for c in closes) else ():
             open_tag = elements[stack[k]].tag
             if open_tag in closes:
-                del stack[k:]
+                close(k)
                 break
             if open_tag in SCOPE:
                 break
-        if tag == "body":  # an unclosed head ends here
+        if tag == "body" and opened["head"]:  # an unclosed head ends here
+            opened["head"] = 0
             stack = [e for e in stack if elements[e].tag != "head"]
         attrs = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
         named = _words(attrs.get("class", "")) | _words(attrs.get("id", ""))
@@ -152,12 +172,17 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         never = tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         name = re.sub(r"\d+", "", " ".join(sorted(attrs.get("class", "").split())))
         elements.append(Element(tag, stack[-1], f"{tag}.{name}" if name else tag, cue, never, bool(named & COMMENT_CUES)))
+        elements[-1].path = paths.setdefault((elements[stack[-1]].path, elements[-1].label), len(paths) + 1)
         if not m[0].endswith("/>") or tag in ("p", "div", "li"):
             stack.append(len(elements) - 1)
+            opened[tag] += 1
         if tag in ("article", "main", "h1"):
-            for e in stack[:-1]:
-                elements[e].holds_main = True
-                elements[e].holds_head |= tag != "article"
+            for k in range(len(stack) - 2, -1, -1):
+                above = elements[stack[k]]
+                if above.holds_main and (above.holds_head or tag == "article"):
+                    break  # and so all above it
+                above.holds_main = True
+                above.holds_head |= tag != "article"
     text(page[at:])
     flush()
     return elements, blocks
@@ -167,10 +192,9 @@ def content(page: str) -> list[str]:
     """The main text's blocks in page order."""
     elements, blocks = parse(page)
     for b in blocks:
-        e = b.element
-        while e >= 0:
-            elements[e].length += len(b.text)
-            e = elements[e].parent
+        elements[b.element].length += len(b.text)
+    for e in elements[:0:-1]:  # what is inside stands after
+        elements[e.parent].length += e.length
     total = elements[0].length
     has_main = any(e.tag in ("article", "main") for e in elements)
     out_of_page = [False] * len(elements)
@@ -188,7 +212,7 @@ def content(page: str) -> list[str]:
         return []
 
     # Ratios by path: text and punctuation per block, less what is link text.
-    paths: dict[tuple, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for b in blocks:
         s = paths.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         for i, v in enumerate((1, len(b.text), len(PUNCTUATION.findall(b.text)), min(b.link, len(b.text)))):
@@ -196,7 +220,7 @@ def content(page: str) -> list[str]:
     fused = {p: math.log1p(t / n) * math.log1p(1 + q / n) * (1 - a / t) * math.sqrt(t) for p, (n, t, q, a) in paths.items()}
     raw = [fused[b.path] for b in blocks]
     smooth = [(0.25 * raw[max(0, i - 1)] + 0.5 * x + 0.25 * raw[min(len(raw) - 1, i + 1)]) for i, x in enumerate(raw)]
-    by_path: dict[tuple, list[float]] = {}
+    by_path: dict[int, list[float]] = {}
     for b, s in zip(blocks, smooth):
         by_path.setdefault(b.path, []).append(s)
     score = {p: 0.5 * fused[p] + 0.5 * sum(v) / len(v) for p, v in by_path.items()}
@@ -206,26 +230,22 @@ def content(page: str) -> list[str]:
     chosen = {p for p, s in score.items() if s >= THRESHOLD * best}
 
     # The container: article or main that holds most selected text, else what the selected blocks share.
-    weight: dict[int, int] = {}
+    held = [0] * len(elements)
     for b in blocks:
         if b.path in chosen:
-            e = b.element
-            while e > 0:
-                if elements[e].tag in ("article", "main"):
-                    weight[e] = weight.get(e, 0) + len(b.text)
-                e = elements[e].parent
+            held[b.element] += len(b.text)
+    for k in range(len(elements) - 1, 0, -1):
+        held[elements[k].parent] += held[k]
+    weight = {k: held[k] for k, e in enumerate(elements) if held[k] and e.tag in ("article", "main")}
     picked = sum(len(b.text) for b in blocks if b.path in chosen)
     top = max(weight.values(), default=0)
     inside = [e for e, w in weight.items() if w >= 0.95 * top]
     if inside and top >= 0.3 * picked:
         root = max(inside)
-
-        def within(e: int) -> bool:
-            while e > root:
-                e = elements[e].parent
-            return e == root
-
-        return [b.text for b in blocks if within(b.element) and (b.path in chosen or b.link < 0.8 * len(b.text))]
+        within = [False] * len(elements)
+        for k in range(root, len(elements)):
+            within[k] = k == root or within[elements[k].parent]
+        return [b.text for b in blocks if within[b.element] and (b.path in chosen or b.link < 0.8 * len(b.text))]
     first = next(i for i, b in enumerate(blocks) if b.path in chosen)
     last = max(i for i, b in enumerate(blocks) if b.path in chosen)
     home = elements[blocks[first].element].parent

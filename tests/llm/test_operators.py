@@ -312,6 +312,11 @@ def test_disclosing_terms(spark):
         pii.RULES_ON_DRIVER = old
 
 
+@pytest.mark.parametrize("page, chars", [("<a" * 20_000, 40_000), ("".join(f"<div>text {i}, words." for i in range(5000)), 93_888), ("<noscript>x" * 20_000, 20_000), ("<div>" * 3000 + "</section></p>" * 20_000, 0), ("<p>a, b.</p>x > y <!-- " + "c" * 9, 12), ("<!-- a > b", 0)])
+def test_pages_that_would_take_minutes_if_read_again_for_each_tag(page, chars):
+    assert len(html_extract.main_text(page)) == chars
+
+
 def test_pii_contexts_of_overlapping_spans_and_long_texts():
     overlapping = "Foo wrote 4111 1111 1111 1111.2.3.4 and +1 (234) 567 8901@x.org then Bar\nBaz x@y.org"
     long = " ".join(f"word user{i}@example.com called" for i in range(20_000))  # every span against every other would take minutes
