@@ -5,10 +5,11 @@ Each curve's keys are sorted by a range partitioning, which gives every vector a
 positions are searched by the queries whose window reaches them, with distances on the original vectors, and the
 curves' candidates are merged and ranked again.
 
-``window`` is a share of the positions to either side, at least ``least_window``. Embeddings without structure
-(random directions in 64 dimensions) need wide windows, as no ordering brings their neighbours close; the share
-keeps recall alike at every size. Identical vectors are indexed once, with the k + 1 smallest ids that any result
-can need.
+``window`` is a share of the positions to either side, at least ``least_window`` positions. Unless given, it is the
+share that finds ``recall`` of the true neighbours within a bounded sample: in a larger table neighbours lie closer,
+so it errs to the wide side. Embeddings without structure (random directions in 64 dimensions) need wide windows, as
+no ordering brings their neighbours close; structured ones need far less. Identical vectors are indexed once, with
+the k + 1 smallest ids that any result can need.
 
 Vectors that are null, zero, of another length than most sampled ones, or hold null or non-finite components take
 no part, nor do rows without an id. A row that repeats an id with the same vector counts once; with different
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from pathlens.llm import runtime
 
 CURVES, DIMENSIONS, ORDER = 8, 8, 7
-WINDOW, LEAST_WINDOW, BLOCK = 0.12, 2000, 2048
-SAMPLE, QUERIES_PER_TASK = 4000, 2048
+RECALL, LEAST_WINDOW, BLOCK = 0.96, 2000, 2048
+SAMPLE, TRIALS, QUERIES_PER_TASK = 4000, 500, 2048
 
 
 def hilbert_keys(cells: np.ndarray, order: int) -> np.ndarray:
@@ -60,7 +61,7 @@ def hilbert_keys(cells: np.ndarray, order: int) -> np.ndarray:
 
 
 class Curves:
-    """Projections, ranges and shifts; fitted on a bounded sample, which only shapes the grid."""
+    """Projections, ranges and shifts; fitted on a bounded sample, which shapes the grid and names the window."""
 
     def __init__(self, sample: np.ndarray, curves: int, dimensions: int, order: int, seed: int):
         rng = np.random.default_rng(seed)
@@ -85,6 +86,23 @@ class Curves:
         return np.stack(out)
 
 
+def fitted_window(shape: Curves, sample: np.ndarray, k: int, recall: float, trials: int = TRIALS) -> float:
+    """The share of positions to either side that holds, on one curve or another, that part of the sample's neighbours."""
+    x = np.unique(sample, axis=0)
+    n, asked = len(x), np.random.default_rng(0).permutation(len(x))[:trials]
+    if n <= k + 1:
+        return 1.0
+    d2 = (x[asked] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[asked] @ x.T
+    d2[np.arange(len(asked)), asked] = np.inf
+    near = np.argpartition(d2, k - 1, axis=1)[:, :k]
+    apart = np.full(near.shape, n)
+    for key in shape.keys(x):
+        pos = np.empty(n, int)
+        pos[np.argsort(key, kind="stable")] = np.arange(n)
+        apart = np.minimum(apart, np.abs(pos[asked][:, None] - pos[near]))
+    return float(np.quantile(apart, recall, method="higher") / n)
+
+
 def nearest(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per query its position, the positions of rows that may be among the k nearest (ties included), distances."""
     xx = (x**2).sum(1)
@@ -111,18 +129,20 @@ def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.forall("vec", finite) & F.exists("vec", lambda x: x != 0))
 
 
-def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dimensions: int = DIMENSIONS, order: int = ORDER, window: float = WINDOW, least_window: int = LEAST_WINDOW, block: int = BLOCK, seed: int = 11) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dimensions: int = DIMENSIONS, order: int = ORDER, recall: float = RECALL, window: float | None = None, least_window: int = LEAST_WINDOW, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query(its id column) holds."""
     spark = rows.sparkSession
     runtime.ship(spark)
     clean = valid_vectors(rows, id_col, vec_col)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # A bounded sample, in the order of a hash of the id: it shapes the grid and names the usual length.
+    # A bounded sample, in the order of a hash of the id: it shapes the grid and names the usual length and the window.
     sample = [r.vec for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toLocalIterator()]
     if not sample:
         return empty
     width = max((n := [len(v) for v in sample]), key=n.count)
-    shape = Curves(np.array([v for v in sample if len(v) == width]), curves, dimensions, order, seed)
+    sample = np.array([v for v in sample if len(v) == width])
+    shape = Curves(sample, curves, dimensions, order, seed)
+    share = fitted_window(shape, sample, k, recall) if window is None else window
     clean = clean.filter(F.size("vec") == width)
 
     # The k + 1 smallest ids of each distinct vector; Spark cuts groups to that before it shuffles them.
@@ -158,7 +178,7 @@ def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_c
     for r in counts:
         base.append((r.part, r.curve, total.get(r.curve, 0) - r.low))
         total[r.curve] = total.get(r.curve, 0) + r.n
-    reach = int(max(least_window, np.ceil(window * n)))
+    reach = int(max(least_window, np.ceil(share * n)))
     offsets = F.broadcast(spark.createDataFrame(base, "part int, curve int, base long"))  # as few rows as parts
     placed = order_.join(offsets, ["part", "curve"]).select("curve", "rep", "vh", (F.col("at") + F.col("base")).alias("pos"))
     rows_ = vectors.withColumn("vh", F.xxhash64("vec")).join(placed, ["rep", "vh"])

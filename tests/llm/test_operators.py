@@ -512,6 +512,21 @@ def test_search_recall(spark):
     check_search(narrow.collect(), brute_nearest(rows), 0.9)
 
 
+def test_window_follows_structure(spark):
+    rng = np.random.default_rng(4)
+    plain = rng.standard_normal((3000, 32))
+    lines = rng.standard_normal((40, 32))[rng.integers(0, 40, 3000)] + rng.random((3000, 1)) * rng.standard_normal((1, 32))
+    share = {}
+    for name, x in (("plain", plain), ("lines", lines)):
+        share[name] = hilbert_ann.fitted_window(hilbert_ann.Curves(x[:1500], 8, 8, 7, 11), x[:1500], 10, 0.96)
+    assert share["lines"] < 0.03 < 0.08 < share["plain"] < 0.2
+    rows = list(enumerate(lines.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    check_search(hilbert_ann.search(table, lambda i: i % 100 == 0, least_window=1, block=256).collect(), brute_nearest(rows), 0.9)
+    few = lines[:5]
+    assert hilbert_ann.fitted_window(hilbert_ann.Curves(few, 8, 8, 7, 11), few, 10, 0.96) == 1.0
+
+
 def test_search_with_ties_and_odd_rows(spark):
     hot = [0.5, 0.5, 0.0]
     rows = [(i, hot) for i in range(300)] + [(500, [1.0, 2.0, 3.0]), (501, None), (502, [0.0, 0.0, 0.0]), (503, [1.0, None, 2.0]), (504, [float("nan"), 1.0, 1.0]), (505, [float("inf"), 1.0, 1.0]), (None, hot), (600, [1.0, 2.0, 3.1]), (600, [1.0, 2.0, 3.1]), (700, [-1.0, -2.0, -3.0])]
