@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathlens.llm import runtime
 
@@ -209,30 +210,47 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return prints.join(runtime.stage(named, "fp-components"), "fp")
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def drop_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = 2, width: int = 3) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest id.
 
-    Rows with a null id can't be told apart and stay only where their group has no id at all. Rows that repeat
-    an id count as copies: one of them, by text, stays.
+    Rows with a null id can't be told apart: where their group has no id at all, the first of each fingerprint
+    stays, else none. Rows that repeat an id count as copies: the first stays. First is by text, then by the whole row.
     """
-    found = runtime.stage(near_duplicates(docs, id_col=id_col, **kw), "near-duplicates")
+    found = runtime.stage(near_duplicates(docs, text_col, id_col, radius, width), "near-duplicates")
     gone = runtime.stage(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(), "duplicate-ids")
-    kept = docs.join(gone, id_col, "left_anti")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     odd = runtime.stage(found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias(id_col)), "repeated-ids")
     if odd.isEmpty():
         return kept
     single = kept.join(odd, id_col, "left_anti").filter(F.col(id_col).isNotNull())
-    again = kept.join(odd, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = fingerprints_of_nameless(docs, found, id_col)
-    return single.union(again).union(nameless)
+    again = first_rows(kept.join(odd, id_col, "left_semi"), id_col, text_col)
+    fp = free_name(docs, "__fp")
+    lone = found.filter("component_id is null").select(F.col("fp").alias(fp)).distinct()
+    nameless = with_fingerprint(docs.filter(F.col(id_col).isNull()), fp, text_col, width).join(lone, fp, "left_semi")
+    return single.select(*docs.columns).union(again.select(*docs.columns)).union(first_rows(nameless, fp, text_col).select(*docs.columns))
 
 
-def fingerprints_of_nameless(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """Rows without an id whose group has no id either, one per text."""
-    from pyspark.sql.types import LongType
+def free_name(rows: DataFrame, name: str) -> str:
+    """name, longer by underscores where rows has such a column."""
+    while name.lower() in (c.lower() for c in rows.columns):
+        name += "_"
+    return name
 
-    nameless = docs.filter(F.col(id_col).isNull())
-    lone = found.filter("component_id is null").select("fp").distinct()
-    fp = F.udf(lambda t: int(np.uint64(fingerprint(t)).astype(np.int64)), LongType())("text")
-    marked = nameless.withColumn("__fp", fp)
-    return marked.join(lone.withColumnRenamed("fp", "__fp"), "__fp", "left_semi").dropDuplicates(["__fp"]).select(*docs.columns)
+
+def first_rows(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """One row of each key; Spark cuts a key's rows to one before it shuffles them."""
+    order, n = Window.partitionBy(key).orderBy(text_col, F.to_json(F.struct(*rows.columns))), free_name(rows, "__n")
+    return rows.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).drop(n)
+
+
+def with_fingerprint(docs: DataFrame, out_col: str, text_col: str, width: int) -> DataFrame:
+    """docs with their fingerprints as out_col, a new column."""
+    runtime.ship(docs.sparkSession)
+    at, names = docs.columns.index(text_col), [*docs.columns, out_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runtime.slices(batches):
+            fp = np.array([fingerprint(t, width) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())]))

@@ -209,6 +209,16 @@ def test_duplicates_on_odd_rows(spark):
     assert simhash_vptree.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_repeated_and_missing_ids_keep_the_first_row(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "b " + long[::-1], 2, "x"), (5, "a other words stand here", 9, "x"), (None, long, 7, "b"), (None, long, 3, "b"), (None, "lonely text of its own kind", 1, "b"), (8, "a other words stand here", 0, "x"), (9, None, 1, "x"), (None, None, 1, "y")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, __fp long, __n string").repartition(3)
+        kept = simhash_vptree.drop_duplicates(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[6]], key=str)
+
+
 # --- 4
 
 
