@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathlens.llm import best_fit, decontaminate, pii, quality_gbdt, runtime, simhash_vptree
+from pathlens.llm import best_fit, decontaminate, near_copies, pii, quality_gbdt, runtime
 from pathlens.llm.queries import QUALITY_CUT
 
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    return simhash_vptree.drop_duplicates(docs)
+    """Keeps one document of each group of near copies: Jaccard 0.8 or more over 5-word shingles."""
+    return near_copies.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

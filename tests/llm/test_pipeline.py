@@ -1,7 +1,9 @@
 """The pipeline against a brute-force version, stage by stage, each on its own input."""
 
+import random
+
 import corpus_pipeline
-from pathlens.llm import pii, quality_gbdt, queries, runtime
+from pathlens.llm import near_copies, pii, quality_gbdt, queries, runtime
 
 from .test_operators import brute_base, brute_components, brute_fingerprint, brute_hits, check_packing
 
@@ -59,3 +61,31 @@ def test_stages_take_odd_rows(spark, tmp_path, sf_dir):
             assert name == "packing" or given.columns == docs.columns
     quality = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
     assert quality.columns == docs.columns and quality.count() <= len(rows)
+
+
+def test_near_copies_against_brute_force_jaccard(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(3, 300))) for _ in range(40)]
+    for t in texts[:30]:
+        for _ in range(5):
+            words = t.split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words + rng.choices(vocabulary, k=rng.randrange(3))))
+    foot = " ".join(rng.choices(vocabulary, k=50))  # text that many share
+    texts += [f"{' '.join(rng.choices(vocabulary, k=rng.randrange(1, 40)))} {foot}" for _ in range(60)] + ["", "  ", "Same few", "same  FEW"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert 100 < len(set(group)) < len(texts) - 80
+    for sample in (1, near_copies.SAMPLE):  # the order of shingles changes no result
+        old, near_copies.SAMPLE = near_copies.SAMPLE, sample
+        try:
+            assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(group))
+        finally:
+            near_copies.SAMPLE = old
