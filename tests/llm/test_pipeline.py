@@ -89,3 +89,13 @@ def test_near_copies_against_brute_force_jaccard(spark):
             assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(group))
         finally:
             near_copies.SAMPLE = old
+
+
+def test_near_copies_go_by_row_and_not_by_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, long, 1), (7, long + " end", 1), (7, "a text of its own that nobody else has", 1), (7, "another one with other words in it", 1), (7, long, 2), (None, long, 3), (None, "two rows without any id here", 5), (None, "two rows without any id here", 4), (None, "lone row without an id", 1)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, __node long").repartition(3)
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[7], rows[8]], key=str)
