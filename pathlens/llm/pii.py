@@ -8,9 +8,9 @@ least ``support`` different contexts show them together (so copies of one passag
 near the entity become spans of kind ``term``. Sanitising replaces base spans by their kind, and terms by
 ``[NAME]`` when capitalised (generalised), else removes them.
 
-Null text counts as empty. Rows with a null id take part in the statistics and get their base spans; term spans
-go to rows by id, so rows that repeat an id share theirs where the text at that place agrees. Extra columns
-pass by.
+Null text counts as empty. Term spans go to rows by id and text (XXH64), nulls equal, so rows with a null id and
+rows that repeat an id with other texts get those of their own text. Rows with a null id count as one document
+for entities and terms, and not for their co-occurrence. Extra columns pass by.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlens.llm import runtime
@@ -106,10 +106,14 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int
             yield entity, _hash(m[0].lower()), _hash("\n".join(edges)), m.start(), m.end()
 
 
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, spans (start, end, kind number, three in a row), near (five in a row as in contexts)."""
+    """Per row: doc_id, text_key, spans (start, end, kind number, three in a row), near (five in a row as in contexts)."""
     runtime.ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):
@@ -118,16 +122,17 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
                 s = base_spans(t or "")
                 spans.append([x for y in s for x in y])
                 near.append([x for y in contexts(t, s) for x in y] if s else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, schema.types[1]), pa.array(near, schema.types[2])], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(spans, schema.types[2]), pa.array(near, schema.types[3])], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, spans array<long>, near array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, spans array<long>, near array<long>")
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """One row per term next to a base span: doc_id, entity, term, context, start, end."""
+    """One row per term next to a base span: doc_id, text_key, entity, term, context, start, end."""
     at = F.explode(F.sequence(F.lit(0), (F.size("near") / 5).cast("int") - 1)).alias("k")
     part = lambda i: F.get("near", F.col("k") * 5 + i)
-    return found.filter(F.size("near") > 0).select("doc_id", "near", at).select("doc_id", *(part(i).alias(c) for i, c in enumerate(("entity", "term", "context", "start", "end"))))
+    return found.filter(F.size("near") > 0).select("doc_id", "text_key", "near", at).select("doc_id", "text_key", *(part(i).alias(c) for i, c in enumerate(("entity", "term", "context", "start", "end"))))
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -224,6 +229,12 @@ def rules(docs: DataFrame, near: DataFrame, text_col: str = "text", support: int
     return pairs.join(df, "term").filter(tells).select("entity", "term")
 
 
+def term_spans(near: DataFrame, telling: DataFrame) -> DataFrame:
+    """doc_id, text_key, terms (start, end in a row): a document's spans near its own mentions, bounded by the document."""
+    hits = near.join(telling, ["entity", "term"], "left_semi")
+    return hits.groupBy("doc_id", "text_key").agg(F.flatten(F.array_sort(F.collect_set(F.array("start", "end")))).alias("terms"))
+
+
 def analyse(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """Per row: doc_id, base (start, end, kind number in a row), terms (start, end in a row) that disclose."""
     found = runtime.stage(find(docs, text_col, id_col), "pii-found")
@@ -231,10 +242,9 @@ def analyse(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sup
     telling = runtime.stage(rules(docs, near, text_col, support, share), "pii-rules")
     if telling.isEmpty():
         return found.select("doc_id", F.col("spans").alias("base"), F.array().cast("array<long>").alias("terms"))
-    hits = near.filter("doc_id is not null").join(telling, ["entity", "term"], "left_semi")
-    # A document's spans near its own mentions: bounded by the document.
-    terms = hits.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_set(F.array("start", "end")))).alias("terms"))
-    return found.join(runtime.stage(terms, "pii-terms"), "doc_id", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
+    terms = runtime.stage(term_spans(near, telling), "pii-terms").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "terms")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
+    return found.join(terms, same, "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -272,7 +282,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
     """docs with spans replaced in text_col, and length_col (if there) set to the new length in code points.
 
     Where at most RULES_ON_DRIVER (entity, term) rules hold, they are broadcast and texts aren't shuffled;
-    beyond that the term spans are joined by id.
+    beyond that the term spans are joined by id and text.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
@@ -285,8 +295,9 @@ def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", le
     known = spark.sparkContext.broadcast({(r[0], r[1]) for r in telling.toLocalIterator()} if small else set())
     src = docs
     if not small:
-        hits = mentions(found).filter("doc_id is not null").join(telling, ["entity", "term"], "left_semi")
-        src = docs.join(hits.groupBy(F.col("doc_id").alias(id_col)).agg(F.flatten(F.array_sort(F.collect_set(F.array("start", "end")))).alias("__terms")), id_col, "left").select(*names, "__terms")
+        terms = runtime.stage(term_spans(mentions(found), telling), "pii-terms").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("terms").alias("__terms"))
+        same = docs[id_col].cast("long").eqNullSafe(terms["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == terms["__key"])
+        src = docs.join(terms, same, "left").select(*(docs[c] for c in names), terms["__terms"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):

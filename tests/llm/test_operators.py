@@ -322,6 +322,24 @@ def test_disclosing_terms(spark):
         pii.RULES_ON_DRIVER = old
 
 
+def test_disclosing_terms_go_to_the_row_with_the_text(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, f"{word()} {word()} and the {word()}") for i in range(400)]
+    rows += [(1000 + i, f"{word()} {word()} the Quentinson {word()} q.son@mail.org and {word()} {word()}") for i in range(8)]
+    rows += [(None, f"{word()} nameless the Quentinson {word()} q.son@mail.org and {word()}"), (None, "no data of this kind"), (1000, "other text under the id of the first"), (1001, None)]
+    docs = frame(spark, rows)
+    found = pii.analyse(docs).collect()
+    assert sorted((str(r.doc_id), len(r.terms)) for r in found if r.doc_id in (None, 1000, 1001)) == [("1000", 0), ("1000", 2), ("1001", 0), ("1001", 2), ("None", 0), ("None", 2)]
+    clean = sorted(((r.doc_id, r.text) for r in pii.sanitise(docs).collect()), key=str)
+    assert len(clean) == len(rows) and not any("Quentinson" in (t or "") for _, t in clean) and {rows[-1], rows[-2], rows[-3]} <= set(clean)
+    old, pii.RULES_ON_DRIVER = pii.RULES_ON_DRIVER, 0
+    try:
+        assert sorted(((r.doc_id, r.text) for r in pii.sanitise(docs).collect()), key=str) == clean
+    finally:
+        pii.RULES_ON_DRIVER = old
+
+
 @pytest.mark.parametrize("page, chars", [("<a" * 20_000, 40_000), ("".join(f"<div>text {i}, words." for i in range(5000)), 93_888), ("<noscript>x" * 20_000, 20_000), ("<div>" * 3000 + "</section></p>" * 20_000, 0), ("<p>a, b.</p>x > y <!-- " + "c" * 9, 12), ("<!-- a > b", 0)])
 def test_pages_that_would_take_minutes_if_read_again_for_each_tag(page, chars):
     assert len(html_extract.main_text(page)) == chars
