@@ -18,8 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +29,10 @@ from pathlens.llm.simhash_vptree import SEED, components, free_name
 
 WIDTH = 5
 #: Texts and shingles that the order of shingles is learned from.
-SAMPLE, FREQUENT = 20_000, 200_000
+SAMPLE, FREQUENT = 5_000, 200_000
+#: Texts whose postings a bucket holds on average.
+BUCKET = 20_000
+POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,32 +80,54 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(docs: DataFrame, text_col: str) -> DataFrame:
-    """node, n (size of its set), shingle, at (its place in the order) for the shingles that candidates share."""
+    """node, n (size of its set), shingle, at (its place in the order) of first shingles that nodes share, and the same of the smallest node there.
+
+    Postings are packed and shuffled once, by bucket of shingles.
+    """
     known, counts = frequent(docs, text_col)
     shipped = docs.sparkSession.sparkContext.broadcast((known, counts))
+    buckets = max(runtime.count_partitions(docs.sparkSession), docs.count() // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shipped.value
         for b in runtime.slices(batches):
-            nodes, sizes, first = [], [], []
+            made = []
             for t in b.column(0).to_pylist():
                 words = words_of(t)
                 h = shingles(words)
                 if len(known):
                     k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[k] == h, counts[k], 0), kind="stable")]
-                nodes.append(node_of(words))
-                sizes.append(len(h))
-                first.append(h[: prefix(len(h))])
-            lengths = [len(x) for x in first]
-            at = np.concatenate([np.arange(x) for x in lengths])
-            arrays = [pa.array(np.repeat(np.array(nodes, np.uint64).view(np.int64), lengths)), pa.array(np.repeat(sizes, lengths)), pa.array(np.concatenate(first)), pa.array(at)]
-            yield pa.RecordBatch.from_arrays([a.cast(pa.int64()) for a in arrays], names=["node", "n", "shingle", "at"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, n long, shingle long, at long")
-    every = runtime.stage(rows.select("node", F.col("n").cast("int"), "shingle", F.col("at").cast("int")), "copy-postings")
-    shared = every.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("shingle", "least")
-    return runtime.stage(every.join(runtime.stage(shared, "copy-shared"), "shingle").distinct(), "copy-candidates")
+                rows = np.empty(prefix(len(h)), POSTING)
+                rows["shingle"], rows["n"], rows["at"] = h[: len(rows)], len(h), np.arange(len(rows))
+                rows["node"] = np.uint64(node_of(words)).astype(np.int64)
+                made.append(rows)
+            rows = np.concatenate(made)
+            bucket = np.ascontiguousarray(rows["shingle"]).view(np.uint64) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            names, starts = np.unique(bucket[order], return_index=True)
+            blobs = [x.tobytes() for x in np.split(rows[order], starts[1:])] if len(names) else []
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    def shared(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(g.blob), POSTING)
+        x = x[np.lexsort((x["node"], x["shingle"]))]
+        new = np.ones(len(x), bool)
+        new[1:] = (x["shingle"][1:] != x["shingle"][:-1]) | (x["node"][1:] != x["node"][:-1])  # exact copies are one node
+        x = x[new]
+        _, starts, n = np.unique(x["shingle"], return_index=True, return_counts=True)
+        keep, least = np.repeat(n > 1, n), x[np.repeat(starts, n)]
+        x, least = x[keep], least[keep]
+        return pd.DataFrame({"node": x["node"], "n": x["n"], "shingle": x["shingle"], "at": x["at"], "least": least["node"], "least_n": least["n"], "least_at": least["at"]})
+
+    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, blob binary")
+    return runtime.stage(packed.groupBy("bucket").applyInPandas(shared, "node long, n int, shingle long, at int, least long, least_n int, least_at int"), "copy-candidates")
+
+
+def possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
+    """Whether sets that share a shingle at these places may share enough."""
+    most = F.least(at, other_at) + F.least(n - at, other_n - other_at)
+    return 9 * most >= 4 * (n + other_n)
 
 
 def similar(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
@@ -142,13 +168,12 @@ def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     if found.isEmpty():
         return roots
-    first = similar(docs, found.filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")), text_col)
+    first = similar(docs, found.filter("node != least").filter(possible(*map(F.col, ("n", "at", "least_n", "least_at")))).select(F.col("node").alias("a"), F.col("least").alias("b")), text_col)
     if not first.isEmpty():
         roots = rooted(first)
     rows = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     x, y = rows.alias("x"), rows.alias("y")
-    both = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1  # most that the sets may share
-    can = (F.col("x.node") > F.col("y.node")) & (F.col("y.node") != F.col("y.least")) & (F.col("x.root") != F.col("y.root")) & (9 * both >= 4 * (F.col("x.n") + F.col("y.n")))
+    can = (F.col("x.node") > F.col("y.node")) & (F.col("y.node") != F.col("y.least")) & (F.col("x.root") != F.col("y.root")) & possible(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))
     more = similar(docs, x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), text_col)
     if more.isEmpty():
         return roots
