@@ -1,16 +1,19 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, all of them.
 
 A row's node is the XXH64 value of its words (lower-cased as in simhash_vptree), so exact copies are one node.
-Shingles are hashed and put in one order: those frequent in a bounded sample last, then by hash. Two sets of that
-similarity share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each, whatever the order is, so the nodes
-under one such shingle are the candidates; the sample decides how many there are, not which pairs are found.
-Sizes and places in the order rule out most, exact Jaccard over the whole sets decides the rest. Each shingle's
-nodes are first compared with its smallest one, and only nodes not yet linked with each other, so that a cluster
-costs its size and not its square.
+Candidates come from two sides. The vantage-point trees of simhash_vptree give the nodes whose 5-word
+fingerprints differ in 2 bits or fewer; most near copies differ in more, at which the trees' boundaries overlap
+too far to divide anything. So a prefix filter gives the rest: shingles are put in one order, those frequent in a
+bounded sample last, then by hash; two sets of that similarity share a shingle among the first
+|x| - ceil(0.8 |x|) + 1 of each, whatever the order is. The sample decides how many candidates there are, not which
+pairs are found. Sizes, places in the order and parity bitmaps (each differing bit is a shingle that one side
+lacks) rule out most; exact Jaccard over the whole sets decides the rest. Each shingle's nodes are first compared
+with its smallest one, and only nodes not yet linked with each other, so that a cluster costs its size and not
+its square.
 
 Fewer than five words are one shingle. Null and empty texts are one node. Of each component of linked nodes one
 row stays, chosen by id (null last), node, text and the whole row; a row goes for its own text only, whatever
-other rows have its id.
+other rows have its id. Very long texts count whole; an empty table gives an empty one; ties go by that order.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlens.llm import runtime
-from pathlens.llm.simhash_vptree import SEED, components, free_name
+from pathlens.llm import bloom, runtime
+from pathlens.llm.simhash_vptree import SEED, components, free_name, majority, shard_links
 
 WIDTH = 5
 #: Texts and shingles that the order of shingles is learned from.
 SAMPLE, FREQUENT = 5_000, 200_000
 #: Texts whose postings a bucket holds on average.
 BUCKET = 20_000
+#: Differing bits at which the trees link fingerprints.
+RADIUS = 2
 POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
@@ -45,14 +50,31 @@ def node_of(words: list[bytes]) -> int:
     return xxh64_intdigest(b" ".join(words), SEED)
 
 
-def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles' hashes in order; none of no words."""
+def hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The shingles' hashes, repeats included; none of no words."""
     from xxhash import xxh64_intdigest
 
     if not words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     runs = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in runs), np.uint64).view(np.int64))
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in runs), np.uint64)
+
+
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles' hashes in order."""
+    return np.unique(hashes(words, width).view(np.int64))
+
+
+def parity(h: np.ndarray) -> bytes:
+    """A bitmap of some two bits a shingle: bit i is set if an odd number of shingles falls on it."""
+    size = 1 << max(6, (2 * len(h)).bit_length())
+    return np.packbits(np.bincount((h.view(np.uint64) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Differing bits of two bitmaps, the longer one folded: at most as many as the shingles that only one set has."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
 def as_long(x: list[int]) -> pa.Array:
@@ -79,10 +101,11 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return top.shingle.to_numpy(np.int64), top.n.to_numpy(np.int64)
 
 
-def postings(docs: DataFrame, text_col: str) -> DataFrame:
-    """node, n (size of its set), shingle, at (its place in the order) of first shingles that nodes share, and the same of the smallest node there.
+def postings(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """First shingles that nodes share, and the nodes.
 
-    Postings are packed and shuffled once, by bucket of shingles.
+    The first: node, n (size of its set), shingle, at (its place in the order), and the same of the smallest node
+    there. The second: node, n, fp (fingerprint), bitmap. Both are packed and shuffled once, by bucket.
     """
     known, counts = frequent(docs, text_col)
     shipped = docs.sparkSession.sparkContext.broadcast((known, counts))
@@ -91,25 +114,38 @@ def postings(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shipped.value
         for b in runtime.slices(batches):
-            made = []
+            made, nodes = [], {}
             for t in b.column(0).to_pylist():
                 words = words_of(t)
-                h = shingles(words)
+                node = int(np.uint64(node_of(words)).astype(np.int64))
+                if node in nodes:
+                    continue
+                raw = hashes(words)
+                h = np.unique(raw.view(np.int64))
+                nodes[node] = (len(h), int(np.uint64(majority([raw], len(raw))).astype(np.int64)), parity(h))
                 if len(known):
                     k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[k] == h, counts[k], 0), kind="stable")]
                 rows = np.empty(prefix(len(h)), POSTING)
                 rows["shingle"], rows["n"], rows["at"] = h[: len(rows)], len(h), np.arange(len(rows))
-                rows["node"] = np.uint64(node_of(words)).astype(np.int64)
+                rows["node"] = node
                 made.append(rows)
             rows = np.concatenate(made)
             bucket = np.ascontiguousarray(rows["shingle"]).view(np.uint64) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             names, starts = np.unique(bucket[order], return_index=True)
             blobs = [x.tobytes() for x in np.split(rows[order], starts[1:])] if len(names) else []
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            n, fp, bitmap = zip(*nodes.values())
+            none = [None] * len(nodes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*names.astype(np.int64), *(-1 - x % buckets for x in nodes)], pa.int64()), pa.array([*blobs, *none], pa.binary())]
+                + [pa.array([*[None] * len(blobs), *x], t) for x, t in zip((nodes, n, fp, bitmap), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
+                names=["bucket", "blob", "node", "n", "fp", "bitmap"],
+            )
 
     def shared(g: pd.DataFrame) -> pd.DataFrame:
+        if g.blob.iloc[0] is None:
+            return g.drop_duplicates("node")[["node", "n", "fp", "bitmap"]].assign(shingle=None, at=None, least=None, least_n=None, least_at=None)
         x = np.frombuffer(b"".join(g.blob), POSTING)
         x = x[np.lexsort((x["node"], x["shingle"]))]
         new = np.ones(len(x), bool)
@@ -118,10 +154,20 @@ def postings(docs: DataFrame, text_col: str) -> DataFrame:
         _, starts, n = np.unique(x["shingle"], return_index=True, return_counts=True)
         keep, least = np.repeat(n > 1, n), x[np.repeat(starts, n)]
         x, least = x[keep], least[keep]
-        return pd.DataFrame({"node": x["node"], "n": x["n"], "shingle": x["shingle"], "at": x["at"], "least": least["node"], "least_n": least["n"], "least_at": least["at"]})
+        return pd.DataFrame({"node": x["node"], "n": x["n"], "shingle": x["shingle"], "at": x["at"], "least": least["node"], "least_n": least["n"], "least_at": least["at"]}).assign(fp=None, bitmap=None)
+
+    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, blob binary, node long, n int, fp long, bitmap binary")
+    found = runtime.stage(packed.groupBy("bucket").applyInPandas(shared, "node long, n int, fp long, bitmap binary, shingle long, at int, least long, least_n int, least_at int"), "copy-candidates")
+    return found.filter("bitmap is null").drop("fp", "bitmap"), found.filter("bitmap is not null").select("node", "n", "fp", "bitmap")
 
-    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, blob binary")
-    return runtime.stage(packed.groupBy("bucket").applyInPandas(shared, "node long, n int, shingle long, at int, least long, least_n int, least_at int"), "copy-candidates")
+
+def tree_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes with one fingerprint, and nodes whose fingerprints the trees link, each by its smallest node."""
+    least = runtime.stage(nodes.groupBy("fp").agg(F.min("node").alias("b"), F.count("*").alias("n")), "copy-fingerprints")
+    same = nodes.join(least.filter("n > 1").select("fp", "b"), "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
+    links = runtime.stage(shard_links(least, RADIUS, least.count()), "copy-fp-links")
+    one, two = least.select(F.col("fp").alias("a"), F.col("b").alias("x")), least.select(F.col("fp").alias("b"), F.col("b").alias("y"))
+    return same.union(links.join(one, "a").join(two, "b").select(F.greatest("x", "y"), F.least("x", "y")))
 
 
 def possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
@@ -130,28 +176,47 @@ def possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Column
     return 9 * most >= 4 * (n + other_n)
 
 
-def similar(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runtime.slices(batches, rows=8192):
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            keep = [9 * differing(x, y) <= s for s, x, y in zip(n, b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     pairs = runtime.stage(pairs.distinct(), "copy-pairs")
+    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}")) for c in "ab")
+    rated = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
+    pairs = runtime.stage(rated.mapInArrow(likely, "a long, b long"), "copy-likely")
     wanted = runtime.stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "copy-wanted")
+    # Texts stay where they are: those that the filter passes give their sets, and false ones go in the join.
+    shipped = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "node"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task give one set, as far as a bounded memory tells
         for b in runtime.slices(batches):
-            sets = pa.array([shingles(words_of(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["node", "has"])
+            words = [words_of(t) for t in b.column(0).to_pylist()]
+            node = np.array([node_of(w) for w in words], np.uint64).view(np.int64)
+            has = {}
+            for i in np.flatnonzero(bloom.contains(shipped.value, node)):
+                if (k := int(node[i])) not in seen:
+                    has[k] = shingles(words[i]).tobytes()
+                    if len(seen) < 200_000:
+                        seen.add(k)
+            yield pa.RecordBatch.from_arrays([pa.array(has.keys(), pa.int64()), pa.array(has.values(), pa.binary())], names=["node", "has"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(9 * both >= 4 * (len(x) + len(y)))  # 5 * both >= 4 * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    node = free_name(docs, "__node")
-    texts = with_node(docs, node, text_col).select(F.col(node).alias("node"), F.col(text_col).cast("string").alias("text"))
-    sets = runtime.stage(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(run, "node long, has array<long>"), "copy-sets")
+    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(sets_of, "node long, has binary")
+    sets = runtime.stage(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("has").alias("has")), "copy-sets")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("has").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("has").alias("y")), "b")
     return runtime.stage(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "copy-links")
 
@@ -164,42 +229,50 @@ def rooted(links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root) of all nodes with a near copy; root is the smallest node linked to them."""
-    found = postings(docs, text_col)
+    found, nodes = postings(docs, text_col)
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     if found.isEmpty():
         return roots
-    first = similar(docs, found.filter("node != least").filter(possible(*map(F.col, ("n", "at", "least_n", "least_at")))).select(F.col("node").alias("a"), F.col("least").alias("b")), text_col)
+    by_prefix = found.filter("node != least").filter(possible(*map(F.col, ("n", "at", "least_n", "least_at")))).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    first = similar(docs, nodes, tree_pairs(nodes).union(by_prefix), text_col)
     if not first.isEmpty():
         roots = rooted(first)
     rows = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     x, y = rows.alias("x"), rows.alias("y")
     can = (F.col("x.node") > F.col("y.node")) & (F.col("y.node") != F.col("y.least")) & (F.col("x.root") != F.col("y.root")) & possible(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))
-    more = similar(docs, x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), text_col)
+    more = similar(docs, nodes, x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), text_col)
     if more.isEmpty():
         return roots
     return rooted(first.union(more))
 
 
-def with_node(docs: DataFrame, out_col: str, text_col: str) -> DataFrame:
-    """docs with their nodes as out_col, a new column."""
+def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each component of near copies.
+
+    Rows that no copy can have, by a Bloom filter over the nodes with copies, pass by without a shuffle.
+    """
     runtime.ship(docs.sparkSession)
-    at, names = docs.columns.index(text_col), [*docs.columns, out_col]
+    node, root, n, may = (free_name(docs, c) for c in ("__node", "__root", "__n", "__may"))
+    near = linked(docs, text_col)
+    at, names = docs.columns.index(text_col), docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, as_long([node_of(words_of(t)) for t in b.column(at).to_pylist()])], names=names)
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())]))
+            yield pa.RecordBatch.from_arrays([as_long([node_of(words_of(t)) for t in b.column(0).to_pylist()])], names=["node"])
 
+    own = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(nodes_of, "node long")
+    copied = runtime.stage(own.groupBy("node").count().filter("count > 1").select("node"), "copied-nodes")
+    groups = runtime.stage(copied.join(near, "node", "full").select("node", F.coalesce("root", "node").alias("root")), "copy-groups")
+    shipped = docs.sparkSession.sparkContext.broadcast(bloom.build(groups, "node"))
 
-def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each component of near copies."""
-    runtime.ship(docs.sparkSession)
-    node, root, n = (free_name(docs, c) for c in ("__node", "__root", "__n"))
-    known = with_node(docs, node, text_col)
-    near = linked(docs, text_col).select(F.col("node").alias(node), F.col("root").alias(root))
-    copied = runtime.stage(known.groupBy(node).count().filter("count > 1").select(node), "copied-nodes")
-    groups = runtime.stage(copied.join(near, node, "full").select(node, F.coalesce(root, node).alias(root)), "copy-groups")
-    order = Window.partitionBy(root).orderBy(F.col(id_col).asc_nulls_last(), node, text_col, F.to_json(F.struct(*docs.columns)))
-    one = known.join(groups, node).withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1)
-    return known.join(groups, node, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runtime.slices(batches):
+            own = np.array([node_of(words_of(t)) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(bloom.contains(shipped.value, own))], names=[*names, node, may])
+
+    known = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(node, T.LongType()), T.StructField(may, T.BooleanType())]))
+    named = groups.select(F.col("node").alias(node), F.col("root").alias(root))
+    held = known.filter(F.col(may)).join(named, node, "left")
+    order = Window.partitionBy(root).orderBy(F.col(id_col).asc_nulls_last(), node, text_col, F.to_json(F.struct(*names)))
+    one = held.filter(F.col(root).isNotNull()).withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1)
+    return known.filter(~F.col(may)).select(*names).union(held.filter(F.col(root).isNull()).select(*names)).union(one.select(*names))

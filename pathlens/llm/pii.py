@@ -1,16 +1,22 @@
 """Personal data by patterns, and terms that disclose it by corpus co-occurrence.
 
 Four kinds of personal data are found by pattern: these base spans always stay. The information-theoretic part
-then treats each distinct value as a protected entity and the words around its mentions as terms. Over the whole
-corpus it counts df(term), df(entity) and, with distinct contexts, their co-occurrence. A term discloses an
-entity when their pointwise mutual information reaches ``share`` of the entity's information content and at
-least ``support`` different contexts show them together (so copies of one passage are no evidence); its mentions
-near the entity become spans of kind ``term``. Sanitising replaces base spans by their kind, and terms by
-``[NAME]`` when capitalised (generalised), else removes them.
-
-Null text counts as empty. Term spans go to rows by id and text (XXH64), nulls equal, so rows with a null id and
-rows that repeat an id with other texts get those of their own text. Rows with a null id count as one document
-for entities and terms, and not for their co-occurrence. Extra columns pass by.
+treats each distinct value as a protected entity c and the words of the documents that print it as terms t. With
+N rows, df(c), df(t) and co(c, t) rows that hold them (whole texts, wherever the words stand):
+
+    IC(c) = log2(N / df(c))        PMI(c; t) = log2(N * co / (df(c) * df(t)))
+
+A term discloses an entity when it gives ``share`` of the entity's information content and ``bits`` bits at
+least, the evidence that a chance meeting wouldn't give. An entity printed once is so judged by its own rarity: a
+term in few enough other documents gives it away. An entity in so many rows that its content is under ``bits``
+bits is public. Copies add no evidence, as they raise both sides alike and lower the content. Every mention of a
+disclosing term outside base spans, in any document of its entity, becomes a span of kind ``term``. Sanitising
+replaces base spans by their kind, and terms by ``[NAME]`` when capitalised (generalised), else removes them.
+
+Null text counts as empty; empty and null texts, empty tables and tables of under 2 ** ``bits`` rows have no terms.
+Spans depend on a row's text alone (joined by its XXH64; offsets come from the row's own text), so repeated ids,
+null ids and repeated rows need no rule. Very long texts are read whole. Ties can't occur: each term passes or
+fails by itself. Extra columns of any name pass by.
 """
 
 from __future__ import annotations
@@ -25,8 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pathlens.llm import runtime
+from pathlens.llm import bloom, runtime
+from pathlens.llm.simhash_vptree import free_name
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,9 +44,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-WINDOW_CHARS, WINDOW_TERMS = 120, 6
-SUPPORT, SHARE = 3, 0.9
-BLOOM_BITS = 1 << 23
+BITS, SHARE = 10.0, 0.9
+#: A term in over this share of the rows with entities is common: there are few of those, and they stay out of joins.
+COMMON = 0.001
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -82,28 +90,19 @@ def _hash(value: str) -> int:
     return int(np.uint64(xxh64_intdigest(value.encode("utf-8", "replace"))).astype(np.int64))
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(entity, term, context, start, end) of the words next to each base span, on its line, outside spans."""
+def entity_of(text: str, span: tuple[int, int, int]) -> int:
+    s, e, kind = span
+    return _hash(f"{KINDS[kind]}:{text[s:e].lower() if kind == 0 else re.sub(r'[^0-9.]', '', text[s:e])}")
+
+
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(folded word, start, end) of the words that touch no base span."""
     starts = [s for s, _, _ in spans]
     reach = list(accumulate((e for _, e, _ in spans), max))  # spans may overlap: the furthest end so far
-
-    def outside(m: re.Match) -> bool:
+    for m in TERM.finditer(text):
         k = bisect_left(starts, m.end())
-        return not k or reach[k - 1] <= m.start()
-
-    for s, e, kind in spans:
-        value = text[s:e].lower() if kind == 0 else re.sub(r"[^0-9.]", "", text[s:e])
-        left = max(0, s - WINDOW_CHARS)
-        before = list(TERM.finditer(text, max(left, text.rfind("\n", left, s) + 1), s))[-WINDOW_TERMS:]
-        right = min(len(text), e + WINDOW_CHARS)
-        line_end = text.find("\n", e, right)
-        after = list(TERM.finditer(text, e, line_end if line_end >= 0 else right))[:WINDOW_TERMS]
-        free = [[m for m in side if outside(m)] for side in (before[::-1], after)]
-        entity = _hash(f"{KINDS[kind]}:{value}")
-        for m in sorted(free[0] + free[1], key=re.Match.start):
-            # The nearest other word on either side: edits elsewhere in a copied passage make no new context.
-            edges = (next((x[0].lower() for x in side if x is not m), "") for side in free)
-            yield entity, _hash(m[0].lower()), _hash("\n".join(edges)), m.start(), m.end()
+        if not k or reach[k - 1] <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
 def text_key(text_col: str) -> Column:
@@ -111,43 +110,39 @@ def text_key(text_col: str) -> Column:
 
 
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, text_key, spans (start, end, kind number, three in a row), near (five in a row as in contexts)."""
+    """Per row: doc_id, text_key, base (start, end, kind number, three in a row); where there are base spans also
+    entities and terms (distinct hashes) and places (the terms' mentions, three 32-bit integers each: term, start, end)."""
     runtime.ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", longs), ("entities", longs), ("terms", longs), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):
-            spans, near = [], []
+            base, entities, terms, places = [], [], [], []
             for t in b.column(1).to_pylist():
-                s = base_spans(t or "")
-                spans.append([x for y in s for x in y])
-                near.append([x for y in contexts(t, s) for x in y] if s else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(spans, schema.types[2]), pa.array(near, schema.types[3])], schema=schema)
+                spans = base_spans(t or "")
+                base.append([x for y in spans for x in y])
+                entities.append(list({entity_of(t, s) for s in spans}))
+                at: dict[str, int] = {}
+                own = [(at.setdefault(w, len(at)), s, e) for w, s, e in words_outside(t, spans)] if spans else []
+                terms.append([_hash(w) for w in at])
+                places.append(np.array(own, "<i4").tobytes())
+            cols = [b.column(0), b.column(2), *(pa.array(c, longs) for c in (base, entities, terms)), pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, spans array<long>, near array<long>")
-
-
-def mentions(found: DataFrame) -> DataFrame:
-    """One row per term next to a base span: doc_id, text_key, entity, term, context, start, end."""
-    at = F.explode(F.sequence(F.lit(0), (F.size("near") / 5).cast("int") - 1)).alias("k")
-    part = lambda i: F.get("near", F.col("k") * 5 + i)
-    return found.filter(F.size("near") > 0).select("doc_id", "text_key", "near", at).select("doc_id", "text_key", *(part(i).alias(c) for i, c in enumerate(("entity", "term", "context", "start", "end"))))
+    return rows.mapInArrow(run, "doc_id long, text_key long, base array<long>, entities array<long>, terms array<long>, places binary")
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df) over all of docs for the terms given.
 
-    A Bloom filter of fixed size goes to every task and drops words that are no candidates before the shuffle;
+    A Bloom filter of bounded size goes to every task and drops words that are no candidates before the shuffle;
     the join with terms removes its false positives.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
-    places = terms.select(F.explode(F.array(*(F.pmod(F.xxhash64("term", F.lit(i)), F.lit(BLOOM_BITS)) for i in range(3)))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
-    bloom = np.zeros(BLOOM_BITS // 64, np.int64)
-    bloom[words.w.to_numpy(int)] = words.bits
-    shipped = spark.sparkContext.broadcast(bloom)  # BLOOM_BITS / 8 bytes, whatever the corpus
+    shipped = spark.sparkContext.broadcast(bloom.build(terms, "term"))  # of a bounded size, whatever the corpus
 
     seen: dict[str, int | None] = {}
 
@@ -158,9 +153,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
                 seen.clear()
                 new = list(words)
             h = np.array([_hash(w) for w in new], np.int64)
-            ok = np.ones(len(h), bool)
-            for p in places_of(h):
-                ok &= (shipped.value[p >> 6] >> (p & 63)) & 1 == 1
+            ok = bloom.contains(shipped.value, h)
             seen.update((w, int(x) if k else None) for w, x, k in zip(new, h, ok))
         return [h for w in words if (h := seen[w]) is not None]
 
@@ -185,66 +178,77 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
     return counted.join(terms, "term", "left_semi")
 
 
-def places_of(h: np.ndarray) -> Iterator[np.ndarray]:
-    """The Bloom filter's bits for terms, as Spark's xxhash64(term, i) has them."""
-    for i in range(3):
-        yield _spark_hash(h, i) % BLOOM_BITS
-
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
+    """text_key, terms: the hashes of each text's words that disclose one of its entities.
 
-def _spark_hash(h: np.ndarray, i: int) -> np.ndarray:
-    """xxhash64(long, int) of Spark: XXH64 of 8 bytes with seed 42, then of 4 bytes with that as seed; vectorised."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-
-    def mixed(x):
-        x = (x ^ (x >> np.uint64(33))) * p2
-        x = (x ^ (x >> np.uint64(29))) * p3
-        return x ^ (x >> np.uint64(32))
-
-    with np.errstate(over="ignore"):
-        x = np.uint64(42) + p5 + np.uint64(8)
-        x = x ^ (rot(h.view(np.uint64) * p2, 31) * p1)
-        x = mixed(rot(x, 27) * p1 + p4)
-        x = x + p5 + np.uint64(4)
-        x = x ^ (np.uint64(i) * p1)
-        x = mixed(rot(x, 23) * p2 + p3)
-    return x.view(np.int64)
-
-
-def rules(docs: DataFrame, near: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(entity, term) pairs over the disclosure threshold."""
+    co >= 1 in a text that holds both, so its rarest entity settles most terms by df(t) alone; only what several
+    documents of an entity share is counted in pairs. A term's df is at least that among rows with entities, and co
+    at most df(c), which keeps frequent words out before anything is joined.
+    """
+    spark = docs.sparkSession
+    none = spark.createDataFrame([], "text_key long, terms array<long>")
     total = float(docs.count())
-    by_context = near.groupBy("entity", "term", "context").agg(F.count_distinct("doc_id").alias("n"))
-    pairs = by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together")).filter(F.col("contexts") >= support)
-    with_entity = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    near_term = near.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    pmi = F.log(F.col("together") * total / (F.col("df") * F.col("df_entity")))
-    content = F.log(F.lit(total) / F.col("df_entity"))
-    tells = (content > 0) & (pmi >= share * content)
-    # A term is in at least as many documents as it is near an entity in: who fails with that number fails.
-    pairs = runtime.stage(pairs.join(with_entity, "entity").join(near_term, "term").filter(tells).drop("df"), "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    df = document_frequency(docs, pairs.select("term").distinct(), text_col)
-    return pairs.join(df, "term").filter(tells).select("entity", "term")
-
-
-def term_spans(near: DataFrame, telling: DataFrame) -> DataFrame:
-    """doc_id, text_key, terms (start, end in a row): a document's spans near its own mentions, bounded by the document."""
-    hits = near.join(telling, ["entity", "term"], "left_semi")
-    return hits.groupBy("doc_id", "text_key").agg(F.flatten(F.array_sort(F.collect_set(F.array("start", "end")))).alias("terms"))
-
-
-def analyse(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    held = found.filter(F.size("entities") > 0)
+    entities = held.select("text_key", F.explode("entities").alias("entity"))
+    df_entity = runtime.stage(entities.groupBy("entity").agg(F.count("*").alias("df_entity")), "pii-entities")
+    most = total / 2.0**bits
+    protected = F.col("df_entity") <= most
+    rows, each, widest = held.count(), df_entity.count(), df_entity.filter(protected).agg(F.max("df_entity")).first()[0]
+    if not rows or not each or widest is None:
+        return none
+    # Each of these is in over N / 2 ** bits rows, so there are at most 2 ** bits times the mean entities of a row.
+    public = F.broadcast(df_entity.filter(~protected).select("entity"))
+    own = entities.join(public, "entity", "left_anti").distinct().join(df_entity, "entity")
+    own = runtime.stage(own, "pii-owned")
+    alone = F.least(F.pow(F.lit(total) / F.col("df_entity"), F.lit(1 - share)), F.lit(most) / F.col("df_entity"))
+    shared = F.least(F.pow(F.col("df_entity"), F.lit(share)) * total ** (1 - share), F.lit(most))
+    limits = runtime.stage(own.groupBy("text_key").agg(F.max(alone).alias("alone"), F.max(shared).alias("shared")), "pii-limits")
+    top = min(widest**share * total ** (1 - share), most)
+
+    words = held.select("text_key", F.explode("terms").alias("term"))
+    near = runtime.stage(words.groupBy("term").agg(F.count("*").alias("near")), "pii-near")
+    # At most 1 / COMMON times the mean words of a row.
+    common = F.broadcast(near.filter(F.col("near") > max(top, COMMON * rows)).select("term"))
+    rare = near.filter(F.col("near") <= top).select("term", "near")
+    met = words.join(common, "term", "left_anti").join(rare, "term").distinct()
+    met = runtime.stage(met.join(limits, "text_key").filter("near <= shared").select("text_key", "term", "alone", "shared"), "pii-met")
+    if met.isEmpty():
+        return none
+    df = runtime.stage(document_frequency(docs, met.select("term").distinct(), text_col).filter(F.col("df") <= top), "pii-df")
+    rated = runtime.stage(met.join(df, "term").filter("df <= shared"), "pii-rated")
+    direct = rated.filter("df <= alone").select("text_key", "term")
+    open_ = rated.filter("df > alone").select("term").distinct()
+    several = own.filter("df_entity > 1").select("text_key", "entity", "df_entity")
+    copies = held.groupBy("text_key").agg(F.count("*").alias("rows"))
+    pairs = rated.join(open_, "term", "left_semi").select("text_key", "term", "df").join(several, "text_key")
+    counted = pairs.join(copies, "text_key").groupBy("entity", "term", "df", "df_entity").agg(F.sum("rows").alias("co"))
+    p = F.col("co") / F.col("df")
+    tells = (p >= F.pow(F.col("df_entity") / F.lit(total), F.lit(1 - share))) & (F.col("co") * total >= F.col("df") * F.col("df_entity") * 2.0**bits)
+    rules = runtime.stage(counted.filter(tells).select("entity", "term"), "pii-rules")
+    indirect = pairs.select("text_key", "entity", "term").join(rules, ["entity", "term"], "left_semi").select("text_key", "term")
+    return direct.union(indirect).groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+
+
+def analyse(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """Per row: doc_id, base (start, end, kind number in a row), terms (start, end in a row) that disclose."""
     found = runtime.stage(find(docs, text_col, id_col), "pii-found")
-    near = mentions(found)
-    telling = runtime.stage(rules(docs, near, text_col, support, share), "pii-rules")
-    if telling.isEmpty():
-        return found.select("doc_id", F.col("spans").alias("base"), F.array().cast("array<long>").alias("terms"))
-    terms = runtime.stage(term_spans(near, telling), "pii-terms").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "terms")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
-    return found.join(terms, same, "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
+    telling = runtime.stage(disclosing(docs, found, text_col, share, bits), "pii-telling").select(F.col("text_key").alias("key"), F.col("terms").alias("tell"))
+    empty = F.array().cast("array<long>")
+    schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runtime.slices(batches):
+            out = []
+            for terms, raw, tell in zip(b.column(2), b.column(3), b.column(4)):
+                hit = np.isin(terms.values.to_numpy(), tell.values.to_numpy())
+                own = np.frombuffer(raw.as_py(), "<i4").reshape(-1, 3)
+                out.append(own[hit[own[:, 0]], 1:].astype(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, schema.types[2])], schema=schema)
+
+    held = found.filter(F.size("entities") > 0).join(telling, F.col("text_key") == F.col("key"), "left")
+    marked = held.filter("tell is not null").select("doc_id", "base", "terms", "places", "tell").mapInArrow(run, "doc_id long, base array<long>, terms array<long>")
+    plain = held.filter("tell is null").select("doc_id", "base", empty.alias("terms")).union(found.filter(F.size("entities") == 0).select("doc_id", "base", empty.alias("terms")))
+    return marked.union(plain)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -275,44 +279,36 @@ def cleaned(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int,
     return "".join([*out, text[end:]])
 
 
-RULES_ON_DRIVER = 200_000
-
-
-def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = "n_chars", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = "n_chars", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """docs with spans replaced in text_col, and length_col (if there) set to the new length in code points.
 
-    Where at most RULES_ON_DRIVER (entity, term) rules hold, they are broadcast and texts aren't shuffled;
-    beyond that the term spans are joined by id and text.
+    Only rows with base spans are joined with their terms; the others pass by as they are.
     """
-    spark = docs.sparkSession
-    runtime.ship(spark)
     found = runtime.stage(find(docs, text_col, id_col), "pii-found")
-    telling = runtime.stage(rules(docs, mentions(found), text_col, support, share), "pii-rules")
+    key, tell, has = (free_name(docs, c) for c in ("__key", "__tell", "__has"))
+    telling = runtime.stage(disclosing(docs, found, text_col, share, bits), "pii-telling").select(F.col("text_key").alias(key), F.col("terms").alias(tell))
     names = docs.columns
     at = names.index(text_col)
     n_at = names.index(length_col) if length_col in names else None
-    small = telling.count() <= RULES_ON_DRIVER
-    known = spark.sparkContext.broadcast({(r[0], r[1]) for r in telling.toLocalIterator()} if small else set())
-    src = docs
-    if not small:
-        terms = runtime.stage(term_spans(mentions(found), telling), "pii-terms").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("terms").alias("__terms"))
-        same = docs[id_col].cast("long").eqNullSafe(terms["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == terms["__key"])
-        src = docs.join(terms, same, "left").select(*(docs[c] for c in names), terms["__terms"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runtime.slices(batches):
+            flags = pa.array([bool(t) and bool(base_spans(t)) for t in b.column(at).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, flags], names=[*names, has])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):
-            texts = b.column(at).to_pylist()
-            given = b.column(len(names)).to_pylist() if b.num_columns > len(names) else [None] * len(texts)
             out = []
-            for t, g in zip(texts, given):
-                spans = base_spans(t or "")
-                terms = [(s, e) for n, w, _, s, e in contexts(t, spans) if (n, w) in known.value] if spans and known.value else []
-                terms += list(zip(g[::2], g[1::2])) if g else []
-                out.append(cleaned(t, spans, sorted(set(terms))) if spans or terms else t)
+            for t, own in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
+                spans, own = base_spans(t), set(own or ())
+                out.append(cleaned(t, spans, [(s, e) for w, s, e in words_outside(t, spans) if _hash(w) in own] if own else []))
             cols = b.columns[: len(names)]
             cols[at] = pa.array(out, pa.string())
             if n_at is not None:
-                cols[n_at] = pa.array([None if t is None else len(t) for t in out], cols[n_at].type)
+                cols[n_at] = pa.array([len(t) for t in out], cols[n_at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return src.mapInArrow(run, docs.schema)
+    flagged = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(has, T.BooleanType())]))
+    rows = flagged.filter(F.col(has)).drop(has)
+    held = rows.join(telling, F.xxhash64(rows[text_col].cast("string")) == F.col(key), "left").select(*(rows[c] for c in names), tell)
+    return held.mapInArrow(run, docs.schema).union(flagged.filter(~F.col(has)).drop(has))

@@ -15,7 +15,7 @@ Repeated rows get the same result each; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,14 +40,23 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z and ASCII white space count
     if not words:
         return 0
-    total, n, step = np.zeros(BITS, np.int64), max(1, len(words) - width + 1), 1 << 16
-    for at in range(0, n, step):
-        part = words[at : at + step + width - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-        h = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+    n, step = max(1, len(words) - width + 1), 1 << 16
+
+    def parts() -> Iterator[np.ndarray]:
+        for at in range(0, n, step):
+            part = words[at : at + step + width - 1]
+            shingles = map(b" ".join, zip(*(part[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
+            yield np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+
+    return majority(parts(), n)
+
+
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """The bits set in over half of n hashes."""
+    total = np.zeros(BITS, np.int64)
+    for h in parts:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = total * 2 > n
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathlens.llm import best_fit, decontaminate, hilbert_ann, html_extract, pii, quality_gbdt, queries, runtime, simhash_vptree, token_pack, tokens, toxicity_pu, url_filter
+from pathlens.llm import best_fit, bloom, decontaminate, hilbert_ann, html_extract, pii, quality_gbdt, queries, runtime, simhash_vptree, token_pack, tokens, toxicity_pu, url_filter
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, y int, terms string"
 LONG = "wort " * 30_000
@@ -300,44 +300,65 @@ def test_digest_of_the_table(spark, sf_dir):
         assert set(line.split(",")) <= set(r.spans.split(",")) | {""}
 
 
-def test_disclosing_terms(spark):
+def brute_terms(rows, share, bits):
+    """Per row the (start, end) of disclosing terms, by counting everything."""
+    n, own = len(rows), []
+    df_t, df_c, co = {}, {}, {}
+    for _, t in rows:
+        t = t or ""
+        spans = brute_base(t)
+        values = {(k, t[s:e].lower() if k == 0 else re.sub("[^0-9.]", "", t[s:e])) for s, e, k in spans}
+        words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t) if all(m.end() <= s or m.start() >= e for s, e, _ in spans)]
+        own.append((values, words))
+        for w in {m.lower() for m in re.findall(r"[^\W\d_]{3,}", t)}:
+            df_t[w] = df_t.get(w, 0) + 1
+        for c in values:
+            df_c[c] = df_c.get(c, 0) + 1
+            for w in {w for w, _, _ in words}:
+                co[c, w] = co.get((c, w), 0) + 1
+
+    def tells(c, w):
+        pmi = np.log2(n * co[c, w] / (df_c[c] * df_t[w]))
+        return pmi >= share * np.log2(n / df_c[c]) - 1e-9 and pmi >= bits - 1e-9
+
+    return [[(s, e) for w, s, e in words if any(tells(c, w) for c in values)] for values, words in own]
+
+
+def disclosing_rows():
+    """Common words, values in one or several rows, names by them, a passage copied with its value, a public value."""
     rng = random.Random(1)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    rows = [(i, f"{word()} {word()} and {word()}") for i in range(400)]
-    rows += [(1000 + i, f"{word()} {word()} the Quentinson {word()} q.son@mail.org and {word()} {word()}") for i in range(8)]
-    rows += [(2000 + i, f"copied Passage here {word()[:0]}z@copy.org always the same") for i in range(9)]
-    docs = frame(spark, rows)
-    found = {r.doc_id: r for r in pii.analyse(docs).collect()}
-    for i in range(8):
-        t = rows[400 + i][1]
-        assert [t[s:e] for s, e in zip(found[1000 + i].terms[::2], found[1000 + i].terms[1::2])] == ["Quentinson"]
-    assert not any(found[i].terms for i in list(range(400)) + list(range(2000, 2009)))
-    clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
-    assert "[NAME]" in clean[1000].text and "[EMAIL]" in clean[1000].text and "Quentinson" not in clean[1000].text
-    assert clean[1000].n_chars == len(clean[1000].text) and clean[5].text == rows[5][1]
-    old, pii.RULES_ON_DRIVER = pii.RULES_ON_DRIVER, 0
-    try:
-        assert {r.doc_id: r.text for r in pii.sanitise(docs).collect()} == {d: r.text for d, r in clean.items()}
-    finally:
-        pii.RULES_ON_DRIVER = old
-
-
-def test_disclosing_terms_go_to_the_row_with_the_text(spark):
-    rng = random.Random(1)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    rows = [(i, f"{word()} {word()} and the {word()}") for i in range(400)]
-    rows += [(1000 + i, f"{word()} {word()} the Quentinson {word()} q.son@mail.org and {word()} {word()}") for i in range(8)]
-    rows += [(None, f"{word()} nameless the Quentinson {word()} q.son@mail.org and {word()}"), (None, "no data of this kind"), (1000, "other text under the id of the first"), (1001, None)]
-    docs = frame(spark, rows)
-    found = pii.analyse(docs).collect()
-    assert sorted((str(r.doc_id), len(r.terms)) for r in found if r.doc_id in (None, 1000, 1001)) == [("1000", 0), ("1000", 2), ("1001", 0), ("1001", 2), ("None", 0), ("None", 2)]
-    clean = sorted(((r.doc_id, r.text) for r in pii.sanitise(docs).collect()), key=str)
-    assert len(clean) == len(rows) and not any("Quentinson" in (t or "") for _, t in clean) and {rows[-1], rows[-2], rows[-3]} <= set(clean)
-    old, pii.RULES_ON_DRIVER = pii.RULES_ON_DRIVER, 0
-    try:
-        assert sorted(((r.doc_id, r.text) for r in pii.sanitise(docs).collect()), key=str) == clean
-    finally:
-        pii.RULES_ON_DRIVER = old
+    common = [f"{a}{b}" for a in ("grun", "malt", "sert", "vol") for b in ("ak", "eb", "im", "op", "uz")]
+    filler = lambda k: " ".join(rng.choices(common, k=k))
+    rows = [(i, filler(12)) for i in range(400)]
+    rows += [(1000 + i, f"{filler(3)} the Quentinson {filler(2)} q.son@mail.org {filler(9)}.\n{filler(4)} signed quentinson") for i in range(4)]
+    rows += [(1100, f"Lone Marchbank of {filler(3)}\n\n{filler(40)} +1 (234) 567 8901"), (1101, f"Shared {filler(3)} a1@x.org b2@x.org"), (1102, f"Shared {filler(3)} a1@x.org"), (1103, f"quentinson {filler(5)}")]
+    rows += [(2000 + i, "copied Passage here with z@copy.org always the same") for i in range(9)]
+    rows += [(3000 + i, f"{filler(4)} desk@public.org") for i in range(150)] + [(None, rows[400][1]), (None, "nothing personal"), (1000, "other text under the id of the first"), (1001, None), (7, "")]
+    return rows
+
+
+@pytest.mark.parametrize("share, bits", [(0.9, 4.0), (0.6, 5.0), (1.0, 2.0)])
+def test_disclosing_terms_by_counting(spark, share, bits):
+    rows = disclosing_rows()
+    docs = frame(spark, rows).withColumn("__key", F.lit(1)).repartition(3)
+    want = sorted(((i, t, sorted(x)) for (i, t), x in zip(rows, brute_terms(rows, share, bits))), key=str)
+    found = pii.analyse(docs, share=share, bits=bits).select("doc_id", "base", "terms").collect()
+    assert sorted((str(i), sorted(x)) for i, _, x in want) == sorted((str(r.doc_id), sorted(zip(r.terms[::2], r.terms[1::2]))) for r in found)
+    if share == 0.9:
+        hidden = {t[s:e] for _, t, x in want for s, e in x}
+        assert {"Quentinson", "quentinson", "Marchbank", "Lone"} <= hidden and not any(w[:4] in ("grun", "malt", "sert") for w in hidden)
+    clean = pii.sanitise(docs, share=share, bits=bits)
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(((i, t if t is None else pii.cleaned(t, brute_base(t), x)) for i, t, x in want), key=str)
+    assert all(r.n_chars == len(r.text) for r in clean.collect() if r.text is not None)
+
+
+def test_disclosing_terms_of_the_table(spark):
+    docs = docs_of(spark, "/root/testdata/sf0.1")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {i: x for (i, _), x in zip(rows, brute_terms(rows, pii.SHARE, pii.BITS)) if x}
+    got = {r.doc_id: list(zip(r.terms[::2], r.terms[1::2])) for r in pii.analyse(docs).filter("size(terms) > 0").collect()}
+    assert got == want and sum(map(len, got.values())) > 5000
 
 
 @pytest.mark.parametrize("page, chars", [("<a" * 20_000, 40_000), ("".join(f"<div>text {i}, words." for i in range(5000)), 93_888), ("<noscript>x" * 20_000, 20_000), ("<div>" * 3000 + "</section></p>" * 20_000, 0), ("<p>a, b.</p>x > y <!-- " + "c" * 9, 12), ("<!-- a > b", 0)])
@@ -345,17 +366,17 @@ def test_pages_that_would_take_minutes_if_read_again_for_each_tag(page, chars):
     assert len(html_extract.main_text(page)) == chars
 
 
-def test_pii_contexts_of_overlapping_spans_and_long_texts():
+def test_words_outside_overlapping_spans_and_in_long_texts():
     overlapping = "Foo wrote 4111 1111 1111 1111.2.3.4 and +1 (234) 567 8901@x.org then Bar\nBaz x@y.org"
     long = " ".join(f"word user{i}@example.com called" for i in range(20_000))  # every span against every other would take minutes
     for t in (overlapping, long):
         spans = pii.base_spans(t)
-        got = [(s, e) for *_, s, e in pii.contexts(t, spans)]
+        got = [(s, e) for _, s, e in pii.words_outside(t, spans)]
         covered = np.zeros(len(t), bool)
         for s, e, _ in spans:
             covered[s:e] = True
         assert got and not any(covered[s:e].any() for s, e in got)
-    assert len(got) > 100_000
+    assert len(got) == 40_000
 
 
 def test_pii_on_odd_rows(spark):
@@ -367,10 +388,12 @@ def test_pii_on_odd_rows(spark):
     assert pii.digest(pii.analyse(odd.limit(0))).count() == 0
 
 
-def test_bloom_places_agree_with_spark(spark):
-    h = np.array([1, -5, 2**62, -(2**63), 123456789], np.int64)
-    rows = spark.createDataFrame([(int(x),) for x in h], "t long").select(*(F.pmod(F.xxhash64("t", F.lit(i)), F.lit(pii.BLOOM_BITS)) for i in range(3))).collect()
-    assert [list(r) for r in rows] == np.stack(list(pii.places_of(h)), 1).tolist()
+def test_bloom_filters_lose_nothing(spark):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(2**63), 2**63 - 1, 5000)
+    words = bloom.build(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k")
+    assert bloom.contains(words, keys).all() and bloom.contains(words, rng.integers(-(2**63), 2**63 - 1, 50_000)).mean() < 0.001
+    assert not bloom.contains(bloom.build(spark.createDataFrame([], "k long"), "k"), keys).any()
 
 
 # --- 6, 10
