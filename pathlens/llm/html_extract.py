@@ -1,14 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a list of text blocks, each under its root-to-leaf path of block-level tags (inline tags are
-transparent). Per path the text length, punctuation and link text of its blocks are summed; the ratios of text
-and of punctuation to the path's number of blocks are fused into one score, smoothed over neighbouring blocks
-and compared with a threshold. The selected paths fix the content container, whose blocks are the main text,
-short ones included; blocks under boilerplate elements (menus, footers, forms, adverts, comments, ...) never
-count.
-
-Null or empty html gives an empty text. A page without tags is one block. Rows are independent: repeated rows,
-ties and extra columns of any name change nothing.
+transparent). Per path p the blocks n, text T, punctuation Q and link text A are summed and fused into one score,
+
+    f(p) = T * log(1 + T/n) * log(2 + Q/n) * (1 - A/T)
+
+which is smoothed over the tree of paths: every path also gets the text-weighted mean score of the paths that end
+in the same element as itself or in one above, less by FADE a level, so headings, short lists and tables stand or
+fall with the text around them:
+
+    S(p) = (f(p) + BOOST * (1 - A/T) * max over ancestors a, k levels up, of FADE**k * mean f below a) / (1 + BOOST)
+
+A block is main text if its S reaches THRESHOLD of the page's best. Names and semantic tags only weigh in: under
+an element whose class or id says boilerplate and nothing else, f counts half and isn't smoothed; outside of
+``article`` and ``main``, where a page has them, S counts OUTSIDE. What no score decides is structure: scripts,
+styles, navigation, forms, footers, asides, page headers, hidden elements and readers' comments never are text (by
+tag, role, or a name that stands for one); and where the selected blocks lie less than INSIDE within ``article``
+and ``main`` (a page of a few words), the scores are taken anew there alone. Headings right before the first
+selected block go with it.
+
+Null or empty html gives an empty text. A page without tags is one block. Very long pages and unclosed or
+deeply nested tags cost time in proportion. Rows are independent: repeated rows, ties and extra columns of any
+name change nothing; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathlens.llm import runtime
+from pathlens.llm.simhash_vptree import free_name
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+|[^>]*)>""", re.S)
 #: What may still open after the last ">".
@@ -36,20 +50,23 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 VOID = set("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 NEVER = set("nav footer aside form button select option dialog menu svg math canvas object audio video map head".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Names that stand for structural tags, and names of boilerplate; a class or id counts if it has no other words but LAYOUT's.
+REGIONS = set("nav navbar navigation menu menus sidebar sidebars rail footer masthead topbar breadcrumb breadcrumbs pagination pager toolbar".split())
 CUES = set("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted
 banner banners cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay interstitial
-sidebar sidebars rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs topbar masthead footer copyright
-disclaimer comment comments commentlist respond reply replies disqus discussion share sharing social related recommended
-recommendations newsletter subscribe subscription signup login signin pagination pager toolbar skip hidden trending teaser teasers
-outbrain taboola paywall feedback""".split())
+widget widgets copyright disclaimer share sharing social related recommended recommendations newsletter subscribe subscription signup
+login signin skip hidden trending teaser teasers outbrain taboola paywall feedback""".split())
+LAYOUT = set("""left right top bottom main site page box block section area wrap wrapper container inner outer bar list item unit
+slot panel row col column header head content primary secondary global sticky mobile desktop text link links title group user
+users reader readers view module region zone stories posts thread form""".split())
 COMMENT_CUES = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus"}
 KEEP = {"html", "body", "main", "article"}
+SEMANTIC = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "table", "div", "section", "article", "main", "body", "dl", "blockquote", "select", "aside", "header", "footer", "nav", "form"}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؛،]")
-#: A path is content from this share of the best path's fused score on.
-THRESHOLD = 0.18
+THRESHOLD, BOOST, FADE, OUTSIDE, CUED, INSIDE = 0.35, 4.0, 0.85, 0.75, 0.5, 0.8
 
 
 @dataclass
@@ -61,7 +78,6 @@ class Element:
     never: bool
     is_comment: bool
     path: int = 0
-    length: int = 0
     holds_main: bool = False
     holds_head: bool = False
 
@@ -75,8 +91,13 @@ class Block:
     text: str = ""
 
 
-def _words(value: str) -> set[str]:
-    return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+def _names(attrs: dict[str, str]) -> list[list[str]]:
+    """The words of each class and of the id."""
+    return [w for t in [*attrs.get("class", "").split(), attrs.get("id", "")] if (w := re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", t).lower()))]
+
+
+def _says(names: list[list[str]], cues: set[str]) -> bool:
+    return any(not cues.isdisjoint(w) and all(x in cues or x in LAYOUT or x in CUES or x in REGIONS for x in w) for w in names)
 
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
@@ -167,11 +188,11 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             opened["head"] = 0
             stack = [e for e in stack if elements[e].tag != "head"]
         attrs = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        named = _words(attrs.get("class", "")) | _words(attrs.get("id", ""))
-        cue = bool(named & CUES) or attrs.get("role", "").lower() in ROLES
-        never = tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        name = re.sub(r"\d+", "", " ".join(sorted(attrs.get("class", "").split())))
-        elements.append(Element(tag, stack[-1], f"{tag}.{name}" if name else tag, cue, never, bool(named & COMMENT_CUES)))
+        named = _names(attrs)
+        cue = _says(named, CUES)
+        never = tag in NEVER or (tag not in KEEP and _says(named, REGIONS)) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        name = re.sub(r"\d+", "", "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + ("#" + attrs["id"] if attrs.get("id") else ""))
+        elements.append(Element(tag, stack[-1], tag + name, cue, never, _says(named, COMMENT_CUES)))
         elements[-1].path = paths.setdefault((elements[stack[-1]].path, elements[-1].label), len(paths) + 1)
         if not m[0].endswith("/>") or tag in ("p", "div", "li"):
             stack.append(len(elements) - 1)
@@ -188,70 +209,72 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
     return elements, blocks
 
 
+def path_scores(blocks: list[Block], up: dict[int, int], named: list[bool]) -> tuple[dict[int, float], dict[int, float]]:
+    """f and S of every path of blocks; up: path -> the path above; named: blocks under a boilerplate name."""
+    sums: dict[int, list[float]] = {}
+    for b in blocks:
+        s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        for i, v in enumerate((1, len(b.text), len(PUNCTUATION.findall(b.text)), min(b.link, len(b.text)))):
+            s[i] += v
+    plain = {p: 1 - a / t for p, (n, t, q, a) in sums.items()}
+    fused = {p: t * math.log(1 + t / n) * math.log(2 + q / n) * plain[p] for p, (n, t, q, _) in sums.items()}
+    below: dict[int, list[float]] = {}  # element path -> text, text-weighted score of what ends in or right below it
+    open_ = {b.path for b, cue in zip(blocks, named) if not cue}
+    for p in open_:
+        for a in {p, up[p]}:
+            w = below.setdefault(a, [0.0, 0.0])
+            w[0] += sums[p][1]
+            w[1] += sums[p][1] * fused[p]
+    boost: dict[int, float] = {-1: 0.0}
+
+    def best(p: int) -> float:
+        """The largest faded mean from p upwards."""
+        chain = []
+        while p not in boost:
+            chain.append(p)
+            p = up[p]
+        for q in reversed(chain):
+            own = below[q][1] / below[q][0] if q in below else 0.0
+            boost[q] = max(own, FADE * boost[up[q]])
+        return boost[chain[0]] if chain else boost[p]
+
+    return fused, {p: (fused[p] + BOOST * plain[p] * max(best(p), best(up[p]))) / (1 + BOOST) for p in sums}
+
+
 def content(page: str) -> list[str]:
     """The main text's blocks in page order."""
     elements, blocks = parse(page)
-    for b in blocks:
-        elements[b.element].length += len(b.text)
-    for e in elements[:0:-1]:  # what is inside stands after
-        elements[e.parent].length += e.length
-    total = elements[0].length
-    has_main = any(e.tag in ("article", "main") for e in elements)
-    out_of_page = [False] * len(elements)
-    in_article = [False] * len(elements)
+    up = {e.path: elements[e.parent].path if e.parent >= 0 else -1 for e in elements}
+    out_of_page, inside, named = ([False] * len(elements) for _ in range(3))
     for k, e in enumerate(elements[1:], 1):
-        in_article[k] = in_article[e.parent] or e.tag in ("article", "main")
-        page_header = e.tag == "header" and not in_article[k]
-        if e.is_comment:  # readers may write more than the article has
-            cued = e.tag not in ("html", "body") and not e.holds_head
-        else:
-            cued = e.cue and e.tag not in KEEP and not e.holds_main and (has_main or e.length < 0.6 * total)
-        out_of_page[k] = out_of_page[e.parent] or e.never or page_header or cued
+        inside[k] = inside[e.parent] or e.tag in SEMANTIC
+        comments = e.is_comment and e.tag not in ("html", "body") and not e.holds_head
+        out_of_page[k] = out_of_page[e.parent] or e.never or comments or (e.tag == "header" and not inside[k])
+        named[k] = named[e.parent] or (e.cue and e.tag not in KEEP and not e.holds_main)
     blocks = [b for b in blocks if not out_of_page[b.element]]
-    if not blocks:
+    within = [b for b in blocks if inside[b.element]]
+    chosen = selected(blocks, up, named, inside if within else None)
+    if within and sum(len(b.text) for b in chosen if inside[b.element]) < INSIDE * sum(len(b.text) for b in chosen):
+        blocks, chosen = within, selected(within, up, named, None)
+    if not chosen:
         return []
-
-    # Ratios by path: text and punctuation per block, less what is link text.
-    paths: dict[int, list[float]] = {}
-    for b in blocks:
-        s = paths.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
-        for i, v in enumerate((1, len(b.text), len(PUNCTUATION.findall(b.text)), min(b.link, len(b.text)))):
-            s[i] += v
-    fused = {p: math.log1p(t / n) * math.log1p(1 + q / n) * (1 - a / t) * math.sqrt(t) for p, (n, t, q, a) in paths.items()}
-    raw = [fused[b.path] for b in blocks]
-    smooth = [(0.25 * raw[max(0, i - 1)] + 0.5 * x + 0.25 * raw[min(len(raw) - 1, i + 1)]) for i, x in enumerate(raw)]
-    by_path: dict[int, list[float]] = {}
-    for b, s in zip(blocks, smooth):
-        by_path.setdefault(b.path, []).append(s)
-    score = {p: 0.5 * fused[p] + 0.5 * sum(v) / len(v) for p, v in by_path.items()}
-    best = max(score.values())
-    if best <= 0:
-        return [b.text for b in blocks if b.link < len(b.text)] if len(paths) == 1 else []
-    chosen = {p for p, s in score.items() if s >= THRESHOLD * best}
-
-    # The container: article or main that holds most selected text, else what the selected blocks share.
-    held = [0] * len(elements)
-    for b in blocks:
-        if b.path in chosen:
-            held[b.element] += len(b.text)
-    for k in range(len(elements) - 1, 0, -1):
-        held[elements[k].parent] += held[k]
-    weight = {k: held[k] for k, e in enumerate(elements) if held[k] and e.tag in ("article", "main")}
-    picked = sum(len(b.text) for b in blocks if b.path in chosen)
-    top = max(weight.values(), default=0)
-    inside = [e for e, w in weight.items() if w >= 0.95 * top]
-    if inside and top >= 0.3 * picked:
-        root = max(inside)
-        within = [False] * len(elements)
-        for k in range(root, len(elements)):
-            within[k] = k == root or within[elements[k].parent]
-        return [b.text for b in blocks if within[b.element] and (b.path in chosen or b.link < 0.8 * len(b.text))]
-    first = next(i for i, b in enumerate(blocks) if b.path in chosen)
-    last = max(i for i, b in enumerate(blocks) if b.path in chosen)
+    kept = {id(b) for b in chosen}
+    first = next(i for i, b in enumerate(blocks) if id(b) in kept)
     home = elements[blocks[first].element].parent
-    while first and elements[blocks[first - 1].element].tag in HEADINGS and home in (up := elements[blocks[first - 1].element].parent, elements[up].parent):
+    while first and elements[blocks[first - 1].element].tag in HEADINGS and home in (above := elements[blocks[first - 1].element].parent, elements[above].parent):
         first -= 1
-    return [b.text for b in blocks[first : last + 1] if b.link < (0.9 if b.path in chosen else 0.5) * len(b.text)]
+        kept.add(id(blocks[first]))
+    return [b.text for b in blocks if id(b) in kept]
+
+
+def selected(blocks: list[Block], up: dict[int, int], named: list[bool], inside: list[bool] | None) -> list[Block]:
+    """The blocks whose weighed score reaches the threshold."""
+    if not blocks:
+        return []
+    fused, smooth = path_scores(blocks, up, [named[b.element] for b in blocks])
+    score = [(CUED * fused[b.path] if named[b.element] else smooth[b.path]) * (OUTSIDE if inside and not inside[b.element] else 1.0) for b in blocks]
+    best = max(score)
+    return [b for b, s in zip(blocks, score) if best > 0 and s >= THRESHOLD * best]
 
 
 def main_text(page: str | None) -> str:
@@ -262,7 +285,7 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
     """pages with out_col added (replaced, if there): the main text of each page's whole html."""
     runtime.ship(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html_col, out_col)]
-    src = pages.select(*kept, F.col(html_col).cast("string").alias("__html"))
+    src = pages.select(*kept, F.col(html_col).cast("string").alias(free_name(pages, "__html")))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,8 +62,101 @@ def test_pages_without_semantic_tags():
         assert isinstance(html_extract.main_text(odd), str)
 
 
+def table_pages():
+    import pyarrow.parquet as pq
+
+    return [r["html"] for r in pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).to_pylist()]
+
+
+def article_of(page):
+    body = re.search("<article>(.*)</article>", page, re.S)[1]
+    parts = (" ".join(__import__("html").unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", body.replace("<br>", " ")))
+    return "\n\n".join(p for p in parts if p)
+
+
+def naive_content(page):
+    """The docstring's formulas over paths written out as strings, each mean taken by a loop over all paths."""
+    elements, blocks = html_extract.parse(page)
+    h = html_extract
+
+    def chain(k):
+        return [k] + (chain(elements[k].parent) if k else [])
+
+    def path(k):
+        return "/".join(elements[i].label for i in chain(k)[::-1])
+
+    rows = []
+    for b in blocks:
+        above = chain(b.element)
+        in_article = any(elements[i].tag in h.SEMANTIC for i in above)
+        header = any(elements[i].tag == "header" and not any(elements[j].tag in h.SEMANTIC for j in chain(i)) for i in above)
+        comment = any(elements[i].is_comment and elements[i].tag not in ("html", "body") and not elements[i].holds_head for i in above)
+        cue = any(elements[i].cue and elements[i].tag not in h.KEEP and not elements[i].holds_main for i in above)
+        if not header and not comment and not any(elements[i].never for i in above):
+            rows.append((path(b.element), b.text, b.link, cue, in_article))
+
+    def pick(rows, weigh):
+        import math
+
+        f, plain, size = {}, {}, {}
+        for p in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == p]
+            n, t = len(own), sum(len(r[1]) for r in own)
+            q, a = sum(len(re.findall(h.PUNCTUATION, r[1])) for r in own), sum(min(r[2], len(r[1])) for r in own)
+            size[p], plain[p], f[p] = t, 1 - a / t, t * math.log(1 + t / n) * math.log(2 + q / n) * (1 - a / t)
+
+        def mean(a):
+            near = [p for p in {r[0] for r in rows if not r[3]} if a in (p, p.rpartition("/")[0])]
+            return sum(f[p] * size[p] for p in near) / sum(size[p] for p in near) if near else 0.0
+
+        scores = []
+        for p, _, _, cue, in_article in rows:
+            steps = p.split("/")
+            up = ["/".join(steps[: len(steps) - k]) for k in range(len(steps))]
+            b = max([mean(p), *(h.FADE**k * mean(a) for k, a in enumerate(up[1:])), *(h.FADE**k * mean(a) for k, a in enumerate(up))])
+            s = h.CUED * f[p] if cue else (f[p] + h.BOOST * plain[p] * b) / (1 + h.BOOST)
+            scores.append(s * (h.OUTSIDE if weigh and not in_article else 1))
+        return [r for r, s in zip(rows, scores) if max(scores) > 0 and s >= h.THRESHOLD * max(scores)]
+
+    within = [r for r in rows if r[4]]
+    out = pick(rows, bool(within)) if rows else []
+    if within and sum(len(r[1]) for r in out if r[4]) < h.INSIDE * sum(len(r[1]) for r in out):
+        out = pick(within, False)
+    return "\n\n".join(r[1] for r in out)
+
+
+def test_naive_scores_agree_on_all_pages():
+    for p in table_pages():
+        p = p.replace("<article>", "<div>").replace("</article>", "</div>") if len(p) % 2 else p
+        assert html_extract.main_text(p) == naive_content(p)
+
+
+def test_ratios_decide_without_lists(monkeypatch):
+    pages = table_pages()
+    want = [article_of(p) for p in pages]
+    plain = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    right = lambda given: np.mean([html_extract.main_text(p) == w for p, w in zip(given, want)])
+    assert right(pages) == 1 and right(plain) > 0.97
+    scores = html_extract.path_scores
+    with monkeypatch.context() as m:  # scores that say nothing let everything in
+        m.setattr(html_extract, "path_scores", lambda *a: tuple({p: 1.0 for p in x} for x in scores(*a)))
+        assert right(pages) < 0.05 and right(plain) == 0
+    for name in ("CUES", "REGIONS", "ROLES", "COMMENT_CUES"):
+        monkeypatch.setattr(html_extract, name, set())
+    monkeypatch.setattr(html_extract, "NEVER", {"head"})
+    assert right(pages) > 0.95 and right(plain) > 0.95
+
+
+def test_names_within_the_content_do_not_cut_it():
+    page = f"""<article><h1>Head</h1><p>{PARA}</p><section id="social-contract"><h2>Rousseau</h2><p>{PARA}</p></section><div class="feedback-loops"><p>{PARA}</p><ul><li>One</li></ul></div>
+    <div class="entry-content no-sidebar"><p>{PARA}</p></div><table class="related-work"><tr><td>cell</td><td>{PARA}</td></tr></table></article><div class=ad>Buy now.</div>"""
+    assert html_extract.main_text(page).split("\n\n") == ["Head", PARA, "Rousseau", PARA, PARA, "One", PARA, "cell", PARA]
+    long = "<body><nav><a href=x>Home</a></nav><article><h1>Head</h1>" + "".join(f"<p>{PARA} {i}</p>" for i in range(5000)) + "</article><div class=ad>Buy.</div></body>"
+    assert html_extract.main_text(long).split("\n\n") == ["Head", *(f"{PARA} {i}" for i in range(5000))]
+
+
 def test_extract_keeps_clashing_columns(spark):
-    pages = spark.createDataFrame([(1, "u", f"<p>{PARA}</p>", "old", "e"), (1, "u", f"<p>{PARA}</p>", "old", "e"), (2, None, None, None, None)], "page_id long, url string, html string, text string, extra string")
+    pages = spark.createDataFrame([(1, "u", f"<p>{PARA}</p>", "old", "e"), (1, "u", f"<p>{PARA}</p>", "old", "e"), (2, None, None, None, None)], "page_id long, url string, html string, text string, extra string").withColumn("__html", F.lit("h"))
     got = html_extract.extract(pages).collect()
     assert sorted((r.page_id, r.text, r.extra) for r in got if r.extra) == [(1, PARA, "e")] * 2
     assert [r.text for r in got if r.page_id == 2] == [""]
