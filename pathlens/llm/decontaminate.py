@@ -1,24 +1,31 @@
-"""Benchmark decontamination with an Aho-Corasick automaton over normalised benchmark texts.
+"""Benchmark decontamination with one Aho-Corasick automaton over the words of benchmark items.
 
-Texts are normalised to words; each item gives its windows of 10 consecutive words (a shorter item is one
-window). All windows go into one automaton that reads each document once; matches are mapped back to word
-numbers and, on demand, to code points of the original text. The automaton's patterns are broadcast in chunks of
-at most ``chunk_chars`` characters: a benchmark beyond that is scanned for in several passes whose results are
-merged, so none is dropped.
+Texts are normalised to words, and words to numbers by the benchmark's vocabulary. An item gives its windows of
+10 consecutive words; a shorter item is one window. Every window holds whole one of the item's consecutive blocks
+of 5 words, so the automaton's patterns are these blocks (a shorter item whole, if it has under 10 words): it has
+a node a word and not ten. It reads each document once; where a block occurs, the words on either side are
+compared with the item's, and a run of a window's length or more is hit whole, as its windows cover it. Ranges of
+word numbers map back to code points of the original text on demand.
+
+The benchmark's word numbers are broadcast and each worker builds the automaton once, some 100 bytes a word.
+Items go into one automaton up to ``MOST_WORDS`` words (400 MB); only beyond that the next items go into another
+one, which reads the same folded words, so no item is dropped.
 
 Null texts have no words and hit nothing; an item without words has no window. Items with the same text all
-count. Repeated document rows get the same result each; extra columns are ignored.
+count; an item without an id counts for hits, and has no id to be listed or counted. Repeated document rows get
+the same result each, very long texts are read whole, an empty table gives an empty one, an empty benchmark hits
+nothing. Extra columns are ignored, or kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathlens.llm import runtime
@@ -26,8 +33,8 @@ from pathlens.llm import runtime
 #: A-Z become lower case; ASCII other than digits and letters parts words; the rest belongs to words.
 FOLD = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-CHUNK_CHARS = 2_000_000
-_AUTOMATA: dict = {}
+MOST_WORDS = 4_000_000
+_SCANNERS: dict = {}
 
 
 def folded(text: str | None) -> list[bytes]:
@@ -35,66 +42,94 @@ def folded(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(FOLD).split()
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w.decode() for w in folded(text)]
-
+class Items:
+    """A benchmark's items as word numbers, in groups of one automaton each; what is broadcast."""
 
-def windows(words: list[str], width: int) -> list[str]:
-    if len(words) <= width:
-        return [" ".join(words)] if words else []
-    return [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
+    def __init__(self, rows: Iterator[tuple], width: int, most_words: int = MOST_WORDS):
+        self.key, self.width = uuid.uuid4().hex, width
+        self.vocabulary: dict[bytes, int] = {}
+        self.groups: list[list[tuple]] = []  # (item id, word numbers)
+        size = most_words
+        for item, text in rows:
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in folded(text)], np.int32)
+            if len(words):
+                if size + len(words) > most_words:
+                    self.groups.append([])
+                    size = 0
+                size += len(words)
+                self.groups[-1].append((item, words))
 
 
-def chunked(items: Iterator[tuple], width: int, chunk_chars: int) -> Iterator[dict[str, list]]:
-    """Windows with the ids of their items, in dictionaries of at most chunk_chars (but for a single window)."""
-    chunk: dict[str, list] = {}
-    size = 0
-    for item, text in items:
-        for w in dict.fromkeys(windows(words_of(text), width)):
-            if w not in chunk:
-                if size and size + len(w) > chunk_chars:
-                    yield chunk
-                    chunk, size = {}, 0
-                size += len(w)
-            if not chunk.get(w) or chunk[w][-1] != item:
-                chunk.setdefault(w, []).append(item)
-    if chunk:
-        yield chunk
+class Scanner:
+    """The automata of Items."""
 
-
-def automaton(key: str, shipped):
-    """The automaton of a broadcast chunk and its windows' items; built once per worker, two are kept."""
-    if key not in _AUTOMATA:
+    def __init__(self, items: Items):
         import ahocorasick
 
-        while len(_AUTOMATA) > 1:
-            _AUTOMATA.pop(next(iter(_AUTOMATA)))
-        a = ahocorasick.Automaton()
-        for n, w in enumerate(shipped.value):
-            a.add_word(f" {w} ", (n, w.count(" ") + 1))
-        a.make_automaton()
-        _AUTOMATA[key] = (a, list(shipped.value.values()))
-    return _AUTOMATA[key]
-
-
-def ship_chunks(spark: SparkSession, benchmark: DataFrame, width: int, chunk_chars: int) -> list[tuple]:
-    """(key, broadcast chunk) for all windows; the rows pass through the driver one by one."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null").orderBy("item_id")
-    chunks = chunked(((r[0], r[1]) for r in rows.toLocalIterator()), width, chunk_chars)
-    return [(hashlib.sha256(repr(c).encode("utf-8", "replace")).hexdigest(), spark.sparkContext.broadcast(c)) for c in chunks]
+        self.number, self.width = items.vocabulary.get, items.width
+        self.items = [x for g in items.groups for x in g]
+        self.automata, k = [], 0
+        half = max(1, items.width // 2)
+        for group in items.groups:
+            blocks: dict[tuple, list[tuple[int, int]]] = {}
+            for _, words in group:
+                own = words.tolist()
+                starts = range(0, len(own) - half + 1, half) if len(own) >= items.width else (0,)
+                for at in starts:
+                    blocks.setdefault(tuple(own[at : at + half] if len(own) >= items.width else own), []).append((k, at))
+                k += 1
+            a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for block, owners in blocks.items():
+                a.add_word(block, (len(block), owners))
+            a.make_automaton()
+            self.automata.append(a)
+
+    def runs(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(item's place, from, to) of the runs of word numbers that hold windows of items."""
+        number = self.number
+        text = tuple([number(w, 0) for w in words])
+        for a in self.automata:
+            done: dict[tuple[int, int], int] = {}  # (item, shift between text and item) -> end of the run compared
+            for end, (size, owners) in a.iter(text):
+                first = end - size + 1
+                for k, at in owners:
+                    if done.get((k, first - at), 0) > end:
+                        continue
+                    own = self.items[k][1]
+                    lo, hi, n = first, end + 1, len(own)
+                    shift = first - at
+                    while lo > 0 and lo > shift and text[lo - 1] == own[lo - 1 - shift]:
+                        lo -= 1
+                    while hi < len(text) and hi - shift < n and text[hi] == own[hi - shift]:
+                        hi += 1
+                    done[k, shift] = hi
+                    if hi - lo >= min(n, self.width):
+                        yield k, lo, hi
+
+
+def scanner(shipped) -> Scanner:
+    """One per worker and benchmark; the last one is kept."""
+    items = shipped.value
+    if items.key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[items.key] = Scanner(items)
+    return _SCANNERS[items.key]
+
+
+def ship_items(benchmark: DataFrame, width: int, most_words: int = MOST_WORDS):
+    """Items as a broadcast: the benchmark's size, which the automata are bounded by; its rows pass through the driver one by one."""
+    spark = benchmark.sparkSession
+    runtime.ship(spark)
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").orderBy("item_id", "text")
+    return spark.sparkContext.broadcast(Items(((r[0], r[1]) for r in rows.toLocalIterator()), width, most_words))
 
 
-def scan(text: str | None, a, owners: list[list]) -> tuple[int, list[tuple[int, int]], list]:
-    """Number of words, merged hit ranges of word numbers [from, to), ids of items with occurring windows."""
+def scan(text: str | None, s: Scanner) -> tuple[int, list[tuple[int, int]], list]:
+    """Number of words, merged hit ranges of word numbers [from, to), sorted ids of items with occurring windows."""
     words = folded(text)
-    line = f" {b' '.join(words).decode()} "
-    ends = [(end, *what) for end, what in a.iter(line)] if words else []
-    if not ends:
-        return len(words), [], []
-    spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
-    stops = np.searchsorted(spaces, [e[0] for e in ends])
-    found = {i for n in {e[1] for e in ends} for i in owners[n]}
-    return len(words), merged([(int(s) - e[2], int(s)) for s, e in zip(stops, ends)]), list(found)
+    found = list(s.runs(words))
+    ids = {s.items[k][0] for k, _, _ in found} - {None}
+    return len(words), merged([(lo, hi) for _, lo, hi in found]), sorted(ids)
 
 
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,32 +138,19 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[lo][0], at[hi - 1][1]) for lo, hi in ranges]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 10, chunk_chars: int = CHUNK_CHARS, with_spans: bool = False) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 10, most_words: int = MOST_WORDS, with_spans: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_words, ranges (word numbers, [from, to) in a row), items; spans (code points) if asked for."""
-    spark = docs.sparkSession
-    runtime.ship(spark)
-    chunks = ship_chunks(spark, benchmark, width, chunk_chars)
-    rows = 512 if len(chunks) < 3 else 8192
+    shipped = ship_items(benchmark, width, most_words)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runtime.slices(batches, rows, 64 << 10 << (10 if rows > 512 else 7)):
+        s = scanner(shipped)
+        for b in runtime.slices(batches):
             texts = b.column(1).to_pylist()
-            ranges: list[list] = [[] for _ in texts]
-            items: list[set] = [set() for _ in texts]
-            n_words = [0] * len(texts)
-            for key, patterns in chunks:
-                a, owners = automaton(key, patterns)
-                for i, t in enumerate(texts):
-                    n_words[i], r, found = scan(t, a, owners)
-                    ranges[i] += r
-                    items[i].update(found)
-            if not chunks:
-                n_words = [len(words_of(t)) for t in texts]
-            ranges = [merged(r) for r in ranges]
-            spans = [[x for s in original_spans(t, r) for x in s] if with_spans and r else [] for t, r in zip(texts, ranges)]
-            cols = [b.column(0).to_pylist(), n_words, [[x for p in r for x in p] for r in ranges], [sorted(i) for i in items], spans]
+            n_words, ranges, items = zip(*(scan(t, s) for t in texts))
+            spans = [[x for y in original_spans(t, r) for x in y] if with_spans and r else [] for t, r in zip(texts, ranges)]
+            cols = [b.column(0).to_pylist(), n_words, [[x for p in r for x in p] for r in ranges], items, spans]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return src.mapInArrow(run, "doc_id long, n_words long, ranges array<long>, items array<long>, spans array<long>")
@@ -151,22 +173,14 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 10, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 10, most_words: int = MOST_WORDS) -> DataFrame:
     """docs without the rows that hold any window, in one pass and without a shuffle."""
-    spark = docs.sparkSession
-    runtime.ship(spark)
-    chunks = ship_chunks(spark, benchmark, width, chunk_chars)
-    rows = 512 if len(chunks) < 3 else 8192
+    shipped = ship_items(benchmark, width, most_words)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runtime.slices(batches, rows, 64 << 10 << (10 if rows > 512 else 7)):
-            texts = b.column(at).to_pylist()
-            clean = [True] * len(texts)
-            for key, patterns in chunks:
-                a, _ = automaton(key, patterns)
-                for i, t in enumerate(texts):
-                    clean[i] = clean[i] and next(a.iter(f" {b' '.join(folded(t)).decode()} "), None) is None
-            yield b.filter(pa.array(clean))
+        s = scanner(shipped)
+        for b in runtime.slices(batches):
+            yield b.filter(pa.array([next(s.runs(folded(t)), None) is None for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -327,22 +327,23 @@ def brute_hits(text, items):
                     hit.update(range(i, i + len(win)))
                     found.add(item)
     names = ",".join(sorted(map(str, found)))
+    found.discard(None)
     return len(own), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("chunk_chars", [decontaminate.CHUNK_CHARS, 3000])
-def test_decontamination_by_brute_force(spark, chunk_chars):
-    items = [(1, "One two, three four five six seven eight nine ten eleven twelve"), (2, "short item"), (20, "SHORT-item!"), (3, ""), (4, None), (5, "é日 x")] + [(100 + k, " ".join(f"w{k}q{i}" for i in range(30))) for k in range(12)]
+@pytest.mark.parametrize("most_words", [decontaminate.MOST_WORDS, 60])
+def test_decontamination_by_brute_force(spark, most_words):
+    items = [(1, "One two, three four five six seven eight nine ten eleven twelve"), (2, "short item"), (20, "SHORT-item!"), (3, ""), (4, None), (5, "é日 x"), (None, "item without any id"), (6, "wort " * 23)] + [(100 + k, " ".join(f"w{k}q{i}" for i in range(30))) for k in range(12)]
     texts = ["zero ONE two three-four five six seven eight nine ten eleven twelve thirteen", "a short. item short item b", None, "", "x é日 X é日", "one two three four five six seven eight nine", LONG, " ".join(f"w3q{i}" for i in range(5, 28)) + " short item " + " ".join(f"w7q{i}" for i in range(9))]
     texts += ["short item", "short item" * 3, "short_item"]
     docs = frame(spark, list(enumerate(texts)) + [(1, texts[1])])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.hits(docs, bench, chunk_chars=chunk_chars, with_spans=True)
+    found = decontaminate.hits(docs, bench, most_words=most_words, with_spans=True)
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate.summary(found).collect()}
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
     spans = {r.doc_id: [texts[r.doc_id][s:e] for s, e in zip(r.spans[::2], r.spans[1::2])] for r in found.collect()}
     assert spans[0] == [texts[0][5:-9]] and spans[1] == ["short. item short item"]
-    kept = decontaminate.drop_contaminated(docs, bench, chunk_chars=chunk_chars)
+    kept = decontaminate.drop_contaminated(docs, bench, most_words=most_words)
     assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items)[4]}
     assert decontaminate.hits(docs.limit(0), bench).count() == 0
     assert decontaminate.summary(decontaminate.hits(docs, bench.limit(0))).filter("contaminated").count() == 0
@@ -350,10 +351,34 @@ def test_decontamination_by_brute_force(spark, chunk_chars):
 
 def test_decontamination_of_the_table(spark, sf_dir):
     items = [tuple(r) for r in runtime.read_table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
-    texts = {r.doc_id: r.text for r in docs_of(spark, sf_dir).limit(60).collect()}
+    texts = {r.doc_id: r.text for r in docs_of(spark, sf_dir).collect()}
     got = {r.doc_id: tuple(r)[1:] for r in queries.op4_decontaminate(spark, sf_dir).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
-    for d, t in texts.items():
-        assert got[d] == brute_hits(t, items)
+    assert got == {d: brute_hits(t, items) for d, t in texts.items()} and any(x[-1] for x in got.values())
+
+
+def test_decontamination_of_repetitive_texts_by_brute_force():
+    rng = random.Random(8)
+    text = lambda n, k: " ".join(rng.choice("abcd"[:k]) for _ in range(n))
+    for _ in range(300):
+        items = [(i, text(rng.randrange(1, 30), rng.randrange(1, 5))) for i in range(4)]
+        s = decontaminate.Scanner(decontaminate.Items(iter(items), 10, rng.choice([20, 1000])))
+        t = text(rng.randrange(80), rng.randrange(1, 5))
+        n, ranges, ids = decontaminate.scan(t, s)
+        assert (n, sum(b - a for a, b in ranges), len(ids)) == brute_hits(t, items)[:3]
+
+
+def test_a_large_benchmark_is_one_automaton():
+    import time
+
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(50_000)])
+    items = [(i, " ".join(words[rng.integers(0, 50_000, 700)])) for i in range(5000)]  # some 23 MB
+    assert sum(len(t) for _, t in items) > 20_000_000
+    s = decontaminate.Scanner(decontaminate.Items(iter(items), 10))
+    assert len(s.automata) == 1
+    began, own = time.time(), items[77][1].split()
+    n, ranges, ids = decontaminate.scan(" ".join(["x", *own[100:120], "y", *own[3:12], *items[4000][1].split()[:10]]), s)
+    assert (ranges, ids) == ([(1, 21), (31, 41)], [77, 4000]) and time.time() - began < 1
 
 
 # --- 5
