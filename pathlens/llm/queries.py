@@ -59,6 +59,12 @@ ENTRIES = [
     ("adult", "prefix", "ththan.example.com/fr", "add", "2024-07-01"),
     ("adult", "host", "ththan.example.com", "add", "2024-12-20"),
     ("adult", "host", "tionble.example.org", "remove", "2024-01-01"),
+    ("adult", "prefix", "Therhe.Example.ORG/en", "add", "2024-02-01"),
+    ("adult", "prefix", "therhe.example.org/EN", "add", "2024-02-01"),
+    ("adult", "prefix", "tiontion.example.net/En/", "add", "2024-02-01"),
+    ("spam", "host", "Spam-Farm.Example.com", "add", "2024-01-02"),
+    *(("history", "host", "example.com", action, f"2024-{month:02}-{day:02}") for month in range(1, 13) for action, day in (("add", 3), ("remove", 17))),
+    ("far", "host", "example.org", "remove", "9999-01-01"),
 ]
 ENTRY_DDL = "list_id string, kind string, pattern string, action string, dated string"
 
@@ -70,14 +76,25 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("fetched_at", F.timestamp_seconds(second))
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ENTRIES, and for every host of the pages an add and, 45 days later, a remove, by the host's length."""
+    day = F.length("pattern") * 7 % 300
+    hosts = read_table(spark, sf_dir, "pages").select(url_filter.host_of("url").alias("pattern")).filter("pattern <> ''").distinct()
+    dated = [hosts.select(F.lit("own").alias("list_id"), F.lit("host").alias("kind"), "pattern", F.lit(a).alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), day + k).cast("string").alias("dated")) for a, k in (("add", 0), ("remove", 45))]
+    return spark.createDataFrame(ENTRIES, ENTRY_DDL).union(dated[0]).union(dated[1])
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = url_filter.flag(captures(spark, sf_dir), spark.createDataFrame(ENTRIES, ENTRY_DDL))
+    flagged = url_filter.flag(captures(spark, sf_dir), entries(spark, sf_dir))
     return flagged.select("page_id", "url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched"), F.concat_ws(",", "matches").alias("matches"), (F.size("matches") > 0).alias("blocked"))
 
 
 ENTRY_ROWS = ", ".join(str(e) for e in ENTRIES)
 OP7_SQL = rf"""
-WITH e AS (SELECT * FROM (VALUES {ENTRY_ROWS}) t(list_id, kind, pattern, action, dated)),
+WITH h AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.+$', '') AS pattern FROM pages),
+w AS (SELECT * FROM (VALUES {ENTRY_ROWS}) t(list_id, kind, pattern, action, dated)
+      UNION ALL SELECT 'own', 'host', pattern, a, strftime(DATE '2024-01-01' + CAST(length(pattern) * 7 % 300 + k AS INTEGER), '%Y-%m-%d') FROM h, (VALUES ('add', 0), ('remove', 45)) t(a, k) WHERE pattern <> ''),
+e AS (SELECT list_id, kind, regexp_replace(CASE WHEN kind = 'prefix' THEN lower(regexp_extract(pattern, '^[^/]*')) || regexp_replace(pattern, '^[^/]*', '') ELSE lower(pattern) END, '[./]+$', '') AS pattern, action, dated FROM w),
 v AS (SELECT list_id, kind, pattern, action, CAST(dated AS TIMESTAMP) AS f,
       lead(CAST(dated AS TIMESTAMP)) OVER (PARTITION BY list_id, kind, pattern ORDER BY dated) AS t
       FROM (SELECT list_id, kind, pattern, dated, max(action) AS action FROM e GROUP BY ALL)),

@@ -623,15 +623,24 @@ def test_url_filter_has_list_history(spark):
         "list_id string, kind string, pattern string, action string, dated string",
     )
     rows = [("http://u:p@www.BAD.org:80/x", "2024-01-09"), ("http://bad.org", "2024-01-10"), ("https://sub.bad.org?q", "2024-02-09"), ("http://bad.org/", "2024-02-10"), ("http://bad.org/", "2024-12-01"), ("http://notbad.org/", "2024-12-01"), ("http://x.com/en/a/b", "2024-03-01"), ("http://x.com/english", "2024-03-01"), ("http://x.com/en#t", "2024-03-01"), ("http://same.org", "2024-03-01"), (None, "2024-03-01"), ("http://bad.org", None), ("", "2024-03-01"), ("not a url", "2024-03-01"), ("http://bad.org/", "2024-12-01")]
-    caps = spark.createDataFrame([(u, t, "k", "p") for u, t in rows], "url string, fetched_at string, key string, pattern string")
+    rows += [("http://y.org/En/Foo/1", "2024-03-01"), ("http://y.org/en/foo/1", "2024-03-01"), ("http://y.org/", "9999-12-31"), ("http://" + "a." * 20_000 + "bad.org/" + "x/" * 20_000, "2024-06-01")]
+    entries = entries.union(spark.createDataFrame([("c", "prefix", "Y.org/En/Foo", "add", "2024-01-01")], entries.schema))
+    caps = spark.createDataFrame([(u, t, "k", "p", "1", "2", "3", "4") for u, t in rows], "url string, fetched_at string, key string, pattern string, __url string, __ts string, __matches string, __flags string")
     got = url_filter.flag(caps, entries).collect()
-    want = {1: ["a:bad.org"], 2: ["a:bad.org"], 4: ["a:bad.org"], 6: ["b:x.com/en"], 8: ["b:x.com/en"], 14: ["a:bad.org"]}
+    want = {1: ["a:bad.org"], 2: ["a:bad.org"], 4: ["a:bad.org"], 6: ["b:x.com/en"], 8: ["b:x.com/en"], 14: ["a:bad.org"], 15: ["c:y.org/En/Foo"], 18: ["a:bad.org"]}
     assert sorted(((r.url, r.fetched_at, r.matches) for r in got), key=str) == sorted(((u, t, want.get(i, [])) for i, (u, t) in enumerate(rows)), key=str)
     assert url_filter.drop_flagged(caps, entries).count() == len(rows) - len(want)
     assert url_filter.flag(caps.limit(0), entries).count() == 0
     assert url_filter.flag(caps, entries.limit(0)).filter("size(matches) > 0").count() == 0
 
 
+def test_open_entries_take_a_bounded_number_of_rows(spark):
+    entries = spark.createDataFrame([("a", "host", "bad.org", "add", "0001-01-01")], "list_id string, kind string, pattern string, action string, dated string")
+    caps = spark.createDataFrame([(f"http://bad.org/{i}", f"{y}-01-01") for i in range(200) for y in (1970, 2024, 9999)], "url string, fetched_at string")
+    assert url_filter.match(caps, entries).count() == 600
+    assert len(url_filter.slots_of(caps.select(F.col("fetched_at").cast("timestamp").alias("t")), "t")) <= 3
+
+
 def test_url_filter_against_sql(spark, sf_dir):
     import duckdb
 
