@@ -34,7 +34,7 @@ WIDTH = 5
 #: Texts and shingles that the order of shingles is learned from.
 SAMPLE, FREQUENT = 5_000, 200_000
 #: Texts whose postings a bucket holds on average.
-BUCKET = 20_000
+BUCKET = 6_000
 #: Differing bits at which the trees link fingerprints.
 RADIUS = 2
 POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4")])

@@ -149,7 +149,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
     def keys_of(words: set[str]) -> list[int]:
         new = [w for w in words if w not in seen]
         if new:
-            if len(seen) > 400_000:
+            if len(seen) > 250_000:
                 seen.clear()
                 new = list(words)
             h = np.array([_hash(w) for w in new], np.int64)
@@ -170,7 +170,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
             for t in b.column(0).to_pylist():
                 if t:
                     counts.update(keys_of(set(map(str.lower, TERM.findall(t)))))
-            if len(counts) > 500_000:
+            if len(counts) > 250_000:
                 yield out()
         yield out()
 

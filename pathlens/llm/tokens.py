@@ -18,7 +18,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: White space other than space, tab, newline and return: such texts are encoded whole.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 END_IDS = {"byte_bpe_50k.json": 2, "word_bpe_49k.json": 0}
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_chars() -> dict[int, str]:
