@@ -4,8 +4,10 @@ Statistics come from whole texts (words, character classes, repeats, lines and t
 Trees are grown in numpy on histograms of binned statistics from a bounded sample of labelled rows
 (``max_rows``), then flattened into arrays of feature, threshold and child that a batch of rows walks together.
 
-Null text counts as empty and gets a score as any other. Without labelled rows of both classes the score is the
-share of ones (0.5 if there are none). Repeated rows score alike; extra columns pass by.
+Null text counts as empty and gets a score as any other; very long texts count whole. Without labelled rows of both
+classes the score is the share of ones (0.5 if there are none). Repeated rows score alike. In training an id counts
+once, with the smallest of its texts, so ``max_rows`` bounds what comes to the driver; of equally good splits the
+first statistic's lowest cut is taken. An empty table gives an empty one; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -188,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["y", "x"])
 
     # max_rows rows of 12 bytes: a bounded side.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(run, "y int, x binary").toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = texts.select("y", "text").mapInArrow(run, "y int, x binary").toPandas()
     if rows.empty:
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     x = np.frombuffer(b"".join(rows.x), np.float32).reshape(len(rows), -1).astype(float)

@@ -5,8 +5,10 @@ words and word beginnings. The risk is the class-prior-corrected one, prior * R_
 R_P(-)); where the second part turns negative its gradient is reversed. P and U are bounded samples (``max_p``,
 ``max_u``) in the order of a hash of the id; candidate features come from P, their choice from P against U.
 
-Null text counts as empty and gets the score of a document without features. Without positives every score is
-the prior. Rows that repeat score alike; extra columns pass by.
+Null text counts as empty and gets the score of a document without features; very long texts count whole. Without
+positives every score is the prior. Rows that repeat score alike. In training an id counts once in P and once in U,
+with the smallest of its texts, so ``max_p`` and ``max_u`` bound what comes to the driver; ties between features go
+to the smaller key. An empty table gives an empty one; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -100,30 +102,36 @@ def _sum(values: np.ndarray, indptr: np.ndarray) -> np.ndarray:
     return total[indptr[1:]] - total[indptr[:-1]]
 
 
-def fit(p: list[np.ndarray], u: list[np.ndarray], n_features: int, prior: float, steps: int = 500, rate: float = 0.05, l2: float = 2e-5, slack: float = 0.02) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk with the logistic loss (Adam on all rows).
+def packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    indptr = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    return (np.concatenate(rows).astype(int) if indptr[-1] else np.zeros(0, int)), indptr
 
-    Below -slack * prior the corrected negative risk counts as overfitted, and its gradient is reversed.
-    """
-    w, m, v = (np.zeros(n_features + 1) for _ in range(3))
-    w[-1] = np.log(prior / (1 - prior))
 
-    def packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        indptr = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-        return (np.concatenate(rows).astype(int) if indptr[-1] else np.zeros(0, int)), indptr
+def risks(w: np.ndarray, p: tuple, u: tuple, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the risk, prior * R_P(+) and R_U(-) - prior * R_P(-), and their gradients; w ends with the bias."""
 
     def push(idx: np.ndarray, indptr: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-        g = np.bincount(idx, np.repeat(per_row, np.diff(indptr)), n_features + 1)
+        g = np.bincount(idx, np.repeat(per_row, np.diff(indptr)), len(w))
         g[-1] += per_row.sum()
         return g / len(per_row)
 
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    (pi, pp), (ui, up) = packed(p), packed(u)
+    fp, fu = _sum(w[p[0]], p[1]) + w[-1], _sum(w[u[0]], u[1]) + w[-1]
+    rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return prior * np.logaddexp(0, -fp).mean(), rest, prior * push(*p, -sigmoid(-fp)), push(*u, sigmoid(fu)) - prior * push(*p, sigmoid(fp))
+
+
+def fit(p: list[np.ndarray], u: list[np.ndarray], n_features: int, prior: float, steps: int = 500, rate: float = 0.05, l2: float = 2e-5, slack: float = 0.02) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative PU risk with the logistic loss (Adam on all rows).
+
+    Below -slack * prior the corrected negative risk counts as overfitted, and its gradient is reversed.
+    """
+    w, m, v = (np.zeros(n_features + 1) for _ in range(3))
+    w[-1] = np.log(prior / (1 - prior))
+    p, u = packed(p), packed(u)
     for t in range(1, steps + 1):
-        fp, fu = _sum(w[pi], pp) + w[-1], _sum(w[ui], up) + w[-1]
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        g_rest = push(ui, up, sigmoid(fu)) - prior * push(pi, pp, sigmoid(fp))
-        g = prior * push(pi, pp, -sigmoid(-fp)) + g_rest if rest >= -slack * prior else -g_rest
+        _, rest, g_p, g_rest = risks(w, p, u, prior)
+        g = g_p + g_rest if rest >= -slack * prior else -g_rest
         g[:-1] += l2 * w[:-1]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
@@ -153,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_p: int
     p_ids = sample_labels(known.filter(F.col(column) == 1), column, max_p).select("doc_id", F.lit(True).alias("p"))
     u_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_u).select("doc_id", F.lit(False).alias("p"))
     picked = runtime.stage(p_ids.union(u_ids), "pu-sample")  # max_p + max_u rows: a bounded side
-    texts = runtime.stage(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("p", "text"), "pu-texts")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "p").agg(F.min("text").alias("text"))
+    texts = runtime.stage(texts.select("p", "text"), "pu-texts")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches, rows=128):

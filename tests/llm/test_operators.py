@@ -217,6 +217,82 @@ def test_forest_arrays_agree_with_a_walk():
     assert ((f.score(x) > 0.5) == y).mean() > 0.95
 
 
+def naive_forest(x, y, trees, depth, rate=0.1, bins=48, l2=2.0, least=8):
+    """Predictions of boosting that tries every cut of every column by comparing values."""
+    base = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    raw = np.full(len(y), base)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+
+        def grow(rows, level):
+            score = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)  # noqa: B023, E731
+            best = (1e-6, None, None)
+            for j in range(x.shape[1]) if level < depth and len(rows) >= 2 * least else ():
+                for c in cuts[j]:
+                    lo, hi = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                    if min(len(lo), len(hi)) >= least and (gain := score(lo) + score(hi) - score(rows)) > best[0] + 1e-12:
+                        best = (gain, lo, hi)
+            if best[1] is None:
+                raw[rows] += -rate * g[rows].sum() / (h[rows].sum() + l2)  # noqa: B023
+            else:
+                grow(best[1], level + 1)
+                grow(best[2], level + 1)
+
+        grow(np.arange(len(y)), 0)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_forest_agrees_with_naive_boosting():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((300, 3)) * [1, 20, 3], [2, 0, 1][0])
+    x[:, 2] = rng.integers(0, 3, 300)
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 11) | (rng.random(300) < 0.1)).astype(float)
+    assert np.allclose(quality_gbdt.fit(x, y, trees=8, depth=3).score(x), naive_forest(x, y, 8, 3), atol=1e-9)
+
+
+def test_pu_risk_and_gradient_by_finite_differences():
+    rng = np.random.default_rng(3)
+    p, u = ([np.flatnonzero(rng.random(6) < q) for _ in range(n)] for q, n in ((0.6, 7), (0.3, 11)))
+    prior, loss = 0.3, lambda z, y: np.log1p(np.exp(-y * z))
+
+    def naive(w):
+        f = lambda r: sum(w[i] for i in r) + w[6]
+        r_pp, r_pn, r_un = (np.mean([loss(f(r), y) for r in rows]) for rows, y in ((p, 1), (p, -1), (u, -1)))
+        return prior * r_pp, r_un - prior * r_pn
+
+    for _ in range(5):
+        w = rng.standard_normal(7)
+        first, rest, g_first, g_rest = toxicity_pu.risks(w, toxicity_pu.packed(p), toxicity_pu.packed(u), prior)
+        assert np.allclose((first, rest), naive(w))
+        for i in range(7):
+            step = np.eye(7)[i] * 1e-6
+            num = [(a - b) / 2e-6 for a, b in zip(naive(w + step), naive(w - step))]
+            assert np.allclose((g_first[i], g_rest[i]), num, atol=1e-6)
+    # overfitted negatives are pushed back: with prior * R_P(-) above R_U(-) the loss may not fall below its floor
+    weights, bias = toxicity_pu.fit([np.array([0])] * 30, [np.array([0])] * 5 + [np.array([1])] * 95, 2, 0.5, steps=400)
+    _, rest, _, _ = toxicity_pu.risks(np.append(weights, bias), toxicity_pu.packed([np.array([0])] * 30), toxicity_pu.packed([np.array([0])] * 5 + [np.array([1])] * 95), 0.5)
+    assert rest > -0.1
+
+
+@pytest.mark.parametrize("module, column", [(quality_gbdt, "quality"), (toxicity_pu, "toxic")])
+def test_training_rows_are_bounded_by_id(spark, monkeypatch, module, column):
+    rows = [(1, f"text number {i % 7} of one id, bad words here")[:2] for i in range(500)] + [(i, f"some other text {i} of good words") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    taken = []
+    to_pandas = type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: (taken.append(len(out := to_pandas(self))), out)[1])
+    if module is quality_gbdt:
+        module.train(docs, labels, column, max_rows=2)
+        assert max(taken) <= 2
+    else:
+        monkeypatch.setattr(module, "CANDIDATES", 4)
+        module.train(docs, labels, column, max_p=3, max_u=4)
+        assert max(taken) <= 7
+
+
 # --- 3
 
 
