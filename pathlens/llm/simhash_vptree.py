@@ -5,17 +5,22 @@ one vantage-point tree, grown on a bounded sample: at each node the Hamming dist
 fingerprint inside (at most the median), outside, or, within ``radius`` below the boundary, to both. By the
 triangle bound two fingerprints at most ``radius`` apart then share a shard, so each shard finds its pairs alone,
 by the same splits down to small leaves that are compared in full; a shard returns a spanning forest of its
-links. Large-star/small-star rounds join the forests into components.
+links. Shards are counted before, and those over twice SHARD get a subtree grown on a sample of their own, again and
+again, so no task's share grows with the corpus. Only fingerprints that no vantage point tells apart stay together
+(all within a few bits of each other, which bounds their number); their links are looked up by flipping bits.
+Large-star/small-star rounds join the forests into components.
 
 Exact copies share a fingerprint and are never expanded into pairs. Null and empty texts have fingerprint zero,
 linked like any other. A row with a null id gets its group's component (the smallest id there; null if none).
-Repeated rows get the same result each; extra columns are ignored.
+Repeated rows get the same result each; an empty table gives an empty one; very long texts are read whole; extra
+columns are ignored, or kept by ``drop_duplicates``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,8 +34,8 @@ from pathlens.llm import runtime
 SEED = 42
 BITS = 64
 #: Fingerprints a shard should hold, and the most that only the tree's shape is learned from.
-SHARD, SAMPLE = 12_000, 20_000
-LEAF = 128
+SHARD, SAMPLE = 30_000, 20_000
+LEAF, PAIRWISE = 128, 4096
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -76,15 +81,16 @@ def distance(a: np.ndarray, v: np.uint64) -> np.ndarray:
 
 
 def vantage(x: np.ndarray, radius: int, tries: int = 8) -> tuple[np.uint64, int] | None:
-    """The vantage point and boundary that leave the least in the larger side; None if no split makes both smaller."""
+    """The vantage point and boundary that balance the sides with few on both; None if no split makes both smaller."""
     best, n = None, len(x)
     for v in x[np.linspace(0, n - 1, min(n, tries)).astype(int)]:
         d = distance(x, v)
         mu = int(np.median(d))
         for m in (mu, mu - 1):
             inside, outside = int((d <= m).sum()), int((d > m - radius).sum())
-            if max(inside, outside) < n and (best is None or inside + outside < best[0]):
-                best = (inside + outside, v, m)
+            cost = inside + outside + max(inside, outside)
+            if max(inside, outside) < n and (best is None or cost < best[0]):
+                best = (cost, v, m)
     return best and (best[1], best[2])
 
 
@@ -125,6 +131,9 @@ def links(x: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
             if len(inside) + len(outside) < 1.7 * len(at):
                 todo += [inside, outside]
                 continue
+        if len(at) > PAIRWISE:
+            yield from flipped(x, at, radius)
+            continue
         own = x[at]
         for k in range(0, len(at), 256):  # a leaf, or fingerprints that no vantage point tells apart
             near = np.bitwise_count(own[k : k + 256, None] ^ own[None, k:]) <= radius
@@ -134,6 +143,19 @@ def links(x: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
                 yield at[k + i[keep]], at[k + j[keep]]
 
 
+def flipped(x: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs by flipping up to radius bits and looking the result up: no square of their number."""
+    order = at[np.argsort(x[at])]
+    own = x[order]
+    for k in range(1, radius + 1):
+        for bits in combinations(range(BITS), k):
+            want = own ^ np.uint64(sum(1 << b for b in bits))
+            place = np.minimum(np.searchsorted(own, want), len(own) - 1)
+            hit = (own[place] == want) & (own < want)
+            if hit.any():
+                yield order[hit], order[place[hit]]
+
+
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Per position the smallest position linked to it."""
     up = np.arange(n)
@@ -152,20 +174,48 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return up
 
 
-def shard_links(nodes: DataFrame, radius: int, n: int) -> DataFrame:
-    """Links (a, b), a > b as longs, that connect whatever fingerprints of nodes.fp are linked."""
-    spark = nodes.sparkSession
-    depth = max(0, math.ceil(math.log(max(1.0, n / SHARD)) / math.log(1 / 0.6)))
-    tree: list = []
-    if depth:  # the tree's shape alone comes from the sample; any shape finds all pairs
-        rows = nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()
-        tree = top_tree(np.sort(rows.fp.to_numpy(np.int64).view(np.uint64)), depth, radius)
+def routed(rows: DataFrame, trees: dict[int, list], radius: int, names: dict[int, int]) -> DataFrame:
+    """rows (shard, fp) dealt to the leaves of their shard's tree; leaf numbers count on from the tree's name."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for name, at in route(x, tree, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), pa.array(x[at].view(np.int64))], names=["shard", "fp"])
+            shard, fp = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for s in np.unique(shard):
+                x = fp[shard == s]
+                for leaf, at in route(x, trees[int(s)], radius):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), names[int(s)] + leaf, np.int64)), pa.array(x[at].view(np.int64))], names=["shard", "fp"])
+
+    return rows.mapInArrow(assign, "shard long, fp long")
+
+
+def sharded(nodes: DataFrame, radius: int, n: int, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """(shard, fp): every two fingerprints at most radius apart share a shard; shards hold at most 2 * shard unless
+    no vantage point splits them. Samples shape the trees alone; any shape finds all pairs."""
+    rows = nodes.select(F.lit(0).cast("long").alias("shard"), "fp")
+    over, done, first = {0: n}, None, 1
+    while over := {s: c for s, c in over.items() if c > 2 * shard or (c > shard and done is None)}:
+        # A sample a shard, in the order of a hash, of sample rows in all or 256 a shard; at most n / shard shards are over.
+        each = max(256, sample // len(over))
+        order = Window.partitionBy("shard").orderBy(F.xxhash64("fp"), "fp")
+        picked = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).toPandas() if len(over) > 1 else rows.orderBy(F.xxhash64("fp"), "fp").limit(each).toPandas()
+        trees, names = {}, {}
+        for s, g in picked.groupby("shard"):
+            depth = max(1, math.ceil(math.log(over[s] / shard) / math.log(1 / 0.6)))
+            trees[s] = top_tree(np.sort(g.fp.to_numpy(np.int64).view(np.uint64)), min(depth, 12), radius)
+            names[s], first = first, first + (2 << 12)
+        dealt = runtime.stage(routed(rows, trees, radius, names), "fp-shards")
+        sizes = {r.shard: r["count"] for r in dealt.groupBy("shard").count().toLocalIterator()}  # a row a shard
+        # What a tree could not make smaller stays as it is.
+        stuck = {names[s] + 1 for s, t in trees.items() if not t}
+        over = {s: c for s, c in sizes.items() if s not in stuck and c > 2 * shard}
+        small = dealt.filter(~F.col("shard").isin([int(s) for s in over])) if over else dealt
+        done = small if done is None else done.union(small)
+        rows = dealt.filter(F.col("shard").isin([int(s) for s in over])) if over else rows
+    return rows if done is None else done
+
+
+def shard_links(nodes: DataFrame, radius: int, n: int, shard: int = SHARD) -> DataFrame:
+    """Links (a, b), a > b as longs, that connect whatever fingerprints of nodes.fp are linked."""
 
     def within(g: pd.DataFrame) -> pd.DataFrame:
         x = np.unique(g.fp.to_numpy(np.int64))
@@ -173,7 +223,7 @@ def shard_links(nodes: DataFrame, radius: int, n: int) -> DataFrame:
         at = np.flatnonzero(up != np.arange(len(x)))
         return pd.DataFrame({"a": x[at], "b": x[up[at]]})
 
-    return nodes.select("fp").mapInArrow(assign, "shard long, fp long").groupBy("shard").applyInPandas(within, "a long, b long")
+    return sharded(nodes, radius, n, shard).groupBy("shard").applyInPandas(within, "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

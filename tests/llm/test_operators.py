@@ -352,7 +352,10 @@ def test_vantage_point_shards_find_all_pairs(spark):
     want = {(i, i + 1 + int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= 2)}
     assert found == want
     nodes = spark.createDataFrame([(int(f.astype(np.int64)), i) for i, f in enumerate(x)], "fp long, least long")
-    edges = simhash_vptree.shard_links(nodes, 2, 10 * simhash_vptree.SHARD)
+    shards = simhash_vptree.sharded(nodes, 2, len(x), 300)
+    sizes = [r["count"] for r in shards.groupBy("shard").count().collect()]
+    assert max(sizes) <= 600 or len(sizes) > 10 and max(sizes) <= len(dense) + 600
+    edges = simhash_vptree.shard_links(nodes, 2, len(x), 300)
     roots = {r.fp: r.root for r in simhash_vptree.components(edges).collect()}
     group = {}
     for i, f in enumerate(x.astype(np.int64)):
@@ -360,6 +363,28 @@ def test_vantage_point_shards_find_all_pairs(spark):
     assert sorted(min(g) for g in group.values()) == sorted(set(brute_components(prints)))
 
 
+def test_shards_stay_small_at_many_times_their_size(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 20_000, np.uint64)
+    near = base[:2000] ^ np.uint64(1 << 40) ^ np.uint64(1 << 3)
+    x = np.unique(np.concatenate([base, near]))
+    nodes = spark.createDataFrame([(int(f),) for f in x.view(np.int64)], "fp long").repartition(4)
+    shards = simhash_vptree.sharded(nodes, 2, len(x), 2000, 1000).cache()
+    assert shards.groupBy("shard").count().agg(F.max("count")).first()[0] <= 4000
+    home = shards.groupBy("fp").agg(F.collect_set("shard").alias("s"))
+    homes = {r.fp: set(r.s) for r in home.collect()}
+    assert len(homes) == len(x) and all(homes[int(a)] & homes[int(b)] for a, b in zip(base[:2000].view(np.int64), near.view(np.int64)))
+
+
+def test_flipped_bits_find_the_pairs_of_dense_fingerprints(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.unique(np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), False)) for _ in range(3000)], np.uint64))
+    want = {(int(x[i]), int(x[i + 1 + j])) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= 2)}
+    monkeypatch.setattr(simhash_vptree, "PAIRWISE", 200)
+    got = {tuple(sorted((int(a), int(b)))) for i, j in simhash_vptree.links(x, 2) for a, b in zip(x[i], x[j])}
+    assert got == want
+
+
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 200)], "a long, b long")
     got = {r.fp: r.root for r in simhash_vptree.components(edges).collect()}
