@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by shifted Hilbert curves.
 
 Distinct vectors are projected at random onto a few dimensions, once per curve, shifted and put in Hilbert order.
-Each curve's keys are sorted by a range partitioning, which gives every vector a position; equal blocks of
-positions are searched by the queries whose window reaches them, with distances on the original vectors, and the
-curves' candidates are merged and ranked again.
+Each curve's keys are sorted by a range partitioning, which gives every vector a position. Positions and codes (the
+vector in one byte a component) go into blocks; a query asks the blocks that its window of positions reaches for
+its nearest codes there. The curves' candidates are merged by code, the best ones' vectors fetched once, and their
+exact distances ranked again. What is shuffled for a vector is its code once a curve and not the vector.
 
 ``window`` is a share of the positions to either side, at least ``least_window`` positions. Unless given, it is the
 share that finds ``recall`` of the true neighbours within a bounded sample: in a larger table neighbours lie closer,
 so it errs to the wide side. Embeddings without structure (random directions in 64 dimensions) need wide windows, as
-no ordering brings their neighbours close; structured ones need far less. Identical vectors are indexed once, with
-the k + 1 smallest ids that any result can need.
+no ordering brings their neighbours close, and the work then grows as the square of the table; structured ones need
+far less. Blocks are as long as half a window, within bounds, so a query asks few of them; a block's queries beyond
+ASKS are dealt over copies of the block, which so never outweigh them. Identical vectors are indexed once, with the
+k + 1 smallest ids that any result can need.
 
 Vectors that are null, zero, of another length than most sampled ones, or hold null or non-finite components take
-no part, nor do rows without an id. A row that repeats an id with the same vector counts once; with different
-vectors, the nearest counts. Extra columns are ignored.
+no part, nor do rows without an id; a table without queries or vectors gives an empty result. A row that repeats an
+id with the same vector counts once; with different vectors, the nearest counts. Ties go to the smaller id. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +30,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathlens.llm import runtime
 
-CURVES, DIMENSIONS, ORDER = 8, 8, 7
-RECALL, LEAST_WINDOW, BLOCK = 0.96, 2000, 2048
-SAMPLE, TRIALS, QUERIES_PER_TASK = 4000, 500, 2048
+CURVES, DIMENSIONS, ORDER = 4, 8, 7
+RECALL, LEAST_WINDOW = 0.96, 32
+#: Positions in a block, and the asks that go to one copy of it.
+BLOCKS, ASKS = (1024, 1 << 18), 200_000
+SAMPLE, TRIALS = 4000, 500
+#: Candidates by code, as multiples of k + 1: from each block, and in all.
+FROM_BLOCK, IN_ALL = 2, 4
 
 
 def hilbert_keys(cells: np.ndarray, order: int) -> np.ndarray:
@@ -103,126 +112,137 @@ def fitted_window(shape: Curves, sample: np.ndarray, k: int, recall: float, tria
     return float(np.quantile(apart, recall, method="higher") / n)
 
 
-def nearest(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query its position, the positions of rows that may be among the k nearest (ties included), distances."""
-    xx = (x**2).sum(1)
-    for at in range(0, len(q), 64):
-        part = q[at : at + 64]
-        qq = (part**2).sum(1)
-        d2 = qq[:, None] + xx[None] - 2 * part @ x.T
-        yield from ((at + i, *_near(part[i], x, d2[i], qq[i] + xx.max(), k)) for i in range(len(part)))
+def packed(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """vec_id, n (components), raw (their bytes) of the rows that take part."""
+    kind = rows.schema[vec_col].dataType
+    dtype = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runtime.slices(batches, rows=8192):
+            ids, n, raw = [], [], []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1)):
+                x = v.values.to_numpy(zero_copy_only=False) if v.is_valid else ()
+                if i is not None and len(x) and np.isfinite(x := np.asarray(x, float)).all() and x.any():
+                    ids.append(i)
+                    n.append(len(x))
+                    raw.append((x + 0.0).astype(dtype).tobytes())  # no negative zeros
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "n", "raw"])
 
-def _near(q: np.ndarray, x: np.ndarray, d2: np.ndarray, scale: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(d2) > k:
-        edge = np.partition(d2, k - 1)[k - 1] + 1e-9 * scale  # beyond rounding
-        at = np.flatnonzero(d2 <= edge)
-    else:
-        at = np.arange(len(d2))
-    return at, np.sqrt(((x[at] - q) ** 2).sum(1))
+    src = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if dtype == "<f4" else "array<double>").alias("vec"))
+    return src.mapInArrow(run, "vec_id long, n int, raw binary")
 
 
-def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec) of rows that take part."""
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull())
-    return rows.filter(F.forall("vec", finite) & F.exists("vec", lambda x: x != 0))
-
-
-def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dimensions: int = DIMENSIONS, order: int = ORDER, recall: float = RECALL, window: float | None = None, least_window: int = LEAST_WINDOW, block: int = BLOCK, seed: int = 11) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = CURVES, dimensions: int = DIMENSIONS, order: int = ORDER, recall: float = RECALL, window: float | None = None, least_window: int = LEAST_WINDOW, blocks: tuple[int, int] = BLOCKS, asks_per_task: int = ASKS, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query(its id column) holds."""
     spark = rows.sparkSession
     runtime.ship(spark)
-    clean = valid_vectors(rows, id_col, vec_col)
+    clean = runtime.stage(packed(rows, id_col, vec_col), "ann-packed")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = rows.schema[vec_col].dataType
+    dtype = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
     # A bounded sample, in the order of a hash of the id: it shapes the grid and names the usual length and the window.
-    sample = [r.vec for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toLocalIterator()]
+    sample = [np.frombuffer(r.raw, dtype).astype(float) for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("raw").toLocalIterator()]
     if not sample:
         return empty
     width = max((n := [len(v) for v in sample]), key=n.count)
     sample = np.array([v for v in sample if len(v) == width])
     shape = Curves(sample, curves, dimensions, order, seed)
     share = fitted_window(shape, sample, k, recall) if window is None else window
-    clean = clean.filter(F.size("vec") == width)
+    scale = 127 / np.abs(sample).max()
+    clean = clean.filter(F.col("n") == width).select("vec_id", "raw")
 
     # The k + 1 smallest ids of each distinct vector; Spark cuts groups to that before it shuffles them.
-    by_vector = Window.partitionBy("vec").orderBy("vec_id")
+    by_vector = Window.partitionBy("raw").orderBy("vec_id")
     firsts = clean.distinct().withColumn("n", F.row_number().over(by_vector)).filter(F.col("n") <= k + 1)
-    groups = firsts.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    groups = firsts.groupBy("raw").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = clean.filter(is_query(F.col("vec_id"))).distinct()
-    wanted = asked.select("vec").distinct().withColumn("wanted", F.lit(True))
-    vectors = runtime.stage(groups.join(wanted, "vec", "left").select(F.get("ids", F.lit(0)).alias("rep"), "vec", "ids", F.coalesce("wanted", F.lit(False)).alias("wanted")), "ann-vectors")
-    # A rep may stand for two vectors if an id repeats: (rep, vec) is the key throughout.
+    wanted = asked.select("raw").distinct().withColumn("wanted", F.lit(True))
+    # A rep may stand for two vectors if an id repeats: (rep, vh) is the key throughout.
+    vectors = runtime.stage(groups.join(wanted, "raw", "left").select(F.get("ids", F.lit(0)).alias("rep"), F.xxhash64("raw").alias("vh"), "raw", "ids", F.coalesce("wanted", F.lit(False)).alias("wanted")), "ann-vectors")
     n, n_asked = vectors.agg(F.count("*"), F.count_if("wanted")).first()
     if not n_asked:
         return empty
+    matrix = lambda column: np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width).astype(float)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches, rows=4096):
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, width)
-            keys = shape.keys(x)
-            cols = [np.repeat(np.arange(curves), b.num_rows), keys.ravel(), np.tile(b.column(0).to_numpy(), curves), np.tile(b.column(2).to_numpy(), curves)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, ("i4", "i8", "i8", "i8"))], names=["curve", "key", "rep", "vh"])
+            x = matrix(b.column(2))
+            codes = [c.tobytes() for c in np.clip(np.rint(x * scale), -127, 127).astype(np.int8)]
+            rep, vh, ask = (b.column(i) for i in (0, 1, 3))
+            for curve, key in enumerate(shape.keys(x)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), curve, "i4")), pa.array(key), rep, vh, ask, pa.array(codes, pa.binary())], names=["curve", "key", "rep", "vh", "wanted", "code"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(np.full(b.num_rows, part, "i4")), pa.array(np.arange(at, at + b.num_rows))], names=["curve", "rep", "vh", "part", "at"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in range(2, 6)), pa.array(np.full(b.num_rows, part, "i4")), pa.array(np.arange(at, at + b.num_rows))], names=["curve", "rep", "vh", "wanted", "code", "part", "at"])
             at += b.num_rows
 
-    keys = vectors.select("rep", "vec", F.xxhash64("vec").alias("vh")).mapInArrow(keyed, "curve int, key long, rep long, vh long")
+    keys = vectors.select("rep", "vh", "raw", "wanted").mapInArrow(keyed, "curve int, key long, rep long, vh long, wanted boolean, code binary")
     ranged = keys.repartitionByRange(runtime.count_partitions(spark), "curve", "key", "vh").sortWithinPartitions("curve", "key", "vh", "rep")
-    order_ = runtime.stage(ranged.mapInArrow(numbered, "curve int, rep long, vh long, part int, at long"), "ann-order")
-    counts = order_.groupBy("part", "curve").agg(F.count("*").alias("n"), F.min("at").alias("low")).orderBy("curve", "part").collect()  # a row or two per part
+    ordered = runtime.stage(ranged.mapInArrow(numbered, "curve int, rep long, vh long, wanted boolean, code binary, part int, at long"), "ann-order")
+    counts = ordered.groupBy("part", "curve").agg(F.count("*").alias("n"), F.min("at").alias("low")).orderBy("curve", "part").collect()  # a row or two per part
     base, total = [], {}
     for r in counts:
         base.append((r.part, r.curve, total.get(r.curve, 0) - r.low))
         total[r.curve] = total.get(r.curve, 0) + r.n
     reach = int(max(least_window, np.ceil(share * n)))
+    block = min(max(blocks[0], reach // 2), blocks[1])
     offsets = F.broadcast(spark.createDataFrame(base, "part int, curve int, base long"))  # as few rows as parts
-    placed = order_.join(offsets, ["part", "curve"]).select("curve", "rep", "vh", (F.col("at") + F.col("base")).alias("pos"))
-    rows_ = vectors.withColumn("vh", F.xxhash64("vec")).join(placed, ["rep", "vh"])
-    # Queries of one block may be many: they are dealt over salts, each with a copy of the block.
-    salts = int(max(1, np.ceil(n_asked * (block + 2 * reach) / n / QUERIES_PER_TASK)))
+    placed = ordered.join(offsets, ["part", "curve"]).select("curve", "rep", "vh", "wanted", "code", (F.col("at") + F.col("base")).alias("pos"))
+    copies = int(max(1, np.ceil(n_asked * min(1.0, (block + 2 * reach) / n) / asks_per_task)))
     last = (n - 1) // block
     cut = lambda c: F.least(F.greatest(F.floor(c / block), F.lit(0)), F.lit(last))
-    data = rows_.select("curve", F.floor(F.col("pos") / block).alias("block"), F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"), F.lit(False).alias("q"), "rep", "vh", "pos", "vec", "ids")
-    asks = rows_.filter("wanted").select("curve", F.explode(F.sequence(cut(F.col("pos") - reach), cut(F.col("pos") + reach))).alias("block"), F.pmod("vh", F.lit(salts)).cast("int").alias("salt"), F.lit(True).alias("q"), "rep", "vh", "pos", "vec", F.array().cast("array<long>").alias("ids"))
+    own = F.floor(F.col("pos") / block).alias("block")
+    data = placed.select("curve", own, F.explode(F.array(*map(F.lit, range(copies)))).alias("copy"), F.lit(False).alias("q"), "rep", "vh", "pos", "code")
+    asks = placed.filter("wanted").select("curve", F.explode(F.sequence(cut(F.col("pos") - reach), cut(F.col("pos") + reach))).alias("block"), F.pmod("vh", F.lit(copies)).cast("int").alias("copy"), F.lit(True).alias("q"), "rep", "vh", "pos", "code")
 
     def within(g: pd.DataFrame) -> pd.DataFrame:
-        q, x = g[g.q], g[~g.q]
-        out = []
-        if len(q) and len(x):
-            xs, pos = np.array(x.vec.tolist(), float), x.pos.to_numpy()
-            ids = x.ids.tolist()
-            for (rep, vh, at), (i, near, d) in zip(q[["rep", "vh", "pos"]].itertuples(index=False), _windowed(np.array(q.vec.tolist(), float), q.pos.to_numpy(), xs, pos, reach, k + 1)):
-                found = sorted((float(s), int(v)) for j, s in zip(near, d) for v in ids[j])[: k + 1]
-                out += [(rep, vh, v, s) for s, v in found]
-        return pd.DataFrame(out, columns=["rep", "vh", "vec_id", "score"])
-
-    local = data.union(asks).groupBy("curve", "block", "salt").applyInPandas(within, "rep long, vh long, vec_id long, score double")
-    best = Window.partitionBy("rep", "vh").orderBy("score", "vec_id")
-    merged = local.groupBy("rep", "vh", "vec_id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
-    found = runtime.stage(merged.drop("n"), "ann-found")
-    named = vectors.filter("wanted").select("rep", "vec", F.xxhash64("vec").alias("vh"))
-    queries = asked.withColumnRenamed("vec_id", "query_id").join(named, "vec").select("query_id", "rep", "vh")
+        q, x = g[g.q], g[~g.q].sort_values("pos")
+        rep, vh = x.rep.to_numpy(), x.vh.to_numpy()
+        out = [(q.rep.iloc[i], q.vh.iloc[i], rep[near], vh[near], d) for i, near, d in nearest_codes(q, x, width, reach, FROM_BLOCK * (k + 1))]
+        if not out:
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("rep", "vh", "x_rep", "x_vh", "d2")})
+        sizes = [len(o[2]) for o in out]
+        cols = [np.repeat([o[i] for o in out], sizes) for i in (0, 1)] + [np.concatenate([o[i] for o in out]) for i in (2, 3, 4)]
+        return pd.DataFrame(dict(zip(("rep", "vh", "x_rep", "x_vh", "d2"), cols)))
+
+    local = data.union(asks).groupBy("curve", "block", "copy").applyInPandas(within, "rep long, vh long, x_rep long, x_vh long, d2 long")
+    best = Window.partitionBy("rep", "vh").orderBy("d2", "x_rep", "x_vh")
+    short = runtime.stage(local.distinct().withColumn("n", F.row_number().over(best)).filter(F.col("n") <= IN_ALL * (k + 1)).drop("n", "d2"), "ann-short")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runtime.slices(batches, rows=8192):
+            d = np.sqrt(((matrix(b.column(3)) - matrix(b.column(4))) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d)], names=["rep", "vh", "ids", "score"])
+
+    theirs = vectors.select(F.col("rep").alias("x_rep"), F.col("vh").alias("x_vh"), F.col("raw").alias("x_raw"), "ids")
+    pairs = short.join(theirs, ["x_rep", "x_vh"]).join(vectors.filter("wanted").select("rep", "vh", "raw"), ["rep", "vh"])
+    rated = pairs.select("rep", "vh", "ids", "raw", "x_raw").mapInArrow(exact, "rep long, vh long, ids array<long>, score double")
+    nearest = Window.partitionBy("rep", "vh").orderBy("score", "vec_id")
+    single = rated.select("rep", "vh", "score", F.explode("ids").alias("vec_id")).groupBy("rep", "vh", "vec_id").agg(F.min("score").alias("score"))
+    found = runtime.stage(single.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1).drop("n"), "ann-found")
+    queries = asked.withColumnRenamed("vec_id", "query_id").join(vectors.filter("wanted").select("raw", "rep", "vh"), "raw").select("query_id", "rep", "vh")
     per_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
     answers = queries.join(found, ["rep", "vh"]).filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return answers.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _windowed(q: np.ndarray, q_pos: np.ndarray, x: np.ndarray, pos: np.ndarray, reach: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """nearest(), but only rows within reach of the query's position."""
-    order = np.argsort(pos)
-    xs, at = x[order], pos[order]
-    lo, hi = np.searchsorted(at, q_pos - reach), np.searchsorted(at, q_pos + reach, "right")
-    whole = (lo == 0) & (hi == len(at))
-    inside = np.flatnonzero(whole)
-    full = {int(inside[i]): (order[near], d) for i, near, d in nearest(q[inside], xs, k)} if len(inside) else {}
-    for i in range(len(q)):
-        if i in full:
-            yield i, *full[i]
-        else:
-            sub = xs[lo[i] : hi[i]]
-            for _, near, d in nearest(q[i : i + 1], sub, k) if len(sub) else [(0, np.zeros(0, int), np.zeros(0))]:
-                yield i, order[lo[i] + near], d
+def nearest_codes(q: pd.DataFrame, x: pd.DataFrame, width: int, reach: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query its place, the places in x (sorted by position) of the nearest codes within reach, their squared distances."""
+    codes = lambda g: np.frombuffer(b"".join(g.code), np.int8).reshape(-1, width).astype(np.float32)
+    if not len(q) or not len(x):
+        return
+    xs, at, q_at = codes(x), x.pos.to_numpy(), q.pos.to_numpy()
+    xx = (xs**2).sum(1)
+    lo, hi = np.searchsorted(at, q_at - reach), np.searchsorted(at, q_at + reach, "right")
+    qs = codes(q)
+    for k in range(0, len(q), 128):
+        part = qs[k : k + 128]
+        d2 = (part**2).sum(1)[:, None] + xx[None] - 2 * part @ xs.T
+        for i, row in enumerate(d2):
+            a, b = lo[k + i], hi[k + i]
+            if a < b:
+                own = row[a:b]
+                near = np.argpartition(own, most - 1)[:most] if b - a > most else np.arange(b - a)
+                yield k + i, a + near, np.rint(own[near]).astype(np.int64)
