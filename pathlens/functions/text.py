@@ -11,6 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pathlens.functions.dialect import RegexError, java_regex
+
 MAX_TERMS = 64
 
 
@@ -84,40 +86,6 @@ def bounded_terms(terms: list[str]) -> list[str]:
     return terms[:MAX_TERMS]
 
 
-class RegexError(ValueError):
-    def __init__(self, why: str):
-        lines = [x.strip() for x in str(why).splitlines() if x.strip()]
-        super().__init__(f"invalid regex: {lines[-1] if lines else 'empty'}")
-
-
-_REFUSED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|[*+?}]\+")
-
-
-def java_regex(pattern: str, match_case: bool = False) -> str:
-    """A pattern of a linear-time dialect for Java's engine.
-
-    Unicode classes, ``$`` only at the very end, ``.`` everything but a newline. Look-around, back-references and
-    possessive parts, which such a dialect doesn't have, are refused; Java may still backtrack.
-    """
-    out, i, in_class = [], 0, False
-    plain = re.sub(r"\\\\", "", pattern)
-    if m := _REFUSED.search(plain):
-        raise RegexError(f"look-around, back-references and possessive parts are not supported: {m[0]}")
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        if ch == "[":
-            in_class = True
-        elif ch == "]":
-            in_class = False
-        out.append(r"\z" if ch == "$" and not in_class else ch)
-        i += 1
-    return f"(?dU{'' if match_case else 'iu'})" + "".join(out)
-
-
 def checked_regex(spark, pattern: str, match_case: bool = False) -> str:
     """java_regex, refused at once and in one line where Java can't compile it."""
     made = java_regex(pattern, match_case)

@@ -30,6 +30,17 @@ def stats(entries: DataFrame, *by: str) -> DataFrame:
     return entries.groupBy(*by).agg(F.count_if("alive").alias("live"), F.count("*").alias("slots"), F.count_if(F.col("alive") & ~F.col("is_dir")).alias("files"), F.count_if(F.col("alive") & F.col("is_dir")).alias("folders"))
 
 
+def medians(measured: DataFrame, value: str, *by: str) -> DataFrame:
+    """The median, least and largest of value and the number of runs, by the columns given."""
+    return measured.groupBy(*by).agg(F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("runs"))
+
+
+def scan_report(walked: DataFrame) -> DataFrame:
+    """What a walk (path, is_dir, error) found: files, folders, and folders that could not be read."""
+    ok = walked.groupBy("path").agg(F.max("is_dir").alias("is_dir"), F.max(F.col("error").isNotNull()).alias("failed"))
+    return ok.agg(F.count_if(~F.col("is_dir")).alias("files"), F.count_if("is_dir").alias("folders"), F.count_if("failed").alias("errors"))
+
+
 def part_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """paths with the innermost root of roots.root that holds them (null if none)."""
     up = paths.select("path").distinct().withColumn("root", F.explode(F.array_append(text.ancestors("path"), F.col("path"))))

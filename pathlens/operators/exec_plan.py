@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,15 +58,16 @@ def batched(paths: Iterator[str], base: int, budget: int) -> Iterator[list[str]]
 
 
 def batches(hits: DataFrame, command: Command, budget: int = BATCH_BYTES) -> DataFrame:
-    """(batch, argv): paths in order, packed greedily to the budget within each of Spark's partitions.
+    """(part, batch, argv): paths in order, packed greedily to the budget within each of Spark's partitions.
 
-    A page is at most 100,000 paths; one partition gives the batches of a single sequence.
+    part is the partition's number, so (part, batch) names a batch; one partition gives a single sequence.
     """
     head = list(command.args[:-1])  # the last one stands for the paths
     base = sum(len(a.encode()) + 1 for a in head)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
         for n, paths in enumerate(batched((p for f in frames for p in f.path), base, budget)):
-            yield pd.DataFrame({"batch": [n], "argv": [head + paths]})
+            yield pd.DataFrame({"part": [part], "batch": [n], "argv": [head + paths]})
 
-    return hits.select("path").mapInPandas(run, "batch long, argv array<string>")
+    return hits.select("path").mapInPandas(run, "part int, batch long, argv array<string>")

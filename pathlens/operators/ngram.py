@@ -20,6 +20,14 @@ def store(index: DataFrame, path: str, partitions: int) -> None:
     index.repartitionByRange(partitions, "key").sortWithinPartitions("key", "id").write.mode("overwrite").parquet(path)
 
 
+def append(entries: DataFrame, path: str, partitions: int, n: int = 3) -> None:
+    """Adds new entries to a stored index: files beside the old ones, which are not read.
+
+    Dead entries need no removal, as a search tests its candidates; an id must not come back with another name.
+    """
+    build(entries, n).repartitionByRange(partitions, "key").sortWithinPartitions("key", "id").write.mode("append").parquet(path)
+
+
 def frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("key").agg(F.count("*").alias("df"))
 

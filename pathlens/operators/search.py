@@ -42,6 +42,21 @@ def hits(entries: DataFrame, query: str, options: SearchOptions = SearchOptions(
     return entries.limit(0) if p is None else entries.filter(p)
 
 
+def hits_raw(entries: DataFrame, needle: bytes, in_path: bool = False, match_case: bool = False) -> DataFrame:
+    """Live entries whose name or path holds these bytes, for names that are not UTF-8 (path_raw holds those).
+
+    Bytes are compared as they are; without match_case ASCII letters are folded.
+    """
+    whole = F.coalesce("path_raw", F.encode("path", "utf-8")) if "path_raw" in entries.columns else F.encode("path", "utf-8")
+    shown = F.decode(whole, "ISO-8859-1")  # a character a byte
+    shown = shown if in_path or b"/" in needle else text.base_name(shown)
+    wanted = needle.decode("latin-1")
+    if not match_case:
+        upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+        shown, wanted = F.translate(shown, upper, lower), wanted.translate(str.maketrans(upper, lower))
+    return entries.filter(F.contains(shown, F.lit(wanted)) & F.col("alive")) if needle else entries.limit(0)
+
+
 def search(entries: DataFrame, query: str, options: SearchOptions = SearchOptions(), limit: int | None = None) -> DataFrame:
     """One page: hits in the order of parts and ids. The limit is the caller's, up to the hard cap."""
     return page(hits(entries, query, options), clamp_limit(limit))

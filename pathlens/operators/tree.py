@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlens.functions import text
@@ -20,7 +20,8 @@ def with_paths(entries: DataFrame) -> DataFrame:
 
     Only folders can be parents, so they are resolved first, by pointer doubling: after k joins every folder knows
     its ancestor 2**k levels up and the names between. All entries then take one join with their folder.
-    A link to a missing parent or a loop is an error. A root's name is a path and never counts as hidden.
+    A link to a missing parent, or to one that is no folder, or a loop is an error, for files as for folders. A
+    root's name is a path and never counts as hidden.
     """
     key = [c for c in ("part",) if c in entries.columns]
     root = F.col("parent_id").isNull()
@@ -42,9 +43,10 @@ def with_paths(entries: DataFrame) -> DataFrame:
         raise ValueError("parent links form a loop")
     folders = now.select(*key, F.col("id").alias("parent_id"), F.col("tail").alias("_path"), F.col("depth").alias("_depth"), F.col("hidden").alias("_hidden"))
     kept = entries.drop("path", "depth", "hidden")
+    up = F.when(F.col("_path").isNull(), F.raise_error(F.concat(F.lit("no folder with id "), F.col("parent_id").cast("string")))).otherwise(F.col("_path"))
     return kept.join(folders, [*key, "parent_id"], "left").select(
         *kept.columns,
-        F.when(root, F.when(F.col("name") == "", "/").otherwise(F.col("name"))).otherwise(_joined(F.col("_path"), F.col("name"))).alias("path"),
+        F.when(root, F.when(F.col("name") == "", "/").otherwise(F.col("name"))).otherwise(_joined(up, F.col("name"))).alias("path"),
         F.when(root, 0).otherwise(F.col("_depth") + 1).alias("depth"),
         F.when(root, F.lit(False)).otherwise(F.col("_hidden") | F.startswith("name", F.lit("."))).alias("hidden"),
     )
@@ -61,17 +63,24 @@ def with_paths_sql(spark: SparkSession, view: str, levels: int = 150) -> DataFra
         SELECT * FROM t""")
 
 
-def derived(entries: DataFrame, part_ord: int = 0) -> DataFrame:
-    """Adds what searches need and scans should not compute: folded names and paths, the parent's path.
+def hidden_below(path, root: str = "/") -> Column:
+    """Whether a dot name stands in path below root; a root's own dots hide nothing."""
+    p = F.col(path) if isinstance(path, str) else path
+    return F.contains(F.substr(p, F.lit(1 if root == "/" else len(root) + 1)), F.lit("/."))
 
-    Folded columns are stored, so that a search's contains() reaches the Parquet scan.
+
+def derived(entries: DataFrame, part_ord: int = 0, root: str = "/") -> DataFrame:
+    """Adds what searches need and scans should not compute: folded names and paths, the parent's path, hidden.
+
+    Folded columns are stored, so that a search's contains() reaches the Parquet scan. root is the tree's root, for
+    entries that don't say what is hidden.
     """
     have = set(entries.columns)
     out = entries.withColumns({"name_fold": text.fold("name"), "path_fold": text.fold("path"), "parent_path": text.parent_dir("path")})
     if "alive" not in have:
         out = out.withColumn("alive", F.lit(True))
     if "hidden" not in have:
-        out = out.withColumn("hidden", F.contains("path", F.lit("/.")))
+        out = out.withColumn("hidden", hidden_below("path", root))
     if "part_ord" not in have:
         out = out.withColumn("part_ord", F.lit(part_ord))
     return out
@@ -87,11 +96,15 @@ def below(entries: DataFrame, folders: DataFrame, strict: bool = True) -> DataFr
 
 
 def without_excluded(entries: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Folders equal to an excluded path go, with what is below them."""
+    """Folders equal to an excluded path go, with what is below them, whether or not the folders have rows themselves.
+
+    Only distinct folders are taken apart into their ancestors, not every entry.
+    """
     keys = excluded.select(F.col("path").alias("anc")).distinct()
-    folders = entries.filter("is_dir").select(F.col("path").alias("gone"), F.explode(F.array_append(text.ancestors("path"), F.col("path"))).alias("anc")).join(keys, "anc", "left_semi").select("gone").distinct()
-    kept = entries.join(folders, F.col("path") == F.col("gone"), "left_anti")
-    return kept.join(folders, text.parent_dir("path") == F.col("gone"), "left_anti")
+    folders = entries.select(text.parent_dir("path").alias("gone")).union(entries.filter("is_dir").select("path")).distinct()
+    gone = folders.withColumn("anc", F.explode(F.array_append(text.ancestors("gone"), F.col("gone")))).join(keys, "anc", "left_semi").select("gone").distinct()
+    kept = entries.join(gone, F.col("is_dir") & (F.col("path") == F.col("gone")), "left_anti")
+    return kept.join(gone, text.parent_dir("path") == F.col("gone"), "left_anti")
 
 
 def resolve(entries: DataFrame, paths: DataFrame) -> DataFrame:

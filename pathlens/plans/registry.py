@@ -35,31 +35,36 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _search(name: str, fixture: str, needle: str, options: SearchOptions, limit: int, where: str) -> None:
+def _search(name: str, fixture: str, needle: str, options: SearchOptions, where: str) -> None:
+    """All hits of a search; pages with a limit have queries of their own."""
+
     def run(spark, sf_dir):
-        return search.search(entries(spark, sf_dir, fixture), needle, options, limit).select("id", "path")
+        return search.hits(entries(spark, sf_dir, fixture), needle, options).select("id", "path")
 
     run.__name__, run.__doc__ = name, f"{needle!r} over {fixture}"
-    query(f"SELECT id, path FROM {fixture} WHERE {where} ORDER BY id LIMIT {limit}", fixture)(run)
+    query(f"SELECT id, path FROM {fixture} WHERE {where}", fixture)(run)
 
 
 O = SearchOptions
 _NAME3 = "regexp_extract(path, '[^/]*$')"
-_search("name_search", "fx1", "customer#00000001", O(), 5000, "contains(lower(name), 'customer#00000001')")
-_search("name_search_case", "fx1", "Order-1", O(match_case=True), 100, "contains(name, 'Order-1')")
-_search("short_needle", "fx1", "-7", O(), 5000, "contains(lower(name), '-7')")
-_search("path_search", "fx1", "asia/NATION_1", O(), 3000, "contains(lower(path), 'asia/nation_1')")
-_search("inside_folder", "fx1", "/europe/nation_13/", O(), 5000, "contains(lower(path), '/europe/nation_13/')")
-_search("path_mode_no_slash", "fx1", "nation_24", O(in_path=True), 5000, "contains(lower(path), 'nation_24')")
-_search("multi_term", "fx1", "europe ORDER- 77", O(), 5000, "contains(lower(path), 'europe') AND contains(lower(path), 'order-') AND contains(lower(path), '77')")
-_search("multi_term_phrase", "fx1", '"customer#00000012" order .o', O(), 5000, "contains(lower(path), 'customer#00000012') AND contains(lower(path), 'order') AND contains(lower(path), '.o')")
-_search("files_only", "fx1", "r-1", O(kind="files"), 5000, "contains(lower(name), 'r-1') AND NOT is_dir")
-_search("folders_only", "fx1", "n_1", O(kind="folders"), 5000, "contains(lower(name), 'n_1') AND is_dir")
-_search("no_hidden", "fx3", "-1", O(hide_hidden=True), 5000, "contains(lower(name), '-1') AND NOT hidden")
-_search("no_hidden_path", "fx3", "src1 .txt", O(hide_hidden=True), 5000, "contains(lower(path), 'src1') AND contains(lower(path), '.txt') AND NOT hidden")
-_search("regex_name", "fx1", r"^order-[0-9]*7\.[of]$", O(regex=True), 5000, r"regexp_matches(name, '(?i)^order-[0-9]*7\.[of]$')")
-_search("regex_path", "fx2", r"/[a-z]+\.example\.(com|org)/.*5$", O(regex=True), 5000, r"regexp_matches(path, '(?i)/[a-z]+\.example\.(com|org)/.*5$')")
-_search("unicode_fold", "fx3", "ÉTÉ-1", O(), 5000, "contains(lower(name), 'été-1')")
+_search("name_search", "fx1", "customer#00000001", O(), "contains(lower(name), 'customer#00000001')")
+_search("name_search_case", "fx1", "Order-1", O(match_case=True), "contains(name, 'Order-1')")
+_search("short_needle", "fx1", "-7", O(), "contains(lower(name), '-7')")
+_search("path_search", "fx1", "asia/NATION_1", O(), "contains(lower(path), 'asia/nation_1')")
+_search("inside_folder", "fx1", "/europe/nation_13/", O(), "contains(lower(path), '/europe/nation_13/')")
+_search("path_mode_no_slash", "fx1", "nation_24", O(in_path=True), "contains(lower(path), 'nation_24')")
+_search("multi_term", "fx1", "europe ORDER- 77", O(), "contains(lower(path), 'europe') AND contains(lower(path), 'order-') AND contains(lower(path), '77')")
+_search("multi_term_phrase", "fx1", '"customer#00000012" order .o', O(), "contains(lower(path), 'customer#00000012') AND contains(lower(path), 'order') AND contains(lower(path), '.o')")
+_search("files_only", "fx1", "r-1", O(kind="files"), "contains(lower(name), 'r-1') AND NOT is_dir")
+_search("folders_only", "fx1", "n_1", O(kind="folders"), "contains(lower(name), 'n_1') AND is_dir")
+_search("no_hidden", "fx3", "-1", O(hide_hidden=True), "contains(lower(name), '-1') AND NOT hidden")
+_search("no_hidden_path", "fx3", "src1 .txt", O(hide_hidden=True), "contains(lower(path), 'src1') AND contains(lower(path), '.txt') AND NOT hidden")
+_search("regex_name", "fx1", r"^order-[0-9]*7\.[of]$", O(regex=True), r"regexp_matches(name, '(?i)^order-[0-9]*7\.[of]$')")
+_search("regex_path", "fx2", r"/[a-z]+\.example\.(com|org)/.*5$", O(regex=True), r"regexp_matches(path, '(?i)/[a-z]+\.example\.(com|org)/.*5$')")
+_search("regex_posix", "fx1", r"^[[:alpha:]]+-[[:digit:]]*77\.[^[:digit:]p-z]$", O(regex=True), r"regexp_matches(name, '(?i)^[[:alpha:]]+-[[:digit:]]*77\.[^[:digit:]p-z]$')")
+_search("regex_class_signs", "fx1", r"[]*+$7][*+.][of]$", O(regex=True), r"regexp_matches(name, '(?i)[]*+$7][*+.][of]$')")
+_search("regex_named_group", "fx1", r"(?P<stem>7{2})\.(?P<kind>o|f)$", O(regex=True), r"regexp_matches(name, '(?i)(?P<stem>7{2})\.(?P<kind>o|f)$')")
+_search("unicode_fold", "fx3", "ÉTÉ-1", O(), "contains(lower(name), 'été-1')")
 
 
 @query("SELECT id, path, depth, path LIKE '%/.%' AS hidden FROM fx1", "fx1")
@@ -74,10 +79,19 @@ def limited_page(spark, sf_dir):
     return catalog.search(parts, "-2", limit=400).select("part_ord", "id", "path")
 
 
-@query(", u AS (SELECT 0 AS part_ord, id, path FROM fx2 WHERE id % 2 = 0 UNION ALL SELECT 1, id, path FROM fx2), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY part_ord, id) AS n FROM u WHERE contains(lower(path), 'example')) SELECT part_ord, id, path FROM r WHERE n = 1", "fx2")
+@query("SELECT id, name FROM (SELECT id, concat('x', chr(10), name, chr(10), 'y.', lang) AS name FROM (SELECT doc_id AS id, lang, concat(source, '-', CAST(doc_id AS STRING), '.txt') AS name FROM documents)) WHERE regexp_matches(name, '(?im)^src[0-9]+-[0-9]*7\\.txt$')")
+def regex_lines(spark, sf_dir):
+    """Anchors at lines' ends, in names that hold line breaks."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = F.concat(F.lit("x\n"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt\ny."), "lang")
+    rows = docs.select(F.col("doc_id").alias("id"), name.alias("name"), F.concat(F.lit("/"), name).alias("path"), F.lit(False).alias("is_dir"))
+    return search.hits(tree.derived(rows), r"(?m)^src[0-9]+-[0-9]*7\.txt$", O(regex=True)).select("id", "name")
+
+
+@query(", u AS (SELECT 0 AS part_ord, id, path FROM fx2 WHERE contains(url, '?') UNION ALL SELECT 1, id, path FROM fx2), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY part_ord, id) AS n FROM u WHERE contains(lower(path), 'example')) SELECT part_ord, id, path FROM r WHERE n = 1", "fx2")
 def merged_parts(spark, sf_dir):
-    parts = [entries(spark, sf_dir, "fx2", 0).filter("id % 2 = 0"), entries(spark, sf_dir, "fx2", 1)]
-    return catalog.search(parts, "example", O(in_path=True), 100_000).select("part_ord", "id", "path")
+    parts = [entries(spark, sf_dir, "fx2", 0).filter("contains(url, '?')"), entries(spark, sf_dir, "fx2", 1)]
+    return catalog.merged([search.hits(p, "example", O(in_path=True)) for p in parts]).select("part_ord", "id", "path")
 
 
 _RANK = "CASE WHEN lower(name) = q THEN 1.0 WHEN starts_with(lower(name), q) THEN 0.9 WHEN contains(lower(name), q) THEN 0.7 ELSE 0.4 END"
@@ -116,12 +130,75 @@ def presented_rows(spark, sf_dir):
 _PARENT = "CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END"
 
 
-@query(f"SELECT id, path FROM (SELECT *, {_PARENT} AS up FROM fx1) e WHERE contains(lower(name), 'r') AND NOT EXISTS (SELECT 1 FROM fx5 a WHERE NOT listable AND (e.up = a.dir OR starts_with(e.up, a.dir || '/'))) ORDER BY id LIMIT 4000", "fx1", "fx5")
+_SHUT = f"SELECT id, path FROM (SELECT *, {_PARENT} AS up FROM fx1) e WHERE contains(lower(name), 'r') AND NOT EXISTS (SELECT 1 FROM fx5 a WHERE NOT listable AND (e.up = a.dir OR starts_with(e.up, a.dir || '/')))"
+
+
+def _rules(spark, sf_dir):
+    return raw(spark, sf_dir, "fx5").select("dir", F.col("listable").alias("can_list"), F.col("listable").alias("can_pass"))
+
+
+@query(_SHUT + " ORDER BY id LIMIT 4000", "fx1", "fx5")
 def visible_page(spark, sf_dir):
-    acl = raw(spark, sf_dir, "fx5").select("dir", F.col("listable").alias("can_list"), F.col("listable").alias("can_pass"))
+    """Rules for every folder: those of nations as given, the others open."""
+    folders = raw(spark, sf_dir, "fx1").filter("is_dir").select(F.col("path").alias("dir"))
+    acl = folders.join(_rules(spark, sf_dir), "dir", "left").na.fill(True, ["can_list", "can_pass"])
     return search.page(access.visible(search.hits(entries(spark, sf_dir, "fx1"), "r"), acl), 4000).select("id", "path")
 
 
+@query(_SHUT, "fx1", "fx5")
+def visible_unlisted_open(spark, sf_dir):
+    return access.visible(search.hits(entries(spark, sf_dir, "fx1"), "r"), _rules(spark, sf_dir), unlisted="allow").select("id", "path")
+
+
+@query(f"SELECT e.id, e.path FROM (SELECT *, {_PARENT} AS up FROM fx1) e LEFT JOIN fx5 a ON e.up = a.dir WHERE depth <= 2 OR (depth = 3 AND listable)", "fx1", "fx5")
+def visible_unlisted_shut(spark, sf_dir):
+    """Customers' folders have no rule, so nothing in them is visible."""
+    upper = raw(spark, sf_dir, "fx1").filter("depth < 2").select(F.col("path").alias("dir"), F.lit(True).alias("can_list"), F.lit(True).alias("can_pass"))
+    return access.visible(entries(spark, sf_dir, "fx1"), upper.union(_rules(spark, sf_dir))).select("id", "path")
+
+
+_MODES = "SELECT id, parent_id, path, id % 3 AS uid, id % 4 AS gid, CASE WHEN depth < 2 THEN 493 WHEN id % 5 = 0 THEN 511 WHEN id % 5 = 1 THEN 488 WHEN id % 5 = 2 THEN 448 WHEN id % 5 = 3 THEN 457 ELSE 493 END AS mode FROM fx1 WHERE is_dir"
+
+
+@query(
+    f", m AS (SELECT *, CASE WHEN uid = 1 THEN mode // 64 WHEN gid IN (2) THEN (mode // 8) % 8 ELSE mode % 8 END AS bits FROM ({_MODES})), a AS (SELECT *, bits % 2 = 1 AS pass, bits >= 4 AND bits % 2 = 1 AS list FROM m), "
+    "l AS (SELECT a.id FROM a LEFT JOIN a b ON a.parent_id = b.id LEFT JOIN a c ON b.parent_id = c.id LEFT JOIN a d ON c.parent_id = d.id WHERE a.list AND coalesce(b.pass, TRUE) AND coalesce(c.pass, TRUE) AND coalesce(d.pass, TRUE)) "
+    "SELECT id, path FROM fx1 WHERE coalesce(parent_id, 0) IN (SELECT id FROM l)",
+    "fx1",
+)
+def visible_by_mode(spark, sf_dir):
+    """What user 1 of group 2 sees, from owners, groups and mode bits of folders."""
+    raw(spark, sf_dir, "fx1").createOrReplaceTempView("fx1")
+    acl = access.rules(spark.sql(_MODES), uid=1, groups=[2])
+    return access.visible(entries(spark, sf_dir, "fx1"), acl).select("id", "path")
+
+
+@query("SELECT id, concat('/home/.cfg', path) AS path, contains(path, '/.') AS hidden FROM fx3", "fx3")
+def hidden_below_root(spark, sf_dir):
+    rows = raw(spark, sf_dir, "fx3").withColumn("path", F.concat(F.lit("/home/.cfg"), "path")).drop("hidden")
+    return tree.derived(rows, root="/home/.cfg").select("id", "path", "hidden")
+
+
+@query("SELECT id, path FROM fx1 WHERE NOT is_dir AND NOT starts_with(path, '/ASIA/') AND NOT starts_with(path, '/EUROPE/NATION_3/')", "fx1")
+def excluded_listing(spark, sf_dir):
+    """Files alone: the excluded folders have no rows of their own."""
+    out = spark.createDataFrame([("/ASIA",), ("/EUROPE/NATION_3",)], "path string")
+    return tree.without_excluded(entries(spark, sf_dir, "fx1").filter("not is_dir"), out).select("id", "path")
+
+
+@query("SELECT event_type, median(value) AS median, min(value) AS least, max(value) AS most, count(value) AS runs FROM events GROUP BY event_type")
+def median_by_kind(spark, sf_dir):
+    return catalog.medians(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", "event_type")
+
+
+@query("SELECT id, path, CASE WHEN depth >= 2 THEN concat('/', split_part(path, '/', 2), '/', split_part(path, '/', 3)) ELSE path END AS root FROM fx1", "fx1", "fx5")
+def mount_of(spark, sf_dir):
+    """The longest mount point that holds each path; mounts lie within each other."""
+    e = raw(spark, sf_dir, "fx1")
+    mounts = e.filter("depth < 2").select(F.col("path").alias("root")).union(raw(spark, sf_dir, "fx5").select("dir"))
+    return catalog.part_of(e.select("id", "path"), mounts).select("id", "path", "root")
+
+
 @query("SELECT id, path FROM fx1 WHERE NOT (path = '/ASIA' OR starts_with(path, '/ASIA/') OR path = '/EUROPE/NATION_3' OR starts_with(path, '/EUROPE/NATION_3/'))", "fx1")
 def excluded_tree(spark, sf_dir):
     out = spark.createDataFrame([("/ASIA",), ("/EUROPE/NATION_3",), ("/EURO",)], "path string")
@@ -342,10 +419,10 @@ def subtree_listing(spark, sf_dir):
     return graft.listing(e, "/ASIA")
 
 
-@query("SELECT CAST((n - 1) // 4 AS BIGINT) AS batch, CAST(count(*) AS INTEGER) AS paths, min(path) AS first_path FROM (SELECT path, row_number() OVER (ORDER BY path) AS n FROM (SELECT DISTINCT concat('/m/', lpad(CAST(id AS STRING), 12, '0')) AS path FROM fx2 ORDER BY path LIMIT 100000)) GROUP BY 1", "fx2")
+@query("SELECT 0 AS part, CAST((n - 1) // 4 AS BIGINT) AS batch, CAST(count(*) AS INTEGER) AS paths, min(path) AS first_path FROM (SELECT path, row_number() OVER (ORDER BY path) AS n FROM (SELECT DISTINCT concat('/m/', lpad(CAST(id AS STRING), 12, '0')) AS path FROM fx2 ORDER BY path LIMIT 100000)) GROUP BY 2", "fx2")
 def exec_batches(spark, sf_dir):
     """Batches of one page, which the hard cap bounds. Every path is 15 bytes and costs 16, the command 3: four fit in 70."""
     _, command = exec_plan.split_clause(["query", "x", "-exec", "rm", "{}", "+"])
     paths = raw(spark, sf_dir, "fx2").select(F.concat(F.lit("/m/"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("path")).distinct()
     planned = exec_plan.batches(paths.orderBy("path").limit(clamp_limit(100_000)).coalesce(1), command, 70)
-    return planned.select("batch", (F.size("argv") - 1).alias("paths"), F.get("argv", F.lit(1)).alias("first_path"))
+    return planned.select("part", "batch", (F.size("argv") - 1).alias("paths"), F.get("argv", F.lit(1)).alias("first_path"))

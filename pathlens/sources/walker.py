@@ -108,3 +108,15 @@ def read(spark: SparkSession, root: str, exclude: list[str] = (), mount: bool =
     if subtree:
         options["depth"] = str(MAX_SUBTREE_DEPTH)
     return spark.read.format("pathlens_walk").options(**options).load()
+
+
+def as_listing(walked, root: str):
+    """(listing, whether root itself could not be read) of a walk's rows, as graft.merge takes them.
+
+    listing has (path, is_dir, incomplete): one row a path below root, incomplete where its folder could not be read.
+    """
+    from pyspark.sql import functions as F
+
+    one = walked.groupBy("path").agg(F.max("is_dir").alias("is_dir"), F.max(F.col("error").isNotNull()).alias("incomplete"))
+    top = one.filter(F.col("path") == root).select("incomplete").first()
+    return one.filter(F.col("path") != root), top is None or top.incomplete

@@ -61,6 +61,9 @@ def test_broken_links_are_errors(spark):
     ddl = "id long, parent_id long, name string, is_dir boolean"
     with pytest.raises(Exception, match="no folder with id 9"):
         tree.with_paths(spark.createDataFrame([(0, None, "/", True), (1, 9, "a", True)], ddl)).collect()
+    for up in (9, 2):  # missing, or a file
+        with pytest.raises(Exception, match=f"no folder with id {up}"):
+            tree.with_paths(spark.createDataFrame([(0, None, "/", True), (1, up, "a", False), (2, 0, "f", False)], ddl)).collect()
     with pytest.raises(ValueError, match="loop"):
         tree.with_paths(spark.createDataFrame([(0, None, "/", True), (1, 2, "a", True), (2, 1, "b", True)], ddl)).collect()
 
@@ -89,16 +92,68 @@ def test_ngram_plan_agrees_with_the_scan(woods):
         assert {r.id for r in ngram.search(df, index, q).collect()} == {r.id for r in search.hits(df, q).collect()} if "/" not in q else True
 
 
+def test_ngrams_are_appended_to_a_stored_index(spark, woods, tmp_path):
+    _, df = woods
+    path = f"file://{tmp_path}/ngrams"
+    ngram.store(ngram.build(df.filter("id < 200")), path, 3)
+    before = {f for f in os.listdir(f"{tmp_path}/ngrams") if f.endswith(".parquet")}
+    ngram.append(df.filter("id >= 200"), path, 2)
+    assert before <= set(os.listdir(f"{tmp_path}/ngrams"))
+    index = spark.read.parquet(path)
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, ngram.build(df).collect()))
+    assert {r.id for r in ngram.search(df, index, "report").collect()} == {r.id for r in search.hits(df, "report").collect()}
+
+
 def test_regular_expressions(spark):
     df = tree.derived(spark.createDataFrame([(0, "a.txt", "/d/a.txt"), (1, "b\n", "/d/b\n"), (2, "ΣΟΦΙΑ7", "/ΣΟΦΙΑ7"), (3, "Σοφια٣", "/x/Σοφια٣")], "id long, name string, path string").withColumn("is_dir", F.lit(False)))
     ids = lambda q, o=O(regex=True): [r.id for r in search.search(df, q, o).collect()]
     assert ids(r"^A\.TXT$") == [0] and ids(r"^A\.TXT$", O(regex=True, match_case=True)) == []
     assert ids(r"b$") == [] and ids(r"^/d/") == [0, 1] and ids(r"^σοφια\d$") == [2, 3] and ids(r"[$a]\.t") == [0]
-    for bad in ("(", r"(?=x)", r"(a)\1", "a++"):
+    for bad in ("(", ")", r"(?=x)", r"(?<!x)a", r"(a)\1", "a++", r"\Z", "[a", "[z-a]", "[[:nope:]]", r"\q", "(?U)a", "(?<n>a", "a{2"):
         with pytest.raises(ValueError, match="^invalid regex: [^\n]+$"):
             search.search(df, bad, O(regex=True))
 
 
+@pytest.mark.parametrize(
+    "pattern, yes, no",
+    [
+        (r"[[:digit:]]", ["a7"], ["dig", ":"]),
+        (r"^[[:^alpha:]_]+$", ["12_"], ["1a"]),
+        (r"^[[:punct:]]+$", [r"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~", "\\"], ["a", " "]),
+        (r"^[*+]$", ["*", "+"], ["**"]),
+        (r"^[]a]+$", ["]a"], ["b"]),
+        (r"^[^]a]$", ["b"], ["]", "a"]),
+        (r"^[a-]$|^[-b]$", ["a", "-", "b"], ["c"]),
+        (r"^[a-z&&[^aeiou]]+$", ["xyz"], ["axe"]),
+        (r"^[a-z--[aeiou]]+$", ["xyz"], ["axe"]),
+        (r"^[a-f~~d-i]+$", ["abcghi"], ["d"]),
+        (r"^[^a-z&&[b]]$", ["a", "1"], ["b"]),
+        (r"^[[a-c][x-z]]+$", ["abxz"], ["m"]),
+        (r"^[&~a&b]+$", ["&~ab"], ["c"]),
+        (r"(?P<n>7)(?<other_1>8)", ["x78"], ["87"]),
+        (r"(?m)7$", ["a7\nb"], ["a8\nb"]),
+        (r"7$", ["a7"], ["a7\nb", "a7\n"]),
+        (r"(?m)^b", ["a\nb"], ["ab"]),
+        (r"(?m:^b)|^c$", ["a\nb", "c"], ["a\nc"]),
+        (r"(?s)a.b", ["a\nb"], ["ab"]),
+        (r"a.b", ["a b", "a\rb"], ["a\nb"]),
+        (r"(?-i)A", ["A"], ["a"]),
+        ("(?x) a  b # c (d\n ( e )", ["abe"], ["ab e"]),
+        (r"\<ab\>", ["x ab y", "ab"], ["xab", "aby"]),
+        (r"\x41\x{e9}\u00E9", ["aÉé"], ["a"]),
+        (r"^\p{Greek}+\pN$", ["σοφ٣"], ["abc1"]),
+        (r"^\p{Uppercase_Letter}\P{L}$", ["A1"], ["Ab"]),
+        (r"a{2}\.{1,}[.]$", ["aa..."], ["a..."]),
+        (r"a]b}", ["a]b}"], ["ab"]),
+        (r"\v", ["\x0b"], ["\n", "v"]),
+        (r"^\[\]\^\$\.\|\?\*\+\(\)\{\}\-\&\~\#$", ["[]^$.|?*+(){}-&~#"], ["x"]),
+    ],
+)
+def test_dialect(spark, pattern, yes, no):
+    java = spark.sparkContext._jvm.java.util.regex.Pattern.compile(text.checked_regex(spark, pattern))
+    assert [t for t in yes if not java.matcher(t).find()] == [] and [t for t in no if java.matcher(t).find()] == []
+
+
 def test_words_flags_and_limits():
     assert text.split_terms(' a "b c" d"e f" "open end') == ["a", "b c", "de f", "open end"]
     with pytest.warns(UserWarning):
@@ -121,6 +176,8 @@ def test_text_expressions(spark):
         assert text.path_from_uri(bad) is None
     uris = spark.createDataFrame([("file:///caf%E9",), ("file:///a+b",), ("x",)], "u string").select(text.uri_path("u").alias("p")).collect()
     assert [r.p and bytes(r.p) for r in uris] == [b"/caf\xe9", b"/a+b", None]
+    names = spark.createDataFrame([(0, "report", "/home/.cfg/report"), (1, ".x", "/home/.cfg/.x"), (2, "/home/.cfg", "/home/.cfg"), (3, "y", "/home/.cfg/.x/y")], "id long, name string, path string").withColumn("is_dir", F.lit(False))
+    assert [r.hidden for r in tree.derived(names, root="/home/.cfg").orderBy("id").collect()] == [False, True, False, True]
     assert text.fold_bytes(b"CAF\xe9-\xc3\x89") == b"caf\xe9-\xc3\xa9"
     assert spark.createDataFrame([(bytearray(b"caf\xe9"),)], "r binary").select(text.display("r").alias("d")).first().d == "caf�"
     grams = spark.createDataFrame([("ab",), ("abcab",), ("é1",), ("",)], "s string").select(text.ngrams("s").alias("g")).collect()
@@ -155,7 +212,19 @@ def test_visibility_comes_before_the_limit(spark):
     rows = [(i, f"/shut/f{i}") for i in range(50)] + [(60, "/open/f"), (61, "/open/in/f"), (62, "/shut"), (63, "/seen/pass/f"), (64, "/seen/f")]
     df = tree.derived(spark.createDataFrame(rows, "id long, path string").withColumns({"name": text.base_name("path"), "is_dir": F.lit(False)}))
     acl = spark.createDataFrame([("/shut", False, False), ("/seen", False, True)], "dir string, can_list boolean, can_pass boolean")
-    assert [r.id for r in search.page(access.visible(df, acl), 5).collect()] == [60, 61, 62, 63]
+    assert [r.id for r in search.page(access.visible(df, acl, "allow"), 5).collect()] == [60, 61, 62, 63]
+    assert access.visible(df, acl).count() == 0 and access.visible(df, acl.limit(0)).count() == 0 and access.visible(df, acl.limit(0), "allow").count() == 55
+    rest = spark.createDataFrame([("/", True, True), ("/open", True, True), ("/open/in", None, True), ("/seen/pass", True, True)], acl.schema)
+    assert [r.id for r in search.page(access.visible(df, acl.union(rest)), 5).collect()] == [60, 62, 63]
+
+
+def test_modes_of_folders(spark):
+    rows = [("/a", 5, 9, 0o700), ("/b", 6, 9, 0o750), ("/c", 6, 8, 0o705), ("/d", 6, 8, 0o711), ("/e", 5, 9, 0o077), ("/f", 6, 8, 0o744), ("/g", None, 8, 0o777)]
+    dirs = spark.createDataFrame(rows, "path string, uid int, gid int, mode int")
+    got = {r.dir: (r.can_list, r.can_pass) for r in access.rules(dirs, 5, [9]).collect()}
+    assert got == {"/a": (True, True), "/b": (True, True), "/c": (True, True), "/d": (False, True), "/e": (False, False), "/f": (False, False), "/g": (False, False)}
+    assert all(r.can_list and r.can_pass for r in access.rules(dirs, 0).collect())
+    assert not any(r.can_list for r in access.rules(dirs, 7).filter("dir not in ('/c', '/e')").collect())
 
 
 def brute_feed(events, base=()):
@@ -246,6 +315,8 @@ def test_batches_and_frames(spark, tmp_path):
     hits = spark.createDataFrame([(i, f"/some/{i:02d}") for i in range(5)] + [(9, "/line\nbreak")], "id long, path string").coalesce(1)
     got = exec_plan.batches(hits.filter("id < 5"), exec_plan.Command(("rm", "{}"), True), 23).collect()
     assert [r.argv for r in got] == [["rm", "/some/00", "/some/01"], ["rm", "/some/02", "/some/03"], ["rm", "/some/04"]]
+    dealt = exec_plan.batches(hits.repartition(4), exec_plan.Command(("rm", "{}"), True), 13).collect()
+    assert len({(r.part, r.batch) for r in dealt}) == len(dealt) == 6
     framing.write_lines(hits, f"{tmp_path}/l")
     framing.write_nul(hits, f"{tmp_path}/n")
     read = lambda d: b"".join(open(f"{tmp_path}/{d}/{f}", "rb").read() for f in os.listdir(f"{tmp_path}/{d}") if f.endswith(".txt"))
@@ -282,6 +353,16 @@ def test_walks(spark, tmp_path):
     got = {r.path.removeprefix(str(tmp_path)): r for r in df.collect()}
     assert set(got) == {"", "/top", "/top/sub", "/top/sub/deep", "/top/sub/file.txt", "/top/link", "/.dot", "/empty", "/caf�"}
     assert got["/top/sub/file.txt"].size_bytes == 5 and not got["/top/link"].is_dir and bytes(got["/caf�"].path_raw).endswith(b"caf\xe9")
+    listing, failed = walker.as_listing(df, str(tmp_path))
+    assert not failed and listing.filter("incomplete").count() == 0 and listing.count() == len(got) - 1
+    shut = spark.createDataFrame([(f"{tmp_path}/top", True, "denied"), (f"{tmp_path}/top", True, None), (str(tmp_path), True, None), (f"{tmp_path}/f", False, None)], "path string, is_dir boolean, error string")
+    listing, failed = walker.as_listing(shut, str(tmp_path))
+    kept = graft.merge(df.filter(F.col("path") != str(tmp_path)), listing, str(tmp_path), failed)
+    assert {r.path.removeprefix(str(tmp_path)): r.status for r in kept.collect()} == {"/top": "unchanged", "/top/sub": "kept", "/top/sub/deep": "kept", "/top/sub/file.txt": "kept", "/top/link": "kept", "/.dot": "removed", "/empty": "removed", "/caf\ufffd": "removed", "/f": "added"}
+    assert walker.as_listing(shut.limit(0), "/x")[1] and tuple(catalog.scan_report(shut).first()) == (1, 2, 1)
+    found = tree.derived(df.withColumn("name", text.base_name("path")))
+    assert search.hits_raw(found, b"AF\xe9").count() == 1 and search.hits_raw(found, b"AF\xe9", match_case=True).count() == 0
+    assert {r.path.removeprefix(str(tmp_path)) for r in search.hits_raw(found, b"top/s", in_path=True).collect()} == {"/top/sub", "/top/sub/deep", "/top/sub/file.txt"}
     with pytest.raises(Exception, match="not a mount point"):
         walker.read(spark, str(tmp_path), mount=True).collect()
 
