@@ -3,10 +3,10 @@
 A row's node is the XXH64 value of its words (lower-cased as in simhash_vptree), so exact copies are one node.
 Candidates come from two sides. The vantage-point trees of simhash_vptree give the nodes whose 5-word
 fingerprints differ in 2 bits or fewer; most near copies differ in more, at which the trees' boundaries overlap
-too far to divide anything. So a prefix filter gives the rest: shingles are put in one order, those frequent in a
-bounded sample last, then by hash; two sets of that similarity share a shingle among the first
-|x| - ceil(0.8 |x|) + 1 of each, whatever the order is. The sample decides how many candidates there are, not which
-pairs are found. Sizes, places in the order and parity bitmaps (each differing bit is a shingle that one side
+too far to divide anything. So a prefix filter gives the rest: shingles are put in one order, those of many texts
+last (all are counted, by 32 bits of their hash and a Bloom filter over the result), then by hash; two sets of that
+similarity share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each, whatever the order is. So a passage that
+many texts share makes no candidates, and miscounts change how many there are, not which pairs are found. Sizes, places in the order and parity bitmaps (each differing bit is a shingle that one side
 lacks) rule out most; exact Jaccard over the whole sets decides the rest. Each shingle's nodes are first compared
 with its smallest one, and only nodes not yet linked with each other, so that a cluster costs its size and not
 its square.
@@ -31,8 +31,8 @@ from pathlens.llm import bloom, runtime
 from pathlens.llm.simhash_vptree import SEED, components, free_name, majority, shard_links
 
 WIDTH = 5
-#: Texts and shingles that the order of shingles is learned from.
-SAMPLE, FREQUENT = 5_000, 200_000
+#: A shingle of more texts than this goes last; more, where over MOST_CROWDED shingles would.
+CROWD, MOST_CROWDED = 4, 60_000_000
 #: Texts whose postings a bucket holds on average.
 BUCKET = 6_000
 #: Differing bits at which the trees link fingerprints.
@@ -86,19 +86,52 @@ def prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles found in several sampled texts."""
-    step = max(1, docs.count() // SAMPLE)
+def crowd_keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of shingles' hashes: bucket, 32 bits, and both mixed into a uniform 64-bit key."""
+    u = h.view(np.uint64)
+    bucket, high = (u & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), u >> np.uint64(32)
+    return bucket, high.astype(np.uint32), mixed(bucket << np.uint64(32) | high)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def by_bucket(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The buckets that occur and the bytes of their rows."""
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    return names.astype(np.int64), [x.tobytes() for x in np.split(rows[order], starts[1:])] if len(names) else []
+
+
+def crowded(docs: DataFrame, text_col: str, buckets: int) -> np.ndarray:
+    """A Bloom filter over the keys of the shingles of many texts; copies within a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):
-            found, n = np.unique(np.concatenate([shingles(words_of(t)) for t in b.column(0).to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["shingle", "n"])
-
-    sample = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
-    counts = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 2")
-    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
-    return top.shingle.to_numpy(np.int64), top.n.to_numpy(np.int64)
+            h = np.concatenate([shingles(words_of(t)) for t in set(b.column(0).to_pylist())])
+            bucket, high, _ = crowd_keys(h, buckets)
+            names, blobs = by_bucket(bucket, high)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    def count(g: pd.DataFrame) -> pd.DataFrame:
+        high, n = np.unique(np.frombuffer(b"".join(g.blob), np.uint32), return_counts=True)
+        high, n = high[n > CROWD], n[n > CROWD]
+        return pd.DataFrame({"key": mixed(np.uint64(g.bucket.iloc[0]) << np.uint64(32) | high.astype(np.uint64)), "n": n})
+
+    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, blob binary")
+    found = runtime.stage(packed.groupBy("bucket").applyInPandas(count, "key long, n long"), "copy-crowded")
+    least, total = CROWD, 0
+    for r in found.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():  # at most 40 rows
+        total += r["count"]
+        if total > MOST_CROWDED:
+            least = max(CROWD, 2 ** (r.power + 1) - 1)
+            break
+    return bloom.build(found.filter(F.col("n") > least), "key")
 
 
 def postings(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -107,12 +140,10 @@ def postings(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     The first: node, n (size of its set), shingle, at (its place in the order), and the same of the smallest node
     there. The second: node, n, fp (fingerprint), bitmap. Both are packed and shuffled once, by bucket.
     """
-    known, counts = frequent(docs, text_col)
-    shipped = docs.sparkSession.sparkContext.broadcast((known, counts))
     buckets = max(runtime.count_partitions(docs.sparkSession), docs.count() // BUCKET)
+    shipped = docs.sparkSession.sparkContext.broadcast(crowded(docs, text_col, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shipped.value
         for b in runtime.slices(batches):
             made, nodes = [], {}
             for t in b.column(0).to_pylist():
@@ -123,22 +154,17 @@ def postings(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
                 raw = hashes(words)
                 h = np.unique(raw.view(np.int64))
                 nodes[node] = (len(h), int(np.uint64(majority([raw], len(raw))).astype(np.int64)), parity(h))
-                if len(known):
-                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[k] == h, counts[k], 0), kind="stable")]
+                h = h[np.argsort(bloom.contains(shipped.value, crowd_keys(h, buckets)[2]), kind="stable")]
                 rows = np.empty(prefix(len(h)), POSTING)
                 rows["shingle"], rows["n"], rows["at"] = h[: len(rows)], len(h), np.arange(len(rows))
                 rows["node"] = node
                 made.append(rows)
             rows = np.concatenate(made)
-            bucket = np.ascontiguousarray(rows["shingle"]).view(np.uint64) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            names, starts = np.unique(bucket[order], return_index=True)
-            blobs = [x.tobytes() for x in np.split(rows[order], starts[1:])] if len(names) else []
+            names, blobs = by_bucket(np.ascontiguousarray(rows["shingle"]).view(np.uint64) % np.uint64(buckets), rows)
             n, fp, bitmap = zip(*nodes.values())
             none = [None] * len(nodes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*names.astype(np.int64), *(-1 - x % buckets for x in nodes)], pa.int64()), pa.array([*blobs, *none], pa.binary())]
+                [pa.array([*names, *(-1 - x % buckets for x in nodes)], pa.int64()), pa.array([*blobs, *none], pa.binary())]
                 + [pa.array([*[None] * len(blobs), *x], t) for x, t in zip((nodes, n, fp, bitmap), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
                 names=["bucket", "blob", "node", "n", "fp", "bitmap"],
             )

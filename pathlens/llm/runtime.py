@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pathlens.operators.staging import checkpoint_folder
+
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -17,25 +18,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that Spark puts into one Arrow batch at most: texts may be long, and a worker holds a batch whole.
+ROWS_IN_BATCH = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Puts this checkout on the workers' path; where executors don't see it, install the package there."""
+    """Puts this checkout on the workers' path; where executors don't see it, install the package there.
+
+    Workers give freed memory back (glibc's trimming, no pool of Arrow's own), and the session's Arrow batches are
+    held to ROWS_IN_BATCH rows where it allows more.
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+        env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 20))
+        env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= ROWS_IN_BATCH:
+        spark.conf.set(batch, ROWS_IN_BATCH)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            folder = current.get()
-        else:
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pathlens-')}")
-            folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
+    """The folder of spark.checkpoint.dir; where none is set, a temporary one on a single machine, else an error."""
+    return checkpoint_folder(spark)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

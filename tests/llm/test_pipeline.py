@@ -84,7 +84,7 @@ def test_stages_take_odd_rows(spark, tmp_path, sf_dir):
     assert quality.columns == docs.columns and quality.count() <= len(rows)
 
 
-def test_near_copies_against_brute_force_jaccard(spark):
+def test_near_copies_against_brute_force_jaccard(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(3, 300))) for _ in range(40)]
@@ -104,12 +104,10 @@ def test_near_copies_against_brute_force_jaccard(spark):
                 group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert 100 < len(set(group)) < len(texts) - 80
-    for sample in (1, near_copies.SAMPLE):  # the order of shingles changes no result
-        old, near_copies.SAMPLE = near_copies.SAMPLE, sample
-        try:
-            assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(group))
-        finally:
-            near_copies.SAMPLE = old
+    for crowd, most in ((near_copies.CROWD, near_copies.MOST_CROWDED), (1000, 1), (1, 20)):  # the order of shingles changes no result
+        monkeypatch.setattr(near_copies, "CROWD", crowd)
+        monkeypatch.setattr(near_copies, "MOST_CROWDED", most)
+        assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(group))
 
 
 def test_near_copies_go_by_row_and_not_by_id(spark):
