@@ -1,8 +1,13 @@
-"""Versioned snapshots: Parquet directories and a pointer that is flipped when one is whole."""
+"""Versioned snapshots: Parquet directories and a pointer that is flipped when one is whole.
+
+A save may replace some parts only; the pointer then names for each part the version that holds it, and the other
+parts' files stay where they are.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,36 +54,76 @@ class Store:
         """The last batch of a stream that the current version holds."""
         return ((self._current() or {}).get("batches") or {}).get(source)
 
-    def save(self, entries: DataFrame, batches: dict[str, int] | None = None) -> int:
-        """Writes a new version beside the others, then flips the pointer by a rename; readers never see half of one."""
+    def save(self, entries: DataFrame, batches: dict[str, int] | None = None, parts: list[str] | None = None) -> int:
+        """Writes a new version beside the others, then flips the pointer by a rename; readers never see half of one.
+
+        With parts, entries hold all rows of these parts, which are replaced; the others stay.
+        """
         now = self._current() or {}
         version = now.get("version", 0) + 1
         writer = entries.write.mode("overwrite")
         if "part" in entries.columns:
             writer = writer.partitionBy("part")
-        writer.parquet(f"{self.root}/v={version}")
-        pointer = {"format": FORMAT, "version": version, "schema": json.loads(entries.schema.json()), "batches": {**now.get("batches", {}), **(batches or {})}}
+        at = f"{self.root}/v={version}"
+        held = now.get("parts")
+        if parts is not None:
+            if bad := [p for p in parts if not re.fullmatch(r"[A-Za-z0-9_-]+", p)]:
+                raise SnapshotError(f"parts to replace need plain names: {bad[0]}")
+            if now and held is None:
+                raise SnapshotError("the current version is not held by parts; save it whole with parts first")
+        writer.parquet(at)
+        if parts is not None:
+            written = {n[5:] for n in self._names(at) if n.startswith("part=")}
+            if not written <= set(parts):
+                raise SnapshotError("entries of other parts than those to replace")
+            held = {p: v for p, v in (held or {}).items() if p not in parts} | {p: version for p in written}
+        else:
+            held = None
+        used = sorted({version, *(held or {}).values()})
+        # A version that the pointer no longer names stays for the last readers: until keep more have come.
+        freed = {v: n for v, n in {**{str(v): version for v in now.get("used", [])}, **now.get("freed", {})}.items() if int(v) not in used}
+        gone = [v for v, n in freed.items() if version - n >= self.keep - 1]
+        pointer = {"format": FORMAT, "version": version, "schema": json.loads(entries.schema.json()), "batches": {**now.get("batches", {}), **(batches or {})}, "parts": held, "used": used, "freed": {v: n for v, n in freed.items() if v not in gone}}
+        self._flip(pointer)
+        for v in gone:
+            self._fs.delete(self._path(f"{self.root}/v={v}"), True)
+        return version
+
+    def _names(self, folder: str) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._path(folder))]
+
+    def _flip(self, pointer: dict) -> None:
         tmp, at = self._path(f"{self.root}/CURRENT.tmp"), self._path(f"{self.root}/CURRENT")
         out = self._fs.create(tmp, True)
         out.write(json.dumps(pointer).encode())
         out.close()
-        self._fs.setPermission(tmp, self.spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        gateway = self.spark.sparkContext._gateway
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = rename
+        jvm = self.spark.sparkContext._jvm
+        self._fs.setPermission(tmp, jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(self._fs.makeQualified(tmp), self._fs.makeQualified(at), options)
-        old = self._path(f"{self.root}/v={version - self.keep}")
-        if version > self.keep and self._fs.exists(old):
-            self._fs.delete(old, True)
-        return version
 
-    def load(self, check: bool = True) -> DataFrame:
+    def load(self, check: bool = True, parts: list[str] | None = None) -> DataFrame:
+        """The current version's rows; of parts only, if given and if it is held by parts."""
         now = self._current()
         if now is None:
             raise SnapshotError("there is no snapshot")
-        df = self.spark.read.schema(T.StructType.fromJson(now["schema"])).parquet(f"{self.root}/v={now['version']}")
+        schema = T.StructType.fromJson(now["schema"])
+        held = now.get("parts")
+        if held is None:
+            df = self.spark.read.schema(schema).parquet(f"{self.root}/v={now['version']}")
+            if parts is not None:
+                df = df.filter(F.col("part").isin(parts))
+        else:
+            df = self.spark.createDataFrame([], schema)
+            by_version: dict[int, list[str]] = {}
+            for p, v in held.items():
+                if parts is None or p in parts:
+                    by_version.setdefault(v, []).append(p)
+            for v, own in sorted(by_version.items()):
+                base = f"{self.root}/v={v}"
+                df = df.union(self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{base}/part={p}" for p in sorted(own))).select(*schema.names))
         if check:
             validate(df)
         return df

@@ -1,39 +1,64 @@
-"""A change feed as a stream: every micro-batch is applied to the stored tree as a new version."""
+"""A change feed as a stream: every micro-batch replaces the parts of the stored tree that it names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pathlens.operators import changes
+from pathlens.functions import text
+from pathlens.operators import changes, graft
+from pathlens.operators.staging import settled
 from pathlens.sources.store import SnapshotError, Store
 
-LIVE = "path string, is_dir boolean"
+#: A path's part is a hash of its top folder: what a batch does not name by its top folder it does not rewrite.
+PARTS = 64
+LIVE = "path string, is_dir boolean, part string"
 
 
-def state(store: Store) -> DataFrame:
-    """Live (path, is_dir) of the current version; empty before the first."""
+def part_of(path) -> Column:
+    return F.pmod(F.xxhash64(F.element_at(F.split(path, "/"), 2)), F.lit(PARTS)).cast("string")
+
+
+def state(store: Store, parts: list[str] | None = None) -> DataFrame:
+    """Live (path, is_dir, part) of the current version, or of some parts; empty before the first."""
     try:
-        return store.load(check=False)
+        return store.load(check=False, parts=parts)
     except SnapshotError:
         if store.version() is not None:
             raise
         return store.spark.createDataFrame([], LIVE)
 
 
+def involved(base: DataFrame, events: DataFrame) -> DataFrame:
+    """The paths of base that events can concern: those they name, the folders above, and what is below deleted ones."""
+    named = events.select("path").distinct()
+    up = named.select(F.explode(F.array_append(text.ancestors("path"), F.col("path"))).alias("path")).distinct()
+    deleted = events.filter("op = 'delete'").select(F.col("path").alias("anc")).distinct()
+    below = base.select("path", F.explode(text.ancestors("path")).alias("anc")).join(deleted, "anc", "left_semi").select("path")
+    return base.select("path").join(up, "path", "left_semi").union(below).distinct()
+
+
 def apply_batch(store: Store, events: DataFrame, batch_id: int, source: str = "feed") -> bool:
     """Applies one batch, once: a batch that the current version holds already is left alone.
 
-    An ``overflow`` event means that the producer lost some; it raises, since only a rebuild can mend that.
+    Only the parts that its events fall in are read and rewritten, and in them only the paths involved go through
+    the levels; the rest is copied. An ``overflow`` event means that the producer lost some; it raises, since only a
+    rebuild can mend that.
     """
     done = store.batch(source)
     if done is not None and batch_id <= done:
         return False
     if not events.filter("op = 'overflow'").isEmpty():
         raise RuntimeError("the event queue overflowed: rebuild the tree and replay from there")
-    result = changes.apply(events, state(store))
-    store.save(result.alive.select("path", "is_dir"), {source: batch_id})
+    events = settled(events.select("seq", "op", "path", "is_dir"))
+    parts = [r.p for r in events.filter("path <> '/'").select(part_of("path").alias("p")).distinct().collect()]  # at most PARTS
+    base = state(store, parts)
+    paths = settled(involved(base, events))
+    result = changes.apply(events, base.join(paths, "path", "left_semi").select("path", "is_dir"))
+    rest = base.join(paths, "path", "left_anti").select("path", "is_dir")
+    alive = result.alive.select("path", "is_dir").union(rest).withColumn("part", part_of("path"))
+    store.save(alive, {source: batch_id}, parts)
     return True
 
 
@@ -52,6 +77,27 @@ def counters(events: DataFrame) -> DataFrame:
     return events.observe("feed", F.count_if(F.col("op") == "create").alias("creates"), F.count_if(F.col("op") == "delete").alias("deletes"), F.count_if(F.col("op") == "overflow").alias("overflows"))
 
 
+def rescan(store: Store, listing: DataFrame, mount: str, mount_incomplete: bool = False, batches: dict[str, int] | None = None) -> DataFrame:
+    """Merges a fresh listing (path, is_dir, incomplete) of mount into the stored tree; gives the counts of graft.stats.
+
+    Only the parts that hold something of mount are rewritten; what lies elsewhere in them stays.
+    """
+    under = lambda df: df.filter(text.is_within("path", mount) & (F.col("path") != mount))
+    listing = settled(under(listing.select("path", "is_dir", "incomplete")))
+    parts = None if mount == "/" else [listing.sparkSession.range(1).select(part_of(F.lit(mount)).alias("p")).first().p]
+    base = state(store, parts)
+    merged = settled(graft.merge(under(base), listing, mount, mount_incomplete))
+    elsewhere = base.filter(~text.is_within("path", mount) | (F.col("path") == mount)).select("path", "is_dir")
+    alive = merged.filter("status <> 'removed'").select("path", "is_dir").union(elsewhere).withColumn("part", part_of("path"))
+    store.save(alive, batches, [str(i) for i in range(PARTS)] if parts is None else parts)
+    return graft.stats(merged)
+
+
+def snapshot_due(last: float | None, now: float, interval: float) -> bool:
+    """Whether a periodic snapshot or rescan is due: never yet taken, or interval seconds old."""
+    return last is None or now - last >= interval
+
+
 def retry_interval(interval: int) -> int:
     """Seconds until the next try where a folder was unavailable."""
     return min(60, interval)

@@ -273,12 +273,44 @@ def test_stream_equals_batch_and_happens_once(spark, tmp_path):
         feed.start(feed.counters(stream), snapshots, f"file://{tmp_path}/cp").awaitTermination()
     want, _ = brute_feed(events)
     assert {r.path: r.is_dir for r in snapshots.load().collect()} == want and snapshots.batch("feed") == 1
+    assert all(r.part == r.p for r in snapshots.load().withColumn("p", feed.part_of("path")).collect())
     assert not feed.apply_batch(snapshots, spark.createDataFrame(events, ddl), 1)
     with pytest.raises(RuntimeError, match="overflow"):
         feed.apply_batch(snapshots, spark.createDataFrame([(99, "overflow", "/", True)], ddl), 2)
     assert feed.retry_interval(900) == 60
 
 
+def test_batches_rewrite_the_parts_they_name(spark, tmp_path):
+    ddl = "seq long, op string, path string, is_dir boolean"
+    snapshots = store.Store(spark, f"file://{tmp_path}/tree")
+    tops = [f"/t{i}" for i in range(30)]
+    first = [(i, "create", t, True) for i, t in enumerate(tops)] + [(100 + i, "create", f"{t}/f", False) for i, t in enumerate(tops)]
+    feed.apply_batch(snapshots, spark.createDataFrame(first, ddl), 0)
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(tmp_path / "tree") for f in names if f.endswith(".parquet")}
+    before = files()
+    events = [(200, "delete", "/t3", True), (201, "create", "/t4/new", False), (202, "create", "/t4/new/none", False)]
+    feed.apply_batch(snapshots, spark.createDataFrame(events, ddl), 1)
+    want, _ = brute_feed(first + events)
+    assert {r.path: r.is_dir for r in snapshots.load().collect()} == want
+    pointer = snapshots._current()
+    moved = [p for p, v in pointer["parts"].items() if v == 2]
+    named = {r.p for r in spark.createDataFrame([("/t3",), ("/t4",)], "t string").select(feed.part_of("t").alias("p")).collect()}
+    assert set(moved) <= named and len(files() - before) <= 2 * len(named) and before <= files()
+    held = {r.path for r in snapshots.load(parts=moved).collect()}
+    touched = feed.involved(snapshots.load(), spark.createDataFrame([(1, "create", "/t5/x", False), (2, "delete", "/t6", True)], ddl))
+    assert {r.path for r in touched.collect()} == {"/t5", "/t6", "/t6/f"} and "/t4/new" in held
+    listing = spark.createDataFrame([("/t7/g", False, False), ("/t7/h", True, True)], "path string, is_dir boolean, incomplete boolean")
+    assert tuple(feed.rescan(snapshots, listing, "/t7").first()) == (2, 2, 1, 0)
+    now = {r.path for r in snapshots.load().collect()}
+    assert now == {p for p in want if p != "/t7/f"} | {"/t7/g", "/t7/h"}
+    assert feed.snapshot_due(None, 5, 10) and feed.snapshot_due(0, 10, 10) and not feed.snapshot_due(1, 10, 10)
+    for k in range(3):
+        feed.apply_batch(snapshots, spark.createDataFrame([(300 + i, "create", f"{t}/n{k}", False) for i, t in enumerate(tops)], ddl), 2 + k)
+    assert not os.path.exists(tmp_path / "tree/v=1") and snapshots.load().count() == len(now) + 29 * 3
+    with pytest.raises(store.SnapshotError, match="plain names"):
+        snapshots.save(snapshots.load(), parts=["a/b"])
+
+
 def test_events_from_kernel_masks(spark):
     ev = spark.createDataFrame([(1, 0x100 | 0x40000000, 7, None, "d"), (2, 0x40, 8, "/p", "f"), (3, 0x2, 7, None, "x"), (4, 0x80, 0, "/", "t")], "seq long, mask long, parent_ino long, parent_path string, name string")
     dirs = spark.createDataFrame([(7, "/home"), (0, "/never")], "ino long, path string")
