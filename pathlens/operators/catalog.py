@@ -30,6 +30,12 @@ def stats(entries: DataFrame, *by: str) -> DataFrame:
     return entries.groupBy(*by).agg(F.count_if("alive").alias("live"), F.count("*").alias("slots"), F.count_if(F.col("alive") & ~F.col("is_dir")).alias("files"), F.count_if(F.col("alive") & F.col("is_dir")).alias("folders"))
 
 
+def resident(entries: DataFrame, partitions: int) -> DataFrame:
+    """What searches read, kept in the executors' memory in the order of ids, spilled to disk where it doesn't fit."""
+    columns = ["part_ord", "id", "name", "path", "name_fold", "path_fold", "parent_path", "is_dir", "hidden", "alive"]
+    return entries.select(*columns).repartitionByRange(partitions, "part_ord", "id").sortWithinPartitions("part_ord", "id").persist()
+
+
 def medians(measured: DataFrame, value: str, *by: str) -> DataFrame:
     """The median, least and largest of value and the number of runs, by the columns given."""
     return measured.groupBy(*by).agg(F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("runs"))

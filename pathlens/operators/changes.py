@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathlens.functions import text
 from pathlens.operators.staging import settled
 
+#: Bits of kernel event masks.
 CREATE, MOVED_TO, DELETE, MOVED_FROM, IS_DIR = 0x100, 0x80, 0x200, 0x40, 0x40000000
 
 
@@ -15,7 +16,28 @@ def classified(events: DataFrame, mask: str = "mask") -> DataFrame:
     """op and is_dir from kernel event masks; a rename is a delete of the old and a create of the new name."""
     m = F.col(mask)
     op = F.when((m.bitwiseAND(CREATE | MOVED_TO)) != 0, "create").when((m.bitwiseAND(DELETE | MOVED_FROM)) != 0, "delete")
-    return events.withColumns({"op": op, "is_dir": m.bitwiseAND(IS_DIR) != 0}).filter("op is not null")
+    moved_in = m.bitwiseAND(MOVED_TO | IS_DIR) == (MOVED_TO | IS_DIR)
+    return events.withColumns({"op": op, "is_dir": m.bitwiseAND(IS_DIR) != 0, "moved_in": moved_in}).filter("op is not null")
+
+
+#: The events that one folder's listing may add, as a shift of seq.
+LISTING_BITS = 24
+
+
+def with_listings(events: DataFrame, listings: DataFrame) -> DataFrame:
+    """events (seq, op, path, is_dir, moved_in) with creates for what folders held when they moved in.
+
+    listings (seq, path, is_dir) has what a walk found below the folder that came with event seq. Kernels tell of
+    the folder alone, so its contents follow it here, parents first, before the next event: seq is shifted by
+    LISTING_BITS, which keeps the order of events. A folder moved in that has no listing counts as empty.
+    """
+    base = F.shiftleft(F.col("seq").cast("long"), LISTING_BITS)
+    own = events.select(base.alias("seq"), "op", "path", "is_dir")
+    moved = events.filter("moved_in and op = 'create'").select(F.col("seq").alias("its"), F.col("path").alias("top"))
+    inside = listings.join(moved, (F.col("seq") == F.col("its")) & F.startswith("path", F.concat("top", F.lit("/"))))
+    rank = F.row_number().over(Window.partitionBy("seq").orderBy(F.size(F.split("path", "/")), "path"))
+    fits = F.when(rank < (1 << LISTING_BITS), rank).otherwise(F.raise_error(F.lit("a listing of more entries than one event can hold")))
+    return own.union(inside.select((base + fits).alias("seq"), F.lit("create"), "path", "is_dir"))
 
 
 class Applied:

@@ -321,6 +321,29 @@ def test_events_from_kernel_masks(spark):
     assert [r.seq for r in changes.without_excluded(paths, out).collect()] == [2]
 
 
+def test_folders_that_move_in_bring_what_they_hold(spark, tmp_path):
+    events = [(1, "create", "/a", True, False), (2, "create", "/a/d", True, True), (3, "delete", "/a/d/x", False, False), (4, "create", "/a/e", True, True)]
+    ev = spark.createDataFrame(events, "seq long, op string, path string, is_dir boolean, moved_in boolean")
+    found = spark.createDataFrame([(2, "/a/d/s/deep", False), (2, "/a/d/s", True), (2, "/a/d/x", False), (2, "/a/other", False), (1, "/a/z", False)], "seq long, path string, is_dir boolean")
+    got = changes.apply(changes.with_listings(ev, found))
+    assert {r.path: r.is_dir for r in got.alive.collect()} == {"/a": True, "/a/d": True, "/a/d/s": True, "/a/d/s/deep": False, "/a/e": True}
+    assert got.dropped.count() == 0
+
+
+def test_events_from_files_of_lines(spark, tmp_path):
+    from pathlens.sources import events
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text('{"seq": 1, "mask": 1073742080, "parent_ino": 7, "name": "d"}\n{"seq": 2, "mask": 256, "parent_path": "/home/d", "parent_ino": 0, "name": "f"}\n\n')
+    dirs = spark.createDataFrame([(7, "/home")], "ino long, path string")
+    snapshots = store.Store(spark, f"file://{tmp_path}/tree")
+    feed.apply_batch(snapshots, spark.createDataFrame([(0, "create", "/home", True)], "seq long, op string, path string, is_dir boolean"), 0, "first")
+    feed.start(events.read(spark, f"file://{tmp_path}/in", dirs, 1), snapshots, f"file://{tmp_path}/cp").awaitTermination()
+    assert {r.path: r.is_dir for r in snapshots.load().collect()} == {"/home": True, "/home/d": True, "/home/d/f": False}
+    lines = spark.createDataFrame([("not json",), ('{"mask": 256, "name": "x"}',), ('{"seq": 9, "mask": 2, "name": "x"}',)], "value string")
+    assert [r.op for r in events.parsed(lines, dirs).collect()] == ["overflow", "overflow"]
+
+
 def test_graft_keeps_what_could_not_be_read(spark):
     old = spark.createDataFrame([("/m/a", True), ("/m/a/1", False), ("/m/a/s", True), ("/m/a/s/2", False), ("/m/b", True), ("/m/b/3", False), ("/m/c", False)], "path string, is_dir boolean")
     new = spark.createDataFrame([("/m/a", True, True), ("/m/a/s", True, False), ("/m/b", True, False), ("/m/n", False, False)], "path string, is_dir boolean, incomplete boolean")
@@ -399,6 +422,22 @@ def test_walks(spark, tmp_path):
         walker.read(spark, str(tmp_path), mount=True).collect()
 
 
+def test_generated_trees(spark):
+    from pathlens.sources import generate
+
+    made = generate.links(spark, 5000).cache()
+    rows = {r.id: r for r in made.collect()}
+    assert len(rows) == made.count() and sum(not r.is_dir for r in rows.values()) == 5000
+    assert all(r.parent_id is None if r.id == 0 else r.parent_id < r.id and rows[r.parent_id].is_dir for r in rows.values())
+    assert sorted(map(tuple, generate.links(spark, 5000, partitions=3).collect()), key=str) == sorted(map(tuple, rows.values()), key=str)
+    whole = tree.derived(tree.with_paths(made))
+    assert whole.agg(F.max("depth")).first()[0] == generate.LEVELS + 1
+    kept = catalog.resident(whole, 3)
+    assert [r.name for r in search.search(kept, "zqxv").collect()] == [generate.NEEDLE]
+    assert search.hits(kept, "report").count() > 3 * search.hits(kept, "passport").count() > 0
+    kept.unpersist()
+
+
 def test_settings(tmp_path):
     c = config.Config.parse("# x\nroot = /a\nroot=/b\n exclude = /a/tmp \nrescan_interval = 5\n")
     assert (c.roots, c.exclude, c.rescan_interval) == (["/a", "/b"], ["/a/tmp"], 5)
