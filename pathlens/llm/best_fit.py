@@ -6,8 +6,9 @@ still takes a piece in a few integer operations. A bin closes when it is full; b
 closes first. What is still open when a task ends is packed again, bins whole, in groups of ``fan_in`` tasks, and
 so on up to a single group, so that few places stay free however the rows are spread.
 
-Null text is empty: a document of the end id alone. Rows that repeat an id are packed each. Extra columns are
-ignored. An empty table gives no sequence.
+Null text is empty: a document of the end id alone; very long texts are cut into pieces whole. Rows that repeat an
+id are packed each. Pieces of equal length are packed in the order they come. Extra columns are ignored. An empty
+table gives no sequence.
 """
 
 from __future__ import annotations
