@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pathlens.functions import text
 from pathlens.operators import access, catalog, changes, exec_plan, graft, ngram, search, tree
 from pathlens.operators.model import SearchOptions, clamp_limit
+from pathlens.operators.staging import checkpoint_folder
 from pathlens.plans.fixtures import SQL, entries, raw
-from pathlens.sources import framing
+from pathlens.sources import config, framing, store
+from pathlens.streaming import feed as stream
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -426,3 +430,110 @@ def exec_batches(spark, sf_dir):
     paths = raw(spark, sf_dir, "fx2").select(F.concat(F.lit("/m/"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("path")).distinct()
     planned = exec_plan.batches(paths.orderBy("path").limit(clamp_limit(100_000)).coalesce(1), command, 70)
     return planned.select("part", "batch", (F.size("argv") - 1).alias("paths"), F.get("argv", F.lit(1)).alias("first_path"))
+
+
+# --- stored trees, streams and what stands around them
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/pathlens/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT id, parent_id, path, is_dir FROM fx1", "fx1")
+def stored_tree(spark, sf_dir):
+    """Saved as a snapshot with parts, one part replaced by itself, and loaded with its checks."""
+    tree_ = raw(spark, sf_dir, "fx1").select("id", "parent_id", "path", "is_dir").withColumn("part", F.lit("all"))
+    snapshots = store.Store(spark, _folder(spark, "tree"))
+    snapshots.save(tree_, parts=["all"])
+    snapshots.save(snapshots.load(), parts=["all"])
+    return snapshots.load().select("id", "parent_id", "path", "is_dir")
+
+
+@query(
+    _FEED + "SELECT dir AS path, TRUE AS is_dir FROM d WHERE fc > coalesce(fd, -1) UNION ALL SELECT concat(f.dir, '/k', CAST(f.k AS STRING)), FALSE FROM f LEFT JOIN x ON f.dir = x.dir AND f.k = x.k LEFT JOIN d ON f.dir = d.dir WHERE made > coalesce(gone, -1) AND made > coalesce(d.fd, -1)",
+    "fx4",
+)
+def feed_in_batches(spark, sf_dir):
+    """The feed in two batches, each replacing the parts it names, is the tree of the whole feed."""
+    events = feed(spark, sf_dir)
+    cut = events.agg(F.floor(F.avg("seq"))).first()[0]
+    snapshots = store.Store(spark, _folder(spark, "feed"))
+    for n, batch in enumerate((F.col("seq") <= cut, F.col("seq") > cut)):
+        stream.apply_batch(snapshots, events.filter(batch), n)
+    return stream.state(snapshots).select("path", "is_dir")
+
+
+@query("SELECT concat('/', n_name) AS path, TRUE AS is_dir FROM nation UNION ALL SELECT concat('/', n_name, '/', c_name), TRUE FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT concat('/', n_name, '/', c_name, '/', CAST(o_orderkey AS STRING)), FALSE FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def moved_in(spark, sf_dir):
+    """Nations' folders move in one after the other; a walk found their customers and orders."""
+    for t in ("nation", "customer", "orders"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    events = spark.sql("SELECT CAST(n_nationkey AS BIGINT) + 1 AS seq, 'create' AS op, concat('/', n_name) AS path, TRUE AS is_dir, TRUE AS moved_in FROM nation")
+    found = spark.sql("SELECT CAST(n_nationkey AS BIGINT) + 1 AS seq, concat('/', n_name, '/', c_name) AS path, TRUE AS is_dir FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 1, concat('/', n_name, '/', c_name, '/', CAST(o_orderkey AS STRING)), FALSE FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+    return changes.apply(changes.with_listings(events, found)).alive.select("path", "is_dir")
+
+
+@query(_GRAFT + "SELECT path, is_dir FROM r WHERE status <> 'removed' UNION ALL SELECT path, is_dir FROM fx1 WHERE is_dir AND path <> '/' AND NOT starts_with(path, '/ASIA/')", "fx1", "fx6")
+def rescanned(spark, sf_dir):
+    """A rescan of one mount merged into a stored tree; the rest of the tree stays."""
+    snapshots = store.Store(spark, _folder(spark, "rescan"))
+    base = raw(spark, sf_dir, "fx1").filter("is_dir and path <> '/'").select("path", "is_dir").withColumn("part", stream.part_of("path"))
+    snapshots.save(base, parts=[str(i) for i in range(stream.PARTS)])
+    stream.rescan(snapshots, raw(spark, sf_dir, "fx6"), "/ASIA")
+    return stream.state(snapshots).select("path", "is_dir")
+
+
+@query("SELECT id, path FROM fx1 WHERE contains(lower(name), 'order-12')", "fx1")
+def ngram_appended(spark, sf_dir):
+    """An index stored over the folders, the files appended later."""
+    e, path = entries(spark, sf_dir, "fx1"), _folder(spark, "ngrams")
+    ngram.store(ngram.build(e.filter("is_dir")), path, 2)
+    ngram.append(e.filter("not is_dir"), path, 4)
+    return ngram.search(e, spark.read.parquet(path), "Order-12").select("id", "path")
+
+
+@query("SELECT id, path, (SELECT count(*) > 50 FROM fx1 WHERE contains(lower(name), 'customer')) AS more FROM fx1 WHERE contains(lower(name), 'customer') ORDER BY id LIMIT 50", "fx1")
+def page_with_notice(spark, sf_dir):
+    found, more = search.page_with_notice(search.hits(entries(spark, sf_dir, "fx1"), "customer"), 50)
+    return found.select("id", "path").withColumn("more", F.lit(more))
+
+
+@query("SELECT count(DISTINCT path) FILTER (NOT is_dir) AS files, count(DISTINCT path) FILTER (is_dir) AS folders, count(DISTINCT path) FILTER (incomplete) AS errors FROM fx6", "fx6")
+def walk_report(spark, sf_dir):
+    return catalog.scan_report(raw(spark, sf_dir, "fx6").withColumn("error", F.when(F.col("incomplete"), "denied")))
+
+
+@query("SELECT id, path FROM fx3 WHERE contains(name, 'ÉTÉ-1') OR contains(name, 'été-1')", "fx3")
+def raw_names(spark, sf_dir):
+    """Names in Latin-1 bytes, which aren't UTF-8, found by their bytes."""
+    rows = entries(spark, sf_dir, "fx3").withColumn("path_raw", F.encode("path", "ISO-8859-1"))
+    return search.hits_raw(rows, "ÉTÉ-1".encode("latin-1")).select("id", "path")
+
+
+@query("SELECT id, path FROM (SELECT id, concat(path, CASE WHEN id % 5 = 0 THEN concat(chr(10), 'x') ELSE '' END) AS path FROM fx2)", "fx2")
+def nul_framed(spark, sf_dir):
+    """Written with NUL after each path and read back, line breaks and all; ids ride in front."""
+    rows = raw(spark, sf_dir, "fx2").select(F.concat(F.col("id").cast("string"), F.lit(" "), "path", F.when(F.col("id") % 5 == 0, "\nx").otherwise("")).alias("path"))
+    at = _folder(spark, "nul")
+    framing.write_nul(rows, at)
+    back = spark.read.option("lineSep", "\0").text(at)
+    return back.select(F.substring_index("value", " ", 1).cast("long").alias("id"), F.expr("substring(value, instr(value, ' ') + 1)").alias("path"))
+
+
+@query("SELECT * FROM (VALUES ('root', '/data'), ('root', '/srv/x'), ('exclude', '/data/tmp'), ('rescan', '/srv/x'), ('rescan_interval', '60')) t(key, value)")
+def settings(spark, sf_dir):
+    text_ = "# settings\nroot = /data/\nroot=/srv//x\n exclude = /data/./tmp\nrescan = /srv/x\nrescan_interval = 60\n"
+    clean = config.Config.parse(text_).checked().to_text()
+    return spark.createDataFrame([tuple(x.strip() for x in line.split("=")) for line in clean.splitlines()], "key string, value string")
+
+
+@query("SELECT * FROM (VALUES ('rc', 'cr', 'match case · regex'), ('zfd', 'd', 'folders only'), ('hpf', 'pfh', 'path · files only · no hidden'), ('-', '-', '')) t(flags, canonical, badges)")
+def search_flags(spark, sf_dir):
+    made = [(f, o.to_flags(), o.badges()) for f in ("rc", "zfd", "hpf", "-") for o in [O.from_flags(f)]]
+    return spark.createDataFrame(made, "flags string, canonical string, badges string")
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 'a'), (0, 1, 'b c'), (0, 2, 'de f'), (0, 3, 'open end'), (1, 0, 'x')) t(query, ord, word)""")
+def query_words(spark, sf_dir):
+    made = [(n, k, w) for n, q in enumerate((' a "b c" d"e f" "open end', 'x ""', '""')) for k, w in enumerate(text.bounded_terms(text.split_terms(q)))]
+    return spark.createDataFrame(made, "query int, ord int, word string")
