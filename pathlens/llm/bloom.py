@@ -15,10 +15,10 @@ LEAST, MOST = 20, 30
 SHIFTS = (0, 17, 34)
 
 
-def build(keys: DataFrame, column: str) -> np.ndarray:
-    """The filter's words as int64; at most 2 ** MOST / 8 bytes come to the driver."""
+def build(keys: DataFrame, column: str, most: int = MOST) -> np.ndarray:
+    """The filter's words as int64; at most 2 ** most / 8 bytes come to the driver."""
     n = keys.count()
-    power = min(MOST, max(LEAST, (16 * n).bit_length()))
+    power = min(most, max(LEAST, (16 * n).bit_length()))
     mask = (1 << power) - 1
     places = keys.select(F.explode(F.array(*(F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(mask)) for s in SHIFTS))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()

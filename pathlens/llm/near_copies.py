@@ -32,12 +32,14 @@ from pathlens.llm.simhash_vptree import SEED, components, free_name, majority, s
 
 WIDTH = 5
 #: A shingle of more texts than this goes last; more, where over MOST_CROWDED shingles would.
-CROWD, MOST_CROWDED = 4, 60_000_000
+CROWD, MOST_CROWDED = 4, 30_000_000
+#: The filters' size is bounded by 2 ** FILTER_BITS bits (64 MB each).
+FILTER_BITS = 29
 #: Texts whose postings a bucket holds on average.
 BUCKET = 6_000
 #: Differing bits at which the trees link fingerprints.
 RADIUS = 2
-POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4")])
+POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("s", "<i4"), ("at", "<i4")])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -81,9 +83,9 @@ def as_long(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def prefix(n: int) -> int:
-    """How many first shingles of n meet one of every set at 0.8 or more."""
-    return n - (4 * n + 4) // 5 + 1 if n else 0
+def prefix(n: int, s: int) -> int:
+    """How many first shingles, of s that others may have, meet one of every set at 0.8 or more; below 1: no such set."""
+    return s - (4 * n + 4) // 5 + 1
 
 
 def crowd_keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,8 +110,8 @@ def by_bucket(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[by
     return names.astype(np.int64), [x.tobytes() for x in np.split(rows[order], starts[1:])] if len(names) else []
 
 
-def crowded(docs: DataFrame, text_col: str, buckets: int) -> np.ndarray:
-    """A Bloom filter over the keys of the shingles of many texts; copies within a batch count once."""
+def counted(docs: DataFrame, text_col: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bloom filters over the keys of the shingles of two texts or more, and of many; copies within a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):
@@ -120,48 +122,56 @@ def crowded(docs: DataFrame, text_col: str, buckets: int) -> np.ndarray:
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
         high, n = np.unique(np.frombuffer(b"".join(g.blob), np.uint32), return_counts=True)
-        high, n = high[n > CROWD], n[n > CROWD]
+        high, n = high[n > 1], n[n > 1]
         return pd.DataFrame({"key": mixed(np.uint64(g.bucket.iloc[0]) << np.uint64(32) | high.astype(np.uint64)), "n": n})
 
     packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, blob binary")
-    found = runtime.stage(packed.groupBy("bucket").applyInPandas(count, "key long, n long"), "copy-crowded")
+    found = runtime.stage(packed.groupBy("bucket").applyInPandas(count, "key long, n int"), "copy-counts")
     least, total = CROWD, 0
-    for r in found.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():  # at most 40 rows
+    for r in found.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():  # at most 31 rows
         total += r["count"]
         if total > MOST_CROWDED:
             least = max(CROWD, 2 ** (r.power + 1) - 1)
             break
-    return bloom.build(found.filter(F.col("n") > least), "key")
+    return bloom.build(found, "key", FILTER_BITS), bloom.build(found.filter(F.col("n") > least), "key", FILTER_BITS)
 
 
 def postings(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """First shingles that nodes share, and the nodes.
 
-    The first: node, n (size of its set), shingle, at (its place in the order), and the same of the smallest node
-    there. The second: node, n, fp (fingerprint), bitmap. Both are packed and shuffled once, by bucket.
+    The first: node, n (size of its set), s (of these, what others may have), shingle, at (its place in the order),
+    and the same of the hub there. The second: node, n, fp (fingerprint), bitmap. Both are packed and shuffled once, by
+    bucket; nodes that can have no near copy are in neither.
     """
     buckets = max(runtime.count_partitions(docs.sparkSession), docs.count() // BUCKET)
-    shipped = docs.sparkSession.sparkContext.broadcast(crowded(docs, text_col, buckets))
+    shipped = docs.sparkSession.sparkContext.broadcast(counted(docs, text_col, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches):
-            made, nodes = [], {}
+            made, nodes, passed = [np.empty(0, POSTING)], {}, set()
             for t in b.column(0).to_pylist():
                 words = words_of(t)
                 node = int(np.uint64(node_of(words)).astype(np.int64))
-                if node in nodes:
+                if node in passed:
                     continue
+                passed.add(node)
                 raw = hashes(words)
                 h = np.unique(raw.view(np.int64))
+                key = crowd_keys(h, buckets)[2]
+                elsewhere = bloom.contains(shipped.value[0], key)
+                first = prefix(len(h), int(elsewhere.sum()))
+                if first < 1 or not len(h):
+                    continue
                 nodes[node] = (len(h), int(np.uint64(majority([raw], len(raw))).astype(np.int64)), parity(h))
-                h = h[np.argsort(bloom.contains(shipped.value, crowd_keys(h, buckets)[2]), kind="stable")]
-                rows = np.empty(prefix(len(h)), POSTING)
-                rows["shingle"], rows["n"], rows["at"] = h[: len(rows)], len(h), np.arange(len(rows))
-                rows["node"] = node
+                ours = h[elsewhere]
+                ours = ours[np.argsort(bloom.contains(shipped.value[1], key[elsewhere]), kind="stable")]
+                rows = np.empty(first, POSTING)
+                rows["shingle"], rows["at"] = ours[:first], np.arange(first)
+                rows["node"], rows["n"], rows["s"] = node, len(h), len(ours)
                 made.append(rows)
             rows = np.concatenate(made)
             names, blobs = by_bucket(np.ascontiguousarray(rows["shingle"]).view(np.uint64) % np.uint64(buckets), rows)
-            n, fp, bitmap = zip(*nodes.values())
+            n, fp, bitmap = zip(*nodes.values()) if nodes else ((), (), ())
             none = [None] * len(nodes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*names, *(-1 - x % buckets for x in nodes)], pa.int64()), pa.array([*blobs, *none], pa.binary())]
@@ -171,22 +181,30 @@ def postings(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
 
     def shared(g: pd.DataFrame) -> pd.DataFrame:
         if g.blob.iloc[0] is None:
-            return g.drop_duplicates("node")[["node", "n", "fp", "bitmap"]].assign(shingle=None, at=None, least=None, least_n=None, least_at=None)
+            return g.drop_duplicates("node")[["node", "n", "fp", "bitmap"]].assign(**dict.fromkeys(("s", "shingle", "at", "hub", "hub_n", "hub_s", "hub_at")))
         x = np.frombuffer(b"".join(g.blob), POSTING)
-        x = x[np.lexsort((x["node"], x["shingle"]))]
+        own = (x["n"] - x["s"]) / x["n"]
+        x = x[np.lexsort((x["node"], own, x["shingle"]))]
         new = np.ones(len(x), bool)
         new[1:] = (x["shingle"][1:] != x["shingle"][:-1]) | (x["node"][1:] != x["node"][:-1])  # exact copies are one node
         x = x[new]
         _, starts, n = np.unique(x["shingle"], return_index=True, return_counts=True)
-        keep, least = np.repeat(n > 1, n), x[np.repeat(starts, n)]
-        x, least = x[keep], least[keep]
-        return pd.DataFrame({"node": x["node"], "n": x["n"], "shingle": x["shingle"], "at": x["at"], "least": least["node"], "least_n": least["n"], "least_at": least["at"]}).assign(fp=None, bitmap=None)
+        keep, hub = np.repeat(n > 1, n), x[np.repeat(starts, n)]
+        x, hub = x[keep], hub[keep]
+        return pd.DataFrame({**{c: x[c] for c in ("node", "n", "s", "shingle", "at")}, "hub": hub["node"], **{f"hub_{c}": hub[c] for c in ("n", "s", "at")}}).assign(fp=None, bitmap=None)
 
     packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, blob binary, node long, n int, fp long, bitmap binary")
-    found = runtime.stage(packed.groupBy("bucket").applyInPandas(shared, "node long, n int, fp long, bitmap binary, shingle long, at int, least long, least_n int, least_at int"), "copy-candidates")
+    found = runtime.stage(packed.groupBy("bucket").applyInPandas(shared, "node long, n int, fp long, bitmap binary, s int, shingle long, at int, hub long, hub_n int, hub_s int, hub_at int"), "copy-candidates")
     return found.filter("bitmap is null").drop("fp", "bitmap"), found.filter("bitmap is not null").select("node", "n", "fp", "bitmap")
 
 
+def possible(x: str, y: str) -> Column:
+    """Whether sets that share a shingle at these places may share enough; x, y: prefixes of the columns n, s and at."""
+    c = lambda p, name: F.col(f"{p}{name}")
+    most = F.least(c(x, "at"), c(y, "at")) + F.least(c(x, "s") - c(x, "at"), c(y, "s") - c(y, "at"))
+    return 9 * most >= 4 * (c(x, "n") + c(y, "n"))
+
+
 def tree_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes with one fingerprint, and nodes whose fingerprints the trees link, each by its smallest node."""
     least = runtime.stage(nodes.groupBy("fp").agg(F.min("node").alias("b"), F.count("*").alias("n")), "copy-fingerprints")
@@ -196,12 +214,6 @@ def tree_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(links.join(one, "a").join(two, "b").select(F.greatest("x", "y"), F.least("x", "y")))
 
 
-def possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
-    """Whether sets that share a shingle at these places may share enough."""
-    most = F.least(at, other_at) + F.least(n - at, other_n - other_at)
-    return 9 * most >= 4 * (n + other_n)
-
-
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar."""
 
@@ -259,13 +271,13 @@ def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     if found.isEmpty():
         return roots
-    by_prefix = found.filter("node != least").filter(possible(*map(F.col, ("n", "at", "least_n", "least_at")))).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    by_prefix = found.filter("node != hub").filter(possible("", "hub_")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
     first = similar(docs, nodes, tree_pairs(nodes).union(by_prefix), text_col)
     if not first.isEmpty():
         roots = rooted(first)
     rows = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     x, y = rows.alias("x"), rows.alias("y")
-    can = (F.col("x.node") > F.col("y.node")) & (F.col("y.node") != F.col("y.least")) & (F.col("x.root") != F.col("y.root")) & possible(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))
+    can = (F.col("x.node") > F.col("y.node")) & (F.col("y.node") != F.col("y.hub")) & (F.col("x.node") != F.col("x.hub")) & (F.col("x.root") != F.col("y.root")) & possible("x.", "y.")
     more = similar(docs, nodes, x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), text_col)
     if more.isEmpty():
         return roots
