@@ -37,6 +37,8 @@ CROWD, MOST_CROWDED = 4, 30_000_000
 FILTER_BITS = 29
 #: Texts whose postings a bucket holds on average.
 BUCKET = 6_000
+#: Nodes of one shingle that are compared in one task.
+BLOCK = 4_000
 #: Differing bits at which the trees link fingerprints.
 RADIUS = 2
 POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("s", "<i4"), ("at", "<i4")])
@@ -199,10 +201,14 @@ def postings(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
 
 
 def possible(x: str, y: str) -> Column:
-    """Whether sets that share a shingle at these places may share enough; x, y: prefixes of the columns n, s and at."""
+    """Whether sets that share a shingle at these places may share enough; x, y: prefixes of the columns n, s and at.
+
+    They share at most the lesser s, and what only one may have, n - s, is in the union besides the other set.
+    """
     c = lambda p, name: F.col(f"{p}{name}")
     most = F.least(c(x, "at"), c(y, "at")) + F.least(c(x, "s") - c(x, "at"), c(y, "s") - c(y, "at"))
-    return 9 * most >= 4 * (c(x, "n") + c(y, "n"))
+    union = c(x, "n") + c(y, "n") - F.least(c(x, "s"), c(y, "s"))
+    return (9 * most >= 4 * (c(x, "n") + c(y, "n"))) & (5 * F.least(c(x, "s"), c(y, "s")) >= 4 * union)
 
 
 def tree_pairs(nodes: DataFrame) -> DataFrame:
@@ -265,6 +271,65 @@ def rooted(links: DataFrame) -> DataFrame:
     return found.union(found.select("root", "root")).distinct()
 
 
+def across(found: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes under one shingle and different roots that places, sizes and bitmaps allow to be similar.
+
+    Pairs are compared in numpy, and only those that pass become rows. A shingle of over BLOCK nodes is dealt in pairs
+    of blocks.
+    """
+    rows = runtime.stage(found.join(roots, "node", "left").select("shingle", "node", "n", "s", "at", F.coalesce("root", "node").alias("root")), "copy-rooted")
+    mixed_ = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle", "size")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
+    dealt = rows.join(mixed_, "shingle").withColumn("blocks", blocks).withColumn("p", F.explode(pairs_of)).join(nodes.select("node", "bitmap"), "node")
+    place = F.when(F.col("blocks") > 1, F.col("shingle")).otherwise(F.pmod("shingle", F.lit(runtime.count_partitions(found.sparkSession) * 8)))
+
+    def within(g: pd.DataFrame) -> pd.DataFrame:
+        out = [np.empty((0, 2), np.int64)]
+        for _, own in g.groupby("shingle"):
+            if own.root.nunique() > 1:
+                out += alike(own, bool(own.i.iloc[0] != own.j.iloc[0]))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    columns = ["shingle", "node", "n", "s", "at", "root", "bitmap", own.alias("block"), "p.i", "p.j"]
+    return dealt.select(place.alias("place"), *columns).groupBy("place", "i", "j").applyInPandas(within, "a long, b long")
+
+
+def alike(g: pd.DataFrame, other_block: bool) -> Iterator[np.ndarray]:
+    """Rows (a, b), a > b, of one shingle's nodes that may be similar; with other_block only from different blocks."""
+    order = np.argsort(g.n.to_numpy(), kind="stable")
+    node, n, s, at, root, block = (g[c].to_numpy()[order].astype(np.int64) for c in ("node", "n", "s", "at", "root", "block"))
+    maps = g.bitmap.to_numpy()[order]
+    size = np.array([len(m) for m in maps])
+    reach = np.searchsorted(n, n * 5 // 4, "right")  # a set over 5/4 of the size shares too little
+    folded: dict[int, dict[int, np.ndarray]] = {}
+
+    def words(k: int, to: int) -> np.ndarray:
+        known = folded.setdefault(to, {})
+        if k not in known:
+            known[k] = np.bitwise_xor.reduce(np.frombuffer(maps[k], np.uint8).reshape(-1, to), axis=0).view(np.uint64)
+        return known[k]
+
+    for i in range(len(n)):
+        j = np.arange(i + 1, reach[i])
+        least, both = np.minimum(s[i], s[j]), n[i] + n[j]
+        most = np.minimum(at[i], at[j]) + np.minimum(s[i] - at[i], s[j] - at[j])
+        j = j[(root[i] != root[j]) & (9 * most >= 4 * both) & (5 * least >= 4 * (both - least)) & ((block[i] != block[j]) | (not other_block))]
+        if not len(j):
+            continue
+        if not i % 1024:
+            folded.clear()  # what is left behind isn't needed again
+        to = int(size[i])
+        for k in range(0, len(j), max(1, (1 << 22) // to)):
+            some = j[k : k + max(1, (1 << 22) // to)]
+            apart = np.bitwise_count(np.stack([words(x, to) for x in some]) ^ words(i, to)).sum(1, dtype=np.int64)
+            near = some[9 * apart <= n[i] + n[some]]
+            if len(near):
+                yield np.stack([np.maximum(node[i], node[near]), np.minimum(node[i], node[near])], 1)
+
+
 def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root) of all nodes with a near copy; root is the smallest node linked to them."""
     found, nodes = postings(docs, text_col)
@@ -275,10 +340,7 @@ def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = similar(docs, nodes, tree_pairs(nodes).union(by_prefix), text_col)
     if not first.isEmpty():
         roots = rooted(first)
-    rows = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    x, y = rows.alias("x"), rows.alias("y")
-    can = (F.col("x.node") > F.col("y.node")) & (F.col("y.node") != F.col("y.hub")) & (F.col("x.node") != F.col("x.hub")) & (F.col("x.root") != F.col("y.root")) & possible("x.", "y.")
-    more = similar(docs, nodes, x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), text_col)
+    more = similar(docs, nodes, across(found, roots, nodes), text_col)
     if more.isEmpty():
         return roots
     return rooted(first.union(more))

@@ -95,6 +95,12 @@ def test_near_copies_against_brute_force_jaccard(spark, monkeypatch):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             texts.append(" ".join(words + rng.choices(vocabulary, k=rng.randrange(3))))
     foot = " ".join(rng.choices(vocabulary, k=50))  # text that many share
+    family = texts[3].split() * 2  # copies with so many changes that few are similar to the original
+    for k in range(60):
+        words = list(family)
+        for _ in range(1 + k % 9):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
     texts += [f"{' '.join(rng.choices(vocabulary, k=rng.randrange(1, 40)))} {foot}" for _ in range(60)] + ["", "  ", "Same few", "same  FEW"]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
     group = list(range(len(texts)))
@@ -103,9 +109,10 @@ def test_near_copies_against_brute_force_jaccard(spark, monkeypatch):
             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert 100 < len(set(group)) < len(texts) - 80
+    assert 100 < len(set(group)) < len(texts) - 100
     for crowd, most in ((near_copies.CROWD, near_copies.MOST_CROWDED), (1000, 1), (1, 20)):  # the order of shingles changes no result
         monkeypatch.setattr(near_copies, "CROWD", crowd)
+        monkeypatch.setattr(near_copies, "BLOCK", 4 * most)
         monkeypatch.setattr(near_copies, "MOST_CROWDED", most)
         assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(group))
 
