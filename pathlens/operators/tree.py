@@ -86,6 +86,14 @@ def derived(entries: DataFrame, part_ord: int = 0, root: str = "/") -> DataFrame
     return out
 
 
+def restored(entries: DataFrame, part_ord: int = 0, root: str = "/") -> DataFrame:
+    """Stored entries with whatever a snapshot left out: paths from parent links, and the columns of searches."""
+    have = set(entries.columns)
+    whole = entries if "path" in have else with_paths(entries)
+    folded = {"name_fold", "path_fold", "parent_path", "alive", "hidden", "part_ord"}
+    return whole if folded <= set(whole.columns) else derived(whole, part_ord, root)
+
+
 def below(entries: DataFrame, folders: DataFrame, strict: bool = True) -> DataFrame:
     """Entries below any of folders.path: ancestor prefixes meet in a hash join instead of comparing all pairs."""
     up = text.ancestors("path")

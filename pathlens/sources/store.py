@@ -130,14 +130,19 @@ class Store:
 
 
 def validate(entries: DataFrame) -> None:
-    """Raises unless parts are few, roots exist, and every parent stands before its child."""
+    """Raises unless parts are few, roots exist, ids are unique, and every parent is there and stands before its child."""
     have = set(entries.columns)
     if not {"id", "parent_id"} <= have:
         return
-    part = F.col("part") if "part" in have else F.lit("")
-    found = entries.groupBy(part.alias("p")).agg(F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(F.col("parent_id") >= F.col("id")).alias("backward"))
+    rows = entries.select((F.col("part") if "part" in have else F.lit("")).alias("p"), "id", "parent_id")
+    found = rows.groupBy("p").agg(F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(F.col("parent_id") >= F.col("id")).alias("backward"))
     parts, rootless, backward = found.agg(F.count("*"), F.count_if(F.col("roots") == 0), F.coalesce(F.sum("backward"), F.lit(0))).first()
     if parts > MAX_PARTS:
         raise SnapshotError(f"{parts} parts; at most {MAX_PARTS}")
     if rootless or backward:
         raise SnapshotError(f"{rootless} parts without a root, {backward} entries before their parents")
+    ids = rows.groupBy("p", "id").agg(F.count("*").alias("n"))
+    up = rows.filter("parent_id is not null").groupBy("p", F.col("parent_id").alias("id")).agg(F.lit(1).alias("wanted"))
+    missing, repeated = up.join(ids, ["p", "id"], "full").agg(F.count_if(F.col("n").isNull()), F.count_if(F.col("n") > 1)).first()
+    if missing or repeated:
+        raise SnapshotError(f"{missing} parents are missing, {repeated} ids are repeated")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -93,9 +95,13 @@ def rescan(store: Store, listing: DataFrame, mount: str, mount_incomplete: bool
     return graft.stats(merged)
 
 
-def snapshot_due(last: float | None, now: float, interval: float) -> bool:
-    """Whether a periodic snapshot or rescan is due: never yet taken, or interval seconds old."""
-    return last is None or now - last >= interval
+def every(spark: SparkSession, seconds: float, action: Callable[[int], None], checkpoint: str) -> StreamingQuery:
+    """Runs action(n) at once and then every so many seconds: rescans and snapshots as a streaming job of their own.
+
+    One run at a time; a run that takes longer puts the next one off. An error ends the job, as with any stream.
+    """
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda _, n: action(n)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def retry_interval(interval: int) -> int:

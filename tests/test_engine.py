@@ -303,7 +303,6 @@ def test_batches_rewrite_the_parts_they_name(spark, tmp_path):
     assert tuple(feed.rescan(snapshots, listing, "/t7").first()) == (2, 2, 1, 0)
     now = {r.path for r in snapshots.load().collect()}
     assert now == {p for p in want if p != "/t7/f"} | {"/t7/g", "/t7/h"}
-    assert feed.snapshot_due(None, 5, 10) and feed.snapshot_due(0, 10, 10) and not feed.snapshot_due(1, 10, 10)
     for k in range(3):
         feed.apply_batch(snapshots, spark.createDataFrame([(300 + i, "create", f"{t}/n{k}", False) for i, t in enumerate(tops)], ddl), 2 + k)
     assert not os.path.exists(tmp_path / "tree/v=1") and snapshots.load().count() == len(now) + 29 * 3
@@ -311,6 +310,19 @@ def test_batches_rewrite_the_parts_they_name(spark, tmp_path):
         snapshots.save(snapshots.load(), parts=["a/b"])
 
 
+def test_jobs_run_again_and_again(spark, tmp_path):
+    import time
+
+    runs = []
+    job = feed.every(spark, 0.2, runs.append, f"file://{tmp_path}/clock")
+    for _ in range(100):
+        if len(runs) > 2:
+            break
+        time.sleep(0.2)
+    job.stop()
+    assert runs[:3] == [0, 1, 2]
+
+
 def test_events_from_kernel_masks(spark):
     ev = spark.createDataFrame([(1, 0x100 | 0x40000000, 7, None, "d"), (2, 0x40, 8, "/p", "f"), (3, 0x2, 7, None, "x"), (4, 0x80, 0, "/", "t")], "seq long, mask long, parent_ino long, parent_path string, name string")
     dirs = spark.createDataFrame([(7, "/home"), (0, "/never")], "ino long, path string")
@@ -390,6 +402,12 @@ def test_snapshots(spark, tmp_path):
     s.save(df.withColumn("parent_id", F.lit(5).cast("long")))
     with pytest.raises(store.SnapshotError):
         s.load()
+    for bad in ([("p", 0, None, "/"), ("p", 3, 2, "a")], [("p", 0, None, "/"), ("p", 1, 0, "a"), ("p", 1, 0, "b")], [("p", 1, 0, "a")]):
+        s.save(spark.createDataFrame(bad, df.schema))
+        with pytest.raises(store.SnapshotError):
+            s.load()
+    s.save(df.withColumn("is_dir", F.col("id") == 0))
+    assert [r.path for r in tree.restored(s.load()).orderBy("id").collect()] == ["/", "/a"] and "name_fold" in tree.restored(s.load()).columns
     (tmp_path / "s/CURRENT").write_text("junk")
     (tmp_path / "s/.CURRENT.crc").unlink(missing_ok=True)
     with pytest.raises(store.SnapshotError):
