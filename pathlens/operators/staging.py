@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in that folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """df written as Parquet in that folder and read back: computed once, where a checkpoint would do so twice.
+
+    Spark deletes nothing there; the files belong to the application and go with the folder.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/pathlens/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
