@@ -33,8 +33,6 @@ from pathlens.llm.simhash_vptree import SEED, components, free_name, majority, s
 WIDTH = 5
 #: A shingle of more texts than this goes last; more, where over MOST_CROWDED shingles would.
 CROWD, MOST_CROWDED = 4, 30_000_000
-#: The filters' size is bounded by 2 ** FILTER_BITS bits (64 MB each).
-FILTER_BITS = 29
 #: Texts whose postings a bucket holds on average.
 BUCKET = 6_000
 #: Nodes of one shingle that are compared in one task.
@@ -135,7 +133,7 @@ def counted(docs: DataFrame, text_col: str, buckets: int) -> tuple[np.ndarray, n
         if total > MOST_CROWDED:
             least = max(CROWD, 2 ** (r.power + 1) - 1)
             break
-    return bloom.build(found, "key", FILTER_BITS), bloom.build(found.filter(F.col("n") > least), "key", FILTER_BITS)
+    return bloom.build(found, "key", 8), bloom.build(found.filter(F.col("n") > least), "key", 8)
 
 
 def postings(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
