@@ -623,6 +623,8 @@ def test_cached_ids_are_the_tokenizers(name):
     e = tokens.Encoder(tokens.tokenizer_path(name), cache_entries=50)
     rng = random.Random(2)
     texts = ["", " ", "a  b\n\n c", "don't I'LL x.y", "<|endoftext|> a", "日本 é́ ß", "a  b", LONG[:999]] + ["".join(rng.choice("aB éß.,'\n\t 1_*日<|>Σs \x1c ") for _ in range(rng.randrange(30))) for _ in range(5000)]
+    signs = "abcXé 's'T\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\n\n \n\t\r0<|endoftext|>"
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(20_000)] + ["a<|endoftext|>b", "word*** don't-it's", "\n\n  \n Line\nNext\r\n  x"]
     assert [e.encode(t) for t in texts] == [array("I", x.ids).tobytes() for x in e.whole.encode_batch(texts, add_special_tokens=False)]
 
 
