@@ -22,6 +22,8 @@ LEAST, MOST = 20, 29
 SHIFTS = (0, 17, 34)
 #: Bits that one task sets, as a power of two.
 CHUNK = 19
+#: Keys that a task gathers before it hands on their places, a row a chunk.
+KEYS_HELD = 1_000_000
 
 
 def build(keys: DataFrame, column: str, bits: int = 16, most: int = MOST) -> np.ndarray:
@@ -30,12 +32,24 @@ def build(keys: DataFrame, column: str, bits: int = 16, most: int = MOST) -> np.
     power = min(most, max(LEAST, (bits * keys.count()).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            p = np.unique(np.concatenate([(u >> np.uint64(s)) & np.uint64((1 << power) - 1) for s in SHIFTS]))
+        held, n = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            p = np.unique(np.concatenate(held))
             chunks, starts = np.unique(p >> np.uint64(CHUNK), return_index=True)
             blobs = [x.tobytes() for x in np.split((p & np.uint64((1 << CHUNK) - 1)).astype(np.uint32), starts[1:])] if len(chunks) else []
-            yield pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int64)), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int64)), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
+
+        for b in batches:
+            u = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            held += [(u >> np.uint64(s)) & np.uint64((1 << power) - 1) for s in SHIFTS]
+            n += len(u)
+            if n >= KEYS_HELD:
+                yield dealt()
+                n = 0
+        if held:
+            yield dealt()
 
     def set_bits(g: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(1 << CHUNK, bool)
