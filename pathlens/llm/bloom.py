@@ -23,7 +23,7 @@ SHIFTS = (0, 17, 34)
 #: Bits that one task sets, as a power of two.
 CHUNK = 19
 #: Keys that a task gathers before it hands on their places, a row a chunk.
-KEYS_HELD = 1_000_000
+KEYS_HELD = 250_000
 
 
 def build(keys: DataFrame, column: str, bits: int = 16, most: int = MOST) -> np.ndarray:

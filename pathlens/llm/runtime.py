@@ -32,8 +32,8 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
-        env.setdefault("MALLOC_TRIM_THRESHOLD_", str(8 << 20))
-        env.setdefault("MALLOC_MMAP_THRESHOLD_", str(8 << 20))
+        env.setdefault("MALLOC_TRIM_THRESHOLD_", str(2 << 20))
+        env.setdefault("MALLOC_MMAP_THRESHOLD_", str(2 << 20))
         env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(batch)) <= ROWS_IN_BATCH:
