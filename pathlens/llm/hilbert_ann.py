@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pathlens.llm import runtime
 
 CURVES, DIMENSIONS, ORDER = 4, 8, 7
-RECALL, LEAST_WINDOW = 0.96, 32
+RECALL, LEAST_WINDOW = 0.97, 32
 #: Positions in a block, and the asks that go to one copy of it.
 BLOCKS, ASKS = (1024, 1 << 18), 200_000
 SAMPLE, TRIALS = 4000, 500
